@@ -220,7 +220,7 @@ VIEWS = {
     "v_permuted": f"""
         select data, spp, run, abd,
                row_number() over (partition by data, spp, run order by
-                 md5('{SEED}|' || data || '|' || spp || '|' || run || '|' || cruise_station), cruise_station) - 1 as seat
+                 md5('{SEED}|' || data || '|' || run || '|' || cruise_station), cruise_station) - 1 as seat
         from v_panel cross join (select range as run from range(1, {RUNS + 1}))""",
     "v_null_q": """
         select g.data, g.spp, g.run, g.bin_idx,

@@ -173,7 +173,7 @@ def floor_nonzero(v):
 @query
 def left_join_station(v):
     temps = v.counts().dropna(subset=["ihf"]).select("cruise_station", "sst", "ihf")
-    return joins.hot_split_left_join(v.eggs(), temps, ["cruise_station"])
+    return joins.salted_left_join(v.eggs(), temps, ["cruise_station"])
 
 
 @query
@@ -221,6 +221,10 @@ def zero_filled_panel(v):
     return _panel(v)
 
 
+def _stored_panel(v: Views) -> DataFrame:
+    return tables.stored(_panel(v), "panel")
+
+
 def _panel(v: Views) -> DataFrame:
     stations = v.stations().filter(F.col("sst").isNotNull()).select("data", "cruise_station", "sst")
     return joins.zero_filled_panel(stations, v.occurrence(), SPECIES)
@@ -285,7 +289,9 @@ def distinct_rows(v):
 def quantile_by_group(v):
     catches = v.table("lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
     probs = {"p05": 0.05, "p50": 0.5, "p95": 0.95}
-    return rounded(aggregates.exact_quantiles(catches, ["l_returnflag", "l_linestatus"], "l_extendedprice", probs), *probs)
+    groups = ["l_returnflag", "l_linestatus"]
+    counted = tables.stored(aggregates.value_counts(catches, groups, "l_extendedprice"), "values")
+    return rounded(aggregates.exact_quantiles(counted, groups, probs), *probs)
 
 
 @query
@@ -528,32 +534,36 @@ def station_temperature(v):
     return expansion.station_temperature(v.casts(), sheets, v.counts().filter(F.col("egg_count") > 5))
 
 
-def _detection(v: Views) -> DataFrame:
-    return expansion.subsample_detection(expansion.egg_tally(v.eggs()), v.counts())
+def _tally(v: Views) -> DataFrame:
+    return tables.stored(expansion.egg_tally(v.eggs()), "tally")
+
+
+def _counts(v: Views) -> DataFrame:
+    return tables.stored(v.counts(), "counts")
 
 
 @query
 def subsample_detection(v):
-    return _detection(v)
+    return expansion.subsample_detection(expansion.egg_tally(v.eggs()), _counts(v))
 
 
 @query
 def size_stratified_expansion(v):
-    tally = expansion.egg_tally(v.eggs())
-    sub = expansion.subsampled_tally(tally, expansion.subsample_detection(tally, v.counts()))
+    tally = _tally(v)
+    sub = expansion.subsampled_tally(tally, expansion.subsample_detection(tally, _counts(v)))
     return rounded(expansion.size_stratified_expansion(sub, v.sizes()), "tot")
 
 
 @query
 def proportional_expansion(v):
-    tally = expansion.egg_tally(v.eggs())
-    picked = expansion.subsample_detection(tally, v.counts()).filter("subsampled")
+    tally = _tally(v)
+    picked = expansion.subsample_detection(tally, _counts(v)).filter("subsampled")
     return rounded(expansion.proportional_expansion(joins.not_in(tally, "cruise_station", v.sizes()), picked), "tot")
 
 
 @query
 def combined_expansion(v):
-    out = expansion.combined_expansion(expansion.egg_tally(v.eggs()), v.counts(), v.sizes())
+    out = expansion.combined_expansion(_tally(v), _counts(v), v.sizes())
     return rounded(out, "tot", "est")
 
 
@@ -563,7 +573,7 @@ def egg_stage_occurrence(v):
 
 
 def _surveys(v: Views) -> dict[str, DataFrame]:
-    lewis = expansion.combined_expansion(expansion.egg_tally(v.eggs()), v.counts(), v.sizes())
+    lewis = expansion.combined_expansion(_tally(v), _counts(v), v.sizes())
     nyos = expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES)
     return {
         "Lewis": lewis.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("est").alias("abd")),
@@ -600,7 +610,7 @@ def spq_curve(v):
 
 
 def _draws(v: Views) -> DataFrame:
-    return resampling.bootstrap_draws(_panel(v), RUNS, SEED)
+    return resampling.bootstrap_draws(_stored_panel(v), RUNS, SEED)
 
 
 def _replicates(v: Views) -> DataFrame:
@@ -634,8 +644,8 @@ def thermal_range_by_run(v):
 
 @query
 def permutation_quotient_ci(v):
-    stations = v.stations().filter(F.col("sst").isNotNull()).select("data", "cruise_station", "sst")
-    runs = resampling.permutation_replicates(_panel(v), stations, SPECIES, RUNS, SEED)
+    by_station = resampling.abundance_by_station(v.stations(), v.occurrence(), SPECIES)
+    runs = resampling.permutation_replicates(tables.stored(by_station, "by_station"), SPECIES, RUNS, SEED)
     return rounded(resampling.permutation_ci(runs), "lower_ci", "upper_ci")
 
 

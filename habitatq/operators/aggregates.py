@@ -59,33 +59,33 @@ def replicate_quantiles(
     return df.groupBy(*keys).agg(*[F.percentile(v, p).alias(n) for n, p in probs.items()])
 
 
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Rows per key and distinct number, missing ones left out."""
+    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    rows = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
+    return rows.groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
+
+
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    slices: int = 256,
+    counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float], slices: int = 256
 ) -> DataFrame:
-    """Exact interpolated quantiles of groups of any size.
+    """Exact interpolated quantiles of groups of any size, from their ``value_counts``.
 
-    Equal values are counted map-side, approximate quantiles cut each group
-    into value slices, and slice counts tell which one or two slices hold the
-    ranks looked for. Only rows of those slices are then ranked, so no task
-    ever sees a whole hot group, and the answer does not depend on how good
-    the cut points were.
+    Approximate quantiles cut each group into value slices, and slice counts
+    tell which one or two slices hold the ranks looked for. Only values of
+    those slices are then ranked, so no task ever sees a whole hot group, and
+    the answer does not depend on how good the cut points were. ``slices`` is a
+    power of two. ``counted`` is read three times, so pass a stored table.
     """
-    v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
-    counted = (
-        df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
-    )
     marks = [i / slices for i in range(1, slices)]
     cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", marks, slices * 10).alias("_cuts"))
-    sliced = (
-        null_safe_join(counted, cuts, keys)
-        .withColumn("_s", F.size(F.filter(F.col("_cuts"), lambda c: c < F.col("_v"))))
-        .drop("_cuts")
-    )
+    sliced = null_safe_join(counted, cuts, keys).withColumn("_s", F.lit(0))
+    step = slices // 2
+    while step:  # binary search for the slice, one codegen projection per halving
+        passed = F.get("_cuts", F.col("_s") + (step - 1)) < F.col("_v")
+        sliced = sliced.withColumn("_s", F.col("_s") + F.when(passed, step).otherwise(0))
+        step //= 2
+    sliced = sliced.drop("_cuts")
     per_key = Window.partitionBy(*keys)
     offsets = (
         sliced.groupBy(*keys, "_s").agg(F.sum("_m").alias("_in"))

@@ -21,25 +21,27 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hot_split_left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_share: float = 0.01
+def salted_left_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_share: float = 0.01, salts: int = 64
 ) -> DataFrame:
     """Left equi-join for a left side in which few keys hold many rows.
 
     Keys with more than ``hot_share`` of the left rows are counted first; there
     are fewer than ``1 / hot_share`` of them, so broadcasting that key list is
-    safe for any input. Rows of hot keys meet only the right rows of those keys
-    (a side small enough to be broadcast at run time), all other rows take the
-    ordinary shuffle join. Works for exact copies of a row, needs no random
-    salt, and fans out over duplicate right keys as a plain left join does.
+    safe for any input. Left rows of a hot key are spread over ``salts`` tasks
+    by the partition they come from, which also splits exact copies of a row
+    and is the same after a retry; right rows of hot keys are repeated once per
+    salt. Rows fan out over duplicate right keys as in a plain left join.
     """
     keys = list(keys)
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = left.agg(F.count("*").alias("_all")).scalar()
-    hot = F.broadcast(counts.filter(F.col("_n") > total * F.lit(hot_share)).select(*keys))
-    hot_rows = left.join(hot, keys, "left_semi").join(right.join(hot, keys, "left_semi"), keys, "left")
-    rest = left.join(hot, keys, "left_anti").join(right, keys, "left")
-    return hot_rows.unionByName(rest)
+    total = counts.agg(F.sum("_n").alias("_all")).scalar()
+    hot = F.broadcast(counts.filter(F.col("_n") > total * F.lit(hot_share)).select(*keys, F.lit(True).alias("_hot")))
+    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
 
 
 def in_any(df: DataFrame, key: str, *tables: DataFrame) -> DataFrame:
@@ -80,7 +82,7 @@ def with_each(df: DataFrame, **lists: Sequence) -> DataFrame:
 
 
 def zero_filled_panel(
-    stations: DataFrame, catches: DataFrame, species: Sequence[str], keys: Sequence[str] = ("data", "cruise_station")
+    stations: DataFrame, catches: DataFrame, species: Sequence[str], keys: Sequence[str] = ("cruise_station", "data")
 ) -> DataFrame:
     """All stations for each species, with 0 where nothing was caught."""
     wanted = catches.filter(F.col("spp").isin(*species)).select(*keys, "spp", "abd")
@@ -91,18 +93,20 @@ def zero_filled_panel(
 def nearest_good_bin(bins: DataFrame, station: str, index: str, good: Column, label: str) -> DataFrame:
     """For every bin of a station, the good bin it belongs to.
 
-    ``bins`` has one row per station and bin index. A good bin belongs to
-    itself; any other to the nearest good one, and when two are equally near,
-    to the one whose ``label`` comes first (missing labels last, then the lower
-    bin). Two ordered windows over the few bins of a station find the
-    neighbours on either side, so bins are never paired with each other.
-    Adds column ``target``, null if the station has no good bin.
+    ``bins`` has one or more rows per station and bin index, alike in ``good``
+    and ``label``. A good bin belongs to itself; any other to the nearest good
+    one, and when two are equally near, to the one whose ``label`` comes first
+    (missing labels last, then the lower bin). One window in rising and one in falling bin order find the neighbours
+    on either side, so bins are never paired with each other. Adds column
+    ``target``, null if the station has no good bin.
     """
-    w = Window.partitionBy(station).orderBy(index)
     me = F.when(good, F.struct(F.col(index).alias("idx"), F.col(label).alias("label")))
-    below = F.last(me, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    above = F.first(me, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    near = bins.withColumn("_lo", below).withColumn("_hi", above)
+    passed = (Window.unboundedPreceding, -1)
+    rising = Window.partitionBy(station).orderBy(F.col(index).asc()).rangeBetween(*passed)
+    falling = Window.partitionBy(station).orderBy(F.col(index).desc()).rangeBetween(*passed)
+    near = bins.withColumn("_lo", F.last(me, ignorenulls=True).over(rising)).withColumn(
+        "_hi", F.last(me, ignorenulls=True).over(falling)
+    )
     lo, hi = F.col("_lo.idx"), F.col("_hi.idx")
     gap_lo, gap_hi = F.col(index) - lo, hi - F.col(index)
     lo_label, hi_label = F.col("_lo.label"), F.col("_hi.label")

@@ -7,10 +7,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from habitatq.functions.keys import hash_text
+from habitatq.functions.keys import HASH_DIGITS, hash_int
 from habitatq.operators.joins import null_safe_join
 
 
+def hash_split(df: DataFrame, keys: Sequence[str], salt: Sequence[Column | str | int] = (), digits: int = 3) -> DataFrame:
+    """Rows with a key hash ``_h`` and the split ``_b`` they belong to, its first hex digits."""
+    hashed = df.withColumn("_h", F.coalesce(hash_int(*salt, *[F.col(k) for k in keys]), F.lit(0)))
+    return hashed.withColumn("_b", F.shiftright("_h", 4 * (HASH_DIGITS - digits)))
+
+
+def split_offsets(split: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Per group and split: rows in it, rows in all earlier splits, rows of the whole group.
+
+    The windows run over the counts, at most ``16 ** digits`` rows per group.
+    """
+    whole = Window.partitionBy(*groups)
+    before = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = split.groupBy(*groups, "_b").agg(F.count("*").alias("_in"))
+    return counts.select(
+        *groups, "_b", "_in", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before"),
+        F.sum("_in").over(whole).alias("_size"),
+    )
+
+
+def number_rows(split: DataFrame, offsets: DataFrame, groups: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
+    """Row numbers from 0 within each group, in hash order."""
+    inside = Window.partitionBy("_b", *groups).orderBy("_h", *keys)
+    numbered = split.withColumn("_rn", F.row_number().over(inside) - 1).join(offsets, ["_b", *groups])
+    extra = [c for c in ("_in", "_size") if c in offsets.columns]
+    return numbered.withColumn(out, F.col("_before") + F.col("_rn")).drop("_h", "_b", "_rn", "_before", *extra)
+
+
 def dense_index(
     df: DataFrame,
     groups: Sequence[str],
@@ -24,24 +52,11 @@ def dense_index(
     A single window per group would put a whole group in one task. Here each
     group is split by the first ``digits`` hex digits of the hash: rows are
     numbered inside a split, and the number of rows in all earlier splits is
-    added from a table of at most ``16 ** digits`` counts per group. ``keys``
-    should identify a row within its group; ``salt`` changes the order.
+    added from a small table of counts. ``keys`` should identify a row within
+    its group; ``salt`` changes the order.
     """
-    base = df.withColumn("_h", hash_text(*salt, *[F.col(k) for k in keys])).withColumn(
-        "_b", F.substring("_h", 1, digits)
-    )
-    counts = base.groupBy(*groups, "_b").agg(F.count("*").alias("_in"))
-    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        *groups, "_b", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy(*groups, "_b").orderBy("_h", *keys)
-    numbered = base.withColumn("_rn", F.row_number().over(inside) - 1)
-    return (
-        numbered.join(offsets, [*groups, "_b"])
-        .withColumn(out, F.col("_before") + F.col("_rn"))
-        .drop("_h", "_b", "_rn", "_before")
-    )
+    split = hash_split(df, keys, salt, digits)
+    return number_rows(split, split_offsets(split, groups), groups, keys, out)
 
 
 def seeded_shuffle(
@@ -52,7 +67,7 @@ def seeded_shuffle(
     moved = dense_index(
         df.select(*groups, *keys, F.col(value).alias(out)), groups, keys, "_i", salt=[seed], digits=digits
     ).drop(*keys)
-    return place.join(moved, [*groups, "_i"]).drop("_i")
+    return place.join(moved, ["_i", *groups]).drop("_i")
 
 
 def argmin_first(df: DataFrame, keys: Sequence[str], distance: str, tie_order: Sequence[str]) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitatq.functions.binning import ceil_bin_index
 from habitatq.operators.aggregates import conditional_sums, poisoned_sum
 from habitatq.operators.clean import floor_nonzero, sentinel_to_null, split_env_and_taxa
-from habitatq.operators.joins import in_any, nearest_good_bin, not_in
+from habitatq.operators.joins import in_any, nearest_good_bin
 from habitatq.operators.reshape import taxa_to_long
 
 # Taxon codes of the genus and of its species.
@@ -99,16 +99,23 @@ def size_bin_totals(sizes: DataFrame, per_unit: int = 20) -> DataFrame:
 
 
 def bins_with_target(tally: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Every size bin of every station, with the good bin that takes its frequency.
+    """Sheet bins and egg counts of each station, with the good bin that takes their frequency.
 
     A bin is good if it has barcoded eggs. A bin with a frequency but no
-    barcodes hands its frequency to the nearest good bin.
+    barcodes hands its frequency to the nearest good bin. Sheet rows and tally
+    rows are stacked rather than joined, so one shuffle by station serves all
+    windows; a station has at most one row per bin and species.
     """
-    eggs = tally.groupBy(STATION, "bin_idx").agg(
-        F.sum("n").alias("barcoded"), F.min("common_name").alias("first_name")
-    )
-    bins = size_bin_totals(sizes).join(eggs, [STATION, "bin_idx"], "left")
-    return nearest_good_bin(bins, STATION, "bin_idx", F.col("barcoded").isNotNull(), "first_name")
+    at_bin = Window.partitionBy(STATION).orderBy("bin_idx").rangeBetween(0, 0)
+    eggs = tally.filter(F.col("bin_idx").isNotNull()).select(STATION, "bin_idx", "common_name", "n")
+    rows = size_bin_totals(sizes).unionByName(eggs, allowMissingColumns=True).withColumns({
+        "sheet_rows": F.max("copies").over(at_bin),
+        "total": F.max("freq").over(at_bin),
+        "barcoded": F.sum("n").over(at_bin),
+        "first_name": F.min("common_name").over(at_bin),
+    })
+    in_sheet = rows.filter(F.col("sheet_rows").isNotNull())
+    return nearest_good_bin(in_sheet, STATION, "bin_idx", F.col("barcoded").isNotNull(), "first_name")
 
 
 def nearest_bin_join(tally: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -126,20 +133,12 @@ def size_stratified_expansion(tally: DataFrame, sizes: DataFrame) -> DataFrame:
     has moved to the nearest good bin. Unnamed eggs count as barcoded but get
     no row of their own. ``tally`` should hold subsampled stations only.
     """
-    bins = bins_with_target(tally, sizes)
-    own = F.col("barcoded").isNotNull()
-    merged = bins.filter(F.col("target").isNotNull()).groupBy(STATION, F.col("target").alias("bin_idx")).agg(
-        F.max(F.when(own, F.col("copies"))).alias("copies"),
-        F.max(F.when(own, F.col("freq"))).alias("freq"),
-        F.max(F.when(own, F.col("barcoded"))).alias("barcoded"),
-        F.coalesce(F.sum(F.when(~own, F.col("spare"))), F.lit(0.0)).alias("moved"),
-    )
-    est = (
-        F.col("n") * (F.col("freq") + F.col("copies") * F.col("moved")) / (F.col("copies") * F.col("barcoded"))
-    )
-    named = tally.filter(F.col("common_name").isNotNull())
-    rows = named.join(merged, [STATION, "bin_idx"]).withColumn("est", est)
-    return rows.groupBy(STATION, "common_name").agg(poisoned_sum(F.col("est")).alias("tot"))
+    spare = F.when(F.col("barcoded").isNull(), F.col("spare"))
+    moved = F.coalesce(F.sum(spare).over(Window.partitionBy(STATION, "target")), F.lit(0.0))
+    frequency = F.col("total") + F.col("sheet_rows") * F.col("moved")
+    est = F.col("n") * frequency / (F.col("sheet_rows") * F.col("barcoded"))
+    named = bins_with_target(tally, sizes).withColumn("moved", moved).filter(F.col("common_name").isNotNull())
+    return named.withColumn("est", est).groupBy(STATION, "common_name").agg(poisoned_sum(F.col("est")).alias("tot"))
 
 
 def proportional_expansion(tally: DataFrame, detection: DataFrame) -> DataFrame:
@@ -161,16 +160,20 @@ def combined_expansion(tally: DataFrame, counts: DataFrame, sizes: DataFrame, fl
     Fully barcoded stations keep their counts, subsampled ones with size sheets
     are expanded by size bin, the rest proportionally. Estimates of 0 become 1,
     then each is multiplied by the haul factor; temperature and factor must be
-    known.
+    known. ``tally`` and ``counts`` are read several times, so pass stored tables.
     """
-    detection = subsample_detection(tally, counts)
-    picked = detection.filter("subsampled")
-    sub = subsampled_tally(tally, detection)
-    sheets = sizes.select(STATION)
-    by_size = size_stratified_expansion(sub, sizes)
-    by_share = proportional_expansion(not_in(sub, STATION, sheets), picked)
-    whole = not_in(tally, STATION, picked).groupBy(STATION, "common_name").agg(F.sum("n").cast("double").alias("tot"))
-    stacked = whole.unionByName(by_size).unionByName(by_share).filter(F.col("common_name").isNotNull())
+    picked = subsample_detection(tally, counts).filter("subsampled").select(STATION, "barcoded_count", "egg_count")
+    sheets = sizes.select(STATION).distinct().withColumn("sheet", F.lit(True))
+    tagged = tally.join(picked.join(sheets, STATION, "left"), STATION, "left")
+    by_size = size_stratified_expansion(tagged.filter("sheet").select(*tally.columns), sizes)
+    per_name = tagged.filter(F.col("sheet").isNull()).groupBy(STATION, "common_name").agg(
+        F.sum("n").alias("n"), F.max("barcoded_count").alias("barcoded"), F.max("egg_count").alias("counted")
+    )
+    scaled = F.when(F.col("counted").isNull(), F.col("n").cast("double")).otherwise(
+        F.col("n") / F.col("barcoded") * F.col("counted")
+    )
+    rest = per_name.select(STATION, "common_name", scaled.alias("tot"))
+    stacked = rest.unionByName(by_size).filter(F.col("common_name").isNotNull())
     if floor_zero:
         stacked = stacked.withColumn("tot", floor_nonzero(F.col("tot")))
     known = counts.dropna(subset=["sst", "ihf"]).select(STATION, "sst", "ihf")

@@ -86,3 +86,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="habitatq-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The table written once to ``scratch_path`` and read back.
+
+    For a costly result that several branches of a plan use: it is computed
+    once, its size is known to the optimizer, and after a lost executor work
+    restarts from the written files.
+    """
+    path = write_table(df, scratch_path(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
