@@ -15,15 +15,15 @@ SURVEYS = ["F", "O", "P"]
 LARVAL = ["F"]
 TAXA = ["economy_10m2", "promo_10m2", "standard_10m2"]
 NAMES = {
-    ("EcoMon", "economy_10m2"): "Economy Fish",
-    ("EcoMon", "promo_10m2"): "Promo Fish",
-    ("EcoMon", "standard_10m2"): "Standard Fish",
-    ("Lewis", "ECONOMY"): "Economy Fish",
-    ("Lewis", "PROMO"): "Promo Fish",
-    ("Lewis", "STANDARD"): "Standard Fish",
-    ("NYOS", "ECONOMY"): "Economy Fish",
-    ("NYOS", "PROMO"): "Promo Fish",
-    ("NYOS", "STANDARD"): "Standard Fish",
+    ("larvae", "economy_10m2"): "Economy Fish",
+    ("larvae", "promo_10m2"): "Promo Fish",
+    ("larvae", "standard_10m2"): "Standard Fish",
+    ("egg_counts", "ECONOMY"): "Economy Fish",
+    ("egg_counts", "PROMO"): "Promo Fish",
+    ("egg_counts", "STANDARD"): "Standard Fish",
+    ("egg_barcodes", "ECONOMY"): "Economy Fish",
+    ("egg_barcodes", "PROMO"): "Promo Fish",
+    ("egg_barcodes", "STANDARD"): "Standard Fish",
 }
 
 
@@ -33,9 +33,12 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     def stations(self) -> DataFrame:
         key = F.col("o_orderkey")

@@ -450,14 +450,14 @@ QUERIES = {
     "merge_surveys": f"""
         select {COMMON_NAME} as spp, cruise_station, sst, round(abd, 6) as abd, data,
                round_even(sst*2, 0)::bigint/2e0 as temp_bin
-        from (select common_name as spp, cruise_station, sst, est as abd, 'Lewis' as data from v_combined
-              union all select common_name, cruise_station, sst, n, 'NYOS' from v_egg_stage
-              union all select spp, cruise_station, sst, abd, 'EcoMon' from v_long)""",
+        from (select common_name as spp, cruise_station, sst, est as abd, 'egg_counts' as data from v_combined
+              union all select common_name, cruise_station, sst, n, 'egg_barcodes' from v_egg_stage
+              union all select spp, cruise_station, sst, abd, 'larvae' from v_long)""",
     "merge_surveys_effort": """
         select idx/2e0 as temp_bin, round(count(*)/sum(count(*)) over (partition by data), 6) as prop_samples, data
         from (select round_even(sst*2, 0)::bigint as idx, data
-              from (select sst, 'Lewis' as data from v_counts where egg_count is not null and ihf is not null
-                    union all select sst, 'NYOS' from v_sites union all select sst, 'EcoMon' from v_station))
+              from (select sst, 'egg_counts' as data from v_counts where egg_count is not null and ihf is not null
+                    union all select sst, 'egg_barcodes' from v_sites union all select sst, 'larvae' from v_station))
         where idx is not null group by data, idx""",
     "spq_curve": "select data, spp, temp_bin, round(prop_samples, 6) as prop_samples, round(prop_fish, 6) as prop_fish, "
                  "round(q, 6) as q, round(q_norm, 6) as q_norm, round(cdf_q_norm, 6) as cdf_q_norm from v_curve",

@@ -365,7 +365,8 @@ def ordered_bins(v):
 
 @query
 def seeded_shuffle(v):
-    rows = v.counts().join(v.stations().select("cruise_station", "data"), "cruise_station")
+    counted = v.counts().join(v.stations().select("cruise_station", "data"), "cruise_station")
+    rows = tables.stored(counted.select("data", "cruise_station", "egg_count"), "counts")
     return windows.seeded_shuffle(rows, ["data"], ["cruise_station"], "egg_count", SEED, "shuffled")
 
 
@@ -573,12 +574,12 @@ def egg_stage_occurrence(v):
 
 
 def _surveys(v: Views) -> dict[str, DataFrame]:
-    lewis = expansion.combined_expansion(_tally(v), _counts(v), v.sizes())
-    nyos = expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES)
+    counted = expansion.combined_expansion(_tally(v), _counts(v), v.sizes())
+    barcoded = expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES)
     return {
-        "Lewis": lewis.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("est").alias("abd")),
-        "NYOS": nyos.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("n").alias("abd")),
-        "EcoMon": expansion.wide_to_occurrence(v.wide(), TAXA),
+        "egg_counts": counted.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("est").alias("abd")),
+        "egg_barcodes": barcoded.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("n").alias("abd")),
+        "larvae": expansion.wide_to_occurrence(v.wide(), TAXA),
     }
 
 
@@ -590,9 +591,9 @@ def merge_surveys(v):
 @query
 def merge_surveys_effort(v):
     effort = {
-        "Lewis": v.counts().dropna(subset=["egg_count", "ihf", "sst"]).select("cruise_station", "sst"),
-        "NYOS": v.site_temperatures(),
-        "EcoMon": v.stations().select("cruise_station", "sst"),
+        "egg_counts": v.counts().dropna(subset=["egg_count", "ihf", "sst"]).select("cruise_station", "sst"),
+        "egg_barcodes": v.site_temperatures(),
+        "larvae": v.stations().select("cruise_station", "sst"),
     }
     tagged = [df.select("cruise_station", "sst", F.lit(tag).alias("data")) for tag, df in effort.items()]
     stacked = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])

@@ -62,7 +62,10 @@ def dense_index(
 def seeded_shuffle(
     df: DataFrame, groups: Sequence[str], keys: Sequence[str], value: str, seed: int, out: str, digits: int = 3
 ) -> DataFrame:
-    """Rearrange ``value`` over the rows of each group in a repeatable random order."""
+    """Rearrange ``value`` over the rows of each group in a repeatable random order.
+
+    ``df`` is read four times, so pass a stored table unless it is a plain scan.
+    """
     place = dense_index(df.select(*groups, *keys, value), groups, keys, "_i", digits=digits)
     moved = dense_index(
         df.select(*groups, *keys, F.col(value).alias(out)), groups, keys, "_i", salt=[seed], digits=digits

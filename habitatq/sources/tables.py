@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -74,17 +77,25 @@ def read_depth_grid(
     return grid.filter(in_box(F.col("lon"), F.col("lat"), west, east, south, north))
 
 
+@functools.cache
+def _local_scratch() -> str:
+    folder = tempfile.mkdtemp(prefix="habitatq-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, reachable by all executors.
 
     It lies in the folder the session names in ``spark.checkpoint.dir``. Only
-    a local session without that setting gets a temporary folder of its own.
+    a local session without that setting gets a temporary folder of its own,
+    removed when Python ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="habitatq-")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
