@@ -102,19 +102,22 @@ def bins_with_target(tally: DataFrame, sizes: DataFrame) -> DataFrame:
     """Sheet bins and egg counts of each station, with the good bin that takes their frequency.
 
     A bin is good if it has barcoded eggs. A bin with a frequency but no
-    barcodes hands its frequency to the nearest good bin. Sheet rows and tally
+    barcodes hands its frequency to the nearest good bin; empty bins are left
+    out. Sheet rows and tally
     rows are stacked rather than joined, so one shuffle by station serves all
     windows; a station has at most one row per bin and species.
     """
-    at_bin = Window.partitionBy(STATION).orderBy("bin_idx").rangeBetween(0, 0)
+    at_bin = Window.partitionBy(STATION, "bin_idx")
     eggs = tally.filter(F.col("bin_idx").isNotNull()).select(STATION, "bin_idx", "common_name", "n")
-    rows = size_bin_totals(sizes).unionByName(eggs, allowMissingColumns=True).withColumns({
+    stacked = size_bin_totals(sizes).unionByName(eggs, allowMissingColumns=True).repartition(STATION)
+    rows = stacked.withColumns({
         "sheet_rows": F.max("copies").over(at_bin),
         "total": F.max("freq").over(at_bin),
         "barcoded": F.sum("n").over(at_bin),
         "first_name": F.min("common_name").over(at_bin),
     })
-    in_sheet = rows.filter(F.col("sheet_rows").isNotNull())
+    matters = F.col("barcoded").isNotNull() | F.col("spare").isNotNull()
+    in_sheet = rows.filter(F.col("sheet_rows").isNotNull() & matters)
     return nearest_good_bin(in_sheet, STATION, "bin_idx", F.col("barcoded").isNotNull(), "first_name")
 
 

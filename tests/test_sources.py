@@ -1,5 +1,9 @@
 """Readers and writers on small files."""
 
+from types import SimpleNamespace
+
+import pytest
+
 from habitatq.operators.clean import normalise_names
 from habitatq.sources import schemas, tables
 
@@ -29,13 +33,24 @@ def test_written_table_is_read_back_and_rowname_dropped(spark, tmp_path):
         assert sorted(map(str, back.collect())) == sorted(map(str, boot.collect()))
 
 
-def test_scratch_follows_the_session_setting(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        kept = tables.stored(spark.range(5).toDF("x"), "t")
-        assert kept.count() == 5 and any(tmp_path.iterdir())
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def session_like(checkpoint, master):
+    """Only what ``scratch_path`` asks a session for."""
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: checkpoint or default), sparkContext=SimpleNamespace(master=master)
+    )
+
+
+def test_scratch_follows_the_session_setting():
+    assert tables.scratch_path(session_like("hdfs://c/ck/", "yarn"), "t").startswith("hdfs://c/ck/t-")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        tables.scratch_path(session_like(None, "yarn"), "t")
+
+
+def test_stored_tables_keep_rows_and_schema(spark):
+    df = spark.range(5).selectExpr("id", "cast(id as string) as s", "array(1.5D) as a")
+    kept = tables.stored(df, "t")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
+    assert [f.dataType for f in kept.schema] == [f.dataType for f in df.schema]
 
 
 def test_names(spark):
