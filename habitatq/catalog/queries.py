@@ -670,12 +670,12 @@ def stage_comparison(v):
 
 @query
 def cdf_quantile_crossing(v):
-    return quotient.cdf_quantile_crossing(_curve(v))
+    return quotient.cdf_quantile_crossing(tables.stored(_curve(v), "curve"))
 
 
 @query
 def niche_width(v):
-    return quotient.niche_width(quotient.cdf_quantile_crossing(_curve(v)))
+    return quotient.niche_width(quotient.cdf_quantile_crossing(tables.stored(_curve(v), "curve")))
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from habitatq.operators.joins import null_safe_join
+from habitatq.sources.tables import stored
 
 
 def poisoned_sum(value: Column, keep: Column | None = None) -> Column:
@@ -74,11 +75,13 @@ def exact_quantiles(
     Approximate quantiles cut each group into value slices, and slice counts
     tell which one or two slices hold the ranks looked for. Only values of
     those slices are then ranked, so no task ever sees a whole hot group, and
-    the answer does not depend on how good the cut points were. ``slices`` is a
-    power of two. ``counted`` is read three times, so pass a stored table.
+    the answer does not depend on how good the cut points were. Cut points and
+    wanted slices are stored, at most a few rows per group, so their joins are
+    broadcast by known size and ``counted`` itself is not shuffled. ``slices``
+    is a power of two. ``counted`` is read three times, so pass a stored table.
     """
     marks = [i / slices for i in range(1, slices)]
-    cuts = counted.groupBy(*keys).agg(F.percentile_approx("_v", marks, slices * 10).alias("_cuts"))
+    cuts = stored(counted.groupBy(*keys).agg(F.percentile_approx("_v", marks, slices * 10).alias("_cuts")), "cuts")
     sliced = null_safe_join(counted, cuts, keys).withColumn("_s", F.lit(0))
     step = slices // 2
     while step:  # binary search for the slice, one codegen projection per halving
@@ -104,7 +107,7 @@ def exact_quantiles(
     )
     in_slice = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        null_safe_join(sliced, targets, [*keys, "_s"])
+        null_safe_join(sliced, stored(targets, "slices"), [*keys, "_s"])
         .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_m").over(in_slice), F.lit(0)))
         .withColumn("_last", F.col("_first") + F.col("_m") - 1)
         .withColumn("_t", F.explode("_t"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from habitatq.functions.keys import HASH_DIGITS, hash_int
 from habitatq.operators.joins import null_safe_join
+from habitatq.sources.tables import stored
 
 
 def hash_split(df: DataFrame, keys: Sequence[str], salt: Sequence[Column | str | int] = (), digits: int = 3) -> DataFrame:
@@ -92,10 +93,12 @@ def argmin_first(df: DataFrame, keys: Sequence[str], distance: str, tie_order: S
 def argmin_all_ties(df: DataFrame, keys: Sequence[str], distance: Column, digits: int = 9) -> DataFrame:
     """All rows of each key at the smallest distance, compared after rounding.
 
-    The minimum is aggregated map-side and joined back, so no group is sorted.
+    The minimum is aggregated map-side, stored at one row per key and joined
+    back: no group is sorted, and the rows are only shuffled if there are too
+    many keys to broadcast. ``df`` is read twice.
     """
     dist = df.withColumn("_d", F.round(distance, digits))
-    least = dist.groupBy(*keys).agg(F.min("_d").alias("_least"))
+    least = stored(dist.groupBy(*keys).agg(F.min("_d").alias("_least")), "least")
     return dist.join(least, list(keys)).filter(F.col("_d") == F.col("_least")).drop("_d", "_least")
 
 

@@ -50,7 +50,7 @@ def test_stored_tables_keep_rows_and_schema(spark):
     df = spark.range(5).selectExpr("id", "cast(id as string) as s", "array(1.5D) as a")
     kept = tables.stored(df, "t")
     assert sorted(map(str, kept.collect())) == sorted(map(str, df.collect()))
-    assert [f.dataType for f in kept.schema] == [f.dataType for f in df.schema]
+    assert kept.dtypes == df.dtypes
 
 
 def test_names(spark):
