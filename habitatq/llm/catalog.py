@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitatq.llm import language_id, simhash
+from habitatq.llm import language_id, phrase_automata, positional_index, simhash, suffix_array
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +26,21 @@ def op4_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op6_repeated_phrases(spark, folder):
+    return phrase_automata.without_repeats(table(spark, folder, "documents"))
+
+
+@query
+def op7_decontaminate(spark, folder):
+    return positional_index.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op9_suffix_array_dedup(spark, folder):
+    return suffix_array.repeated_passages(table(spark, folder, "documents"))
+
+
 @query
 def op10_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
