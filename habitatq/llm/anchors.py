@@ -75,25 +75,32 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def suspects(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """``doc_id, text_key, text, keys``, stored: documents with keys that another document has too, and these keys.
+    """``doc_id, text_key, text, keys, homes``, stored: documents with keys that another document has too, these
+    keys, and the smallest document that has each.
 
     Keys are counted with combination before the shuffle and each has one row when occurrences
     look it up, so a key of very many documents is split by adaptive execution.
     """
     found = sketched.filter("doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("keys").alias("key"))
     shared = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    by_doc = found.join(shared.select("key"), "key", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set("key").alias("keys"))
+    by_doc = found.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "least")).alias("has"))
     texts = W.id_text(docs).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
-    return stored(texts.join(by_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "keys"), "suspects")
+    joined = texts.join(by_doc, ["doc_id", "text_key"])
+    return stored(joined.select("doc_id", "text_key", "text", F.col("has.key").alias("keys"), F.col("has.least").alias("homes")), "suspects")
 
 
-def shared_anchors(batch: pa.RecordBatch) -> tuple[Anchors, np.ndarray]:
-    """Anchors of a ``suspects`` batch, and which of them have a key listed with their document."""
+def shared_anchors(batch: pa.RecordBatch) -> tuple[Anchors, np.ndarray, np.ndarray]:
+    """Anchors of a ``suspects`` batch, which of them have a key listed with their document, and the homes of those."""
     a = anchors_of(batch.column("text"))
-    keys = batch.column("keys")
-    listed, owner = keys.flatten().to_numpy(), np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+    keys, homes = batch.column("keys"), batch.column("homes").flatten().to_numpy()
+    owner = np.repeat(np.arange(len(keys)), np.diff(keys.offsets.to_numpy()))
+    listed = W.mix(keys.flatten().to_numpy().view(np.uint64)) + owner.astype(np.uint64)
     mine = W.mix(a.key.view(np.uint64)) + a.text.astype(np.uint64)
-    return a, np.isin(mine, W.mix(listed.view(np.uint64)) + owner.astype(np.uint64))
+    order = np.argsort(listed)
+    at = np.searchsorted(listed, mine, sorter=order)
+    at = order[np.minimum(at, len(order) - 1)] if len(order) else at[:0]
+    ok = listed[at] == mine if len(order) else np.zeros(len(mine), bool)
+    return a, ok, homes[at[ok]] if len(order) else homes
 
 
 def union_of(spans: list) -> list[list[int]]:

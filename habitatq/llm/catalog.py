@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from habitatq.llm import language_id, phrase_automata, positional_index, simhash, suffix_array
+from habitatq.llm import language_id, packing, phrase_automata, positional_index, simhash, suffix_array
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -21,6 +22,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_best_fit_packing(spark, folder):
+    return packing.pack(table(spark, folder, "documents"), tokenizer)
+
+
 @query
 def op4_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))

@@ -154,3 +154,14 @@ def identify(docs: DataFrame, modulus: int = 4, rest: int = 2) -> DataFrame:
     train = docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, rest))
     model = fit(train)
     return predict(W.id_text(docs), model).select("doc_id", held_out("doc_id", modulus, rest).alias("held_out"), "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame, min_score: float, modulus: int = 4, rest: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language with at least ``min_score``."""
+    if "lang" not in docs.columns:
+        raise ValueError("a column lang is needed to learn from")
+    model = fit(docs.filter(F.col("doc_id").isNotNull() & ~held_out("doc_id", modulus, rest)))
+    names = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items() if c != "text"], F.col("text").cast("string").alias("text"))
+    kept = predict(plain, model).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return kept.select(*[F.col("text" if c == "text" else n).cast(docs.schema[c].dataType).alias(c) for c, n in names.items()])

@@ -1,18 +1,19 @@
 """Repeated passages removed by sharded Aho-Corasick automata.
 
-1. Passages are confirmed: windows of ``WINDOW`` words around anchors that several
-   documents share are counted by fingerprint, with combination before the shuffle; one
-   that occurs in two documents is confirmed, with the smallest of its documents.
-2. The anchor phrases of confirmed windows become the patterns of automata (words as
-   letters), dealt by phrase to shards of bounded size.
-3. Every document is streamed, stretch by stretch: the words around an anchor go to the
-   shard that has patterns for it, and the automaton reports every occurrence of a phrase
-   there. Windows over an occurrence are looked up among the shard's confirmed windows, and
-   those of a smaller document are removed. A stretch is only sent where a pattern can
-   occur, so the work is the text near shared anchors once, and not texts times shards.
-
-A phrase that very many documents contain is one pattern in one shard; the stretches of such
-a shard are dealt to several tasks, each with the shard's automaton.
+1. Anchor phrases that two documents have are found (``anchors``), each with the smallest
+   document that has it, its home. Documents go to the shards of their phrases' homes: copies
+   of a document mostly share its shard, so a document's words are sent about once, and only
+   the stretches around shared phrases are.
+2. In a shard, windows of ``WINDOW`` words around its phrases are counted; those that occur in
+   two documents are confirmed as recurring, each with its smallest document.
+3. The phrases inside confirmed windows are compiled into the shard's automaton (words as
+   letters), and all stretches of the shard are streamed through it. It reports every occurrence
+   of a phrase; the windows over an occurrence that are confirmed for a smaller document are
+   removed.
+
+A shard with too many stretches, such as one with a passage of very many documents, is dealt to
+several tasks; its windows are then counted over the cluster, with combination before the
+shuffle, and every task of the shard gets the confirmed ones.
 
 A word is removed if a window of ``WINDOW`` words over it also starts in a document with a
 smaller id; windows are judged on the input. Defined cases: a null text has no words; a null
@@ -34,8 +35,8 @@ from habitatq.llm import anchors as A
 from habitatq.llm import words as W
 from habitatq.sources.tables import stored
 
-#: Phrases of one automaton, about 25 states each, and stretches that one task streams.
-SHARD_PHRASES, TASK_STRETCHES = 20_000, 50_000
+#: Anchors of a shard on average, and of one task at most, about; letters streamed at once.
+SHARD_ANCHORS, TASK_ANCHORS, LETTERS_AT_ONCE = 20_000, 60_000, 200_000
 
 
 def _letters(hashes: np.ndarray) -> np.ndarray:
@@ -43,116 +44,138 @@ def _letters(hashes: np.ndarray) -> np.ndarray:
     return np.maximum(hashes >> np.uint64(32), np.uint64(1)).astype(np.uint32)
 
 
-def _windows(letters: np.ndarray) -> np.ndarray:
-    return W.window_hash(W.mix(letters.astype(np.uint64)), A.WINDOW).view(np.int64)
-
-
-def confirmed(suspect: DataFrame) -> DataFrame:
-    """``win, key, first_doc``: windows that occur in two documents, with their anchor key and smallest document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches):
-            a, ok = A.shared_anchors(b)
-            if not ok.any():
-                continue
-            wins = _windows(_letters(a.hashes))
-            sizes = a.high[ok] - a.low[ok] + 1
-            at = np.repeat(a.at[ok] - a.high[ok], sizes) + W.spans(sizes)
-            doc = b.column("doc_id").take(pa.array(np.repeat(a.text[ok], sizes)))
-            yield pa.record_batch([pa.array(wins[at]), pa.array(np.repeat(a.key[ok], sizes)), doc], names=["win", "key", "doc_id"])
-
-    windows = suspect.mapInArrow(run, "win long, key long, doc_id long")
-    counted = windows.groupBy("win").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last"), F.min("key").alias("key"))
-    return counted.filter("first_doc < last").select("win", "key", "first_doc")
-
-
-def phrases(suspect: DataFrame) -> DataFrame:
-    """``key, phrase``: the letters of each anchor phrase of the documents, one row each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches):
-            a, ok = A.shared_anchors(b)
-            keys, first = np.unique(a.key[ok], return_index=True)
-            letters, at = _letters(a.hashes), a.at[ok][first]
-            yield pa.record_batch(
-                [pa.array(keys), pa.array([letters[p : p + A.GRAM].tobytes() for p in at], pa.binary())], names=["key", "phrase"]
-            )
-
-    return suspect.mapInArrow(run, "key long, phrase binary").groupBy("key").agg(F.min("phrase").alias("phrase"))
-
-
 def stretches(suspect: DataFrame, shards: int) -> DataFrame:
-    """``shard, doc_id, text_key, start, letters``: words around shared anchors, by the shard of the anchor's key."""
+    """``shard, doc_id, text_key, start, letters, phrases``: words around shared anchors, and where phrases start in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
-            a, ok = A.shared_anchors(b)
+            a, ok, homes = A.shared_anchors(b)
             letters = _letters(a.hashes)
-            text, at, key = a.text[ok], a.at[ok], a.key[ok]
-            start, stop, shard = at - a.high[ok], at - a.low[ok] + A.WINDOW, np.fmod(key, shards)
+            text, at = a.text[ok], a.at[ok]
+            start, stop = at - a.high[ok], at - a.low[ok] + A.WINDOW
+            shard = (W.mix(homes.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
             order = np.lexsort((start, shard, text))
-            out, last = [], None
-            for t, k, s, e in zip(text[order].tolist(), shard[order].tolist(), start[order].tolist(), stop[order].tolist()):
-                if last == (t, k) and s <= out[-1][3]:
+            out: list[list] = []
+            for t, k, s, e, p in zip(*(x[order].tolist() for x in (text, shard, start, stop, at))):
+                if out and out[-1][:2] == [t, k] and s <= out[-1][3]:
                     out[-1][3] = max(out[-1][3], e)
+                    out[-1][4].append(p - out[-1][2])
                 else:
-                    out.append([t, k, s, e])
-                last = (t, k)
+                    out.append([t, k, s, e, [p - s]])
             texts = pa.array([x[0] for x in out], pa.int64())
             yield pa.record_batch(
                 [
                     pa.array([x[1] for x in out], pa.int64()), b.column("doc_id").take(texts), b.column("text_key").take(texts),
                     pa.array([x[2] - int(a.words.ptr[x[0]]) for x in out], pa.int64()),
-                    pa.array([letters[x[2] : x[3]].tobytes() for x in out], pa.binary()),
+                    pa.array([letters[x[2] : x[3]].tobytes() for x in out], pa.binary()), pa.array([x[4] for x in out], pa.list_(pa.int32())),
                 ],
-                names=["shard", "doc_id", "text_key", "start", "letters"],
+                names=["shard", "doc_id", "text_key", "start", "letters", "phrases"],
             )
 
-    return suspect.mapInArrow(run, "shard long, doc_id long, text_key long, start long, letters binary")
-
-
-def _occurrences(streamed: pa.Table, patterns: pa.Table) -> pa.Table:
-    """Spans of ``streamed`` that repeat a smaller document, found by one automaton."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, p in enumerate(set(patterns.column("phrase").drop_null().to_pylist())):
-        automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()), i)
-    out: list[tuple] = []
-    wins = patterns.column("win").to_numpy()
-    order = np.argsort(wins, kind="stable")
-    wins, first = wins[order], patterns.column("first_doc").to_numpy()[order]
-    if len(automaton):
-        automaton.make_automaton()
-        over = np.arange(A.GRAM - A.WINDOW, 1)  # starts of windows over a phrase, from where the phrase starts
-        for doc, key, base, raw in zip(*(streamed.column(c).to_pylist() for c in ("doc_id", "text_key", "start", "letters"))):
-            letters = np.frombuffer(raw, np.uint32)
-            ends = [e for e, _ in automaton.iter(tuple(letters.tolist()))]
-            if not ends:
-                continue
-            starts = np.unique((np.array(ends)[:, None] - (A.GRAM - 1) + over[None, :]).ravel())
-            starts = starts[(starts >= 0) & (starts + A.WINDOW <= len(letters))]
-            mine = _windows(letters)[starts]
-            at = np.minimum(np.searchsorted(wins, mine), len(wins) - 1)
-            found = starts[(wins[at] == mine) & (first[at] < doc)]
-            if len(found):
-                cut = np.flatnonzero(np.diff(found) > A.WINDOW) + 1
-                for s, e in zip(found[np.concatenate([[0], cut])], found[np.concatenate([cut - 1, [len(found) - 1]])]):
-                    out.append((doc, key, base + int(s), base + int(e) + A.WINDOW))
-    names = ("doc_id", "text_key", "start", "stop")
-    return pa.table({n: pa.array([x[i] for x in out], pa.int64()) for i, n in enumerate(names)})
-
-
-def repeated_spans(suspect: DataFrame, shard_phrases: int = SHARD_PHRASES, task_stretches: int = TASK_STRETCHES) -> DataFrame:
-    """``doc_id, text_key, start, stop``: spans of words to remove."""
-    windows = stored(confirmed(suspect), "confirmed")
-    shards = max(1, -(-windows.select(F.approx_count_distinct("key")).first()[0] // shard_phrases))
-    streamed = stored(stretches(suspect, shards), "stretches")
-    sizes = streamed.groupBy("shard").count().select("shard", F.ceil(F.col("count") / task_stretches).cast("int").alias("tasks"))
-    dealt = streamed.join(sizes, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id", "start"), "tasks").cast("int"))
-    named = windows.join(phrases(suspect), "key").withColumn("shard", F.col("key") % shards)
-    # the remainder keeps the sign of the key, on both sides alike
-    patterns = named.join(sizes, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-    left = dealt.select("shard", "task", "doc_id", "text_key", "start", "letters").groupBy("shard", "task")
-    right = patterns.select("shard", "task", "phrase", "win", "first_doc").groupBy("shard", "task")
+    return suspect.mapInArrow(run, "shard long, doc_id long, text_key long, start long, letters binary, phrases array<int>")
+
+
+class _Stretches:
+    """Stretches laid end to end, a free letter after each."""
+
+    def __init__(self, table: pa.Table | pa.RecordBatch):
+        raw = table.column("letters").to_pylist()
+        self.size = np.array([len(x) // 4 for x in raw], np.int64)
+        self.base = np.cumsum(self.size + 1) - (self.size + 1)
+        self.letters = np.frombuffer(b"\0\0\0\0".join([*raw, b""]), np.uint32)
+        self.doc, self.start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
+        counts = table.column("phrases").combine_chunks() if isinstance(table, pa.Table) else table.column("phrases")
+        self.phrase = counts.flatten().to_numpy() + np.repeat(self.base, np.diff(counts.offsets.to_numpy()))
+        self.owner = np.repeat(np.arange(len(raw)), self.size + 1)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where a window lies inside one stretch, and its fingerprint."""
+        size = np.maximum(self.size - A.WINDOW + 1, 0)
+        at = np.repeat(self.base, size) + W.spans(size)
+        return at, W.window_hash(W.mix(self.letters.astype(np.uint64)), A.WINDOW)[at].view(np.int64)
+
+
+def _counted(win: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of two documents in order, and the smallest document of each."""
+    order = np.argsort(win, kind="stable")
+    win, low, high = win[order], low[order], high[order]
+    first = np.flatnonzero(np.concatenate([[True], win[1:] != win[:-1]])) if len(win) else np.zeros(0, np.int64)
+    if not len(first):
+        return win, low
+    low, high, win = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), win[first]
+    return win[low < high], low[low < high]
+
+
+def _occurrences(streamed: pa.Table, shared: pa.Table) -> pa.Table:
+    """Spans of ``streamed`` that repeat a smaller document, found by one automaton.
+
+    ``shared`` has the confirmed windows of a shard of several tasks; others confirm their own.
+    """
+    spans = {n: pa.array([], pa.int64()) for n in ("doc_id", "text_key", "start", "stop")}
+    if not streamed.num_rows:
+        return pa.table(spans)
+    s = _Stretches(streamed)
+    at, win = s.windows()
+    if shared.num_rows:
+        known, least = _counted(*(shared.column(c).to_numpy() for c in ("win", "low", "high")))
+    else:
+        known, least = _counted(win, s.doc[s.owner[at]], s.doc[s.owner[at]])
+    if not len(known):
+        return pa.table(spans)
+    place = np.minimum(np.searchsorted(known, win), len(known) - 1)
+    recurs = np.zeros(len(s.letters), bool)
+    recurs[at[known[place] == win]] = True
+    earlier = np.zeros(len(s.letters), bool)
+    earlier[at[(known[place] == win) & (least[place] < s.doc[s.owner[at]])]] = True
+    # a phrase is compiled if some window over it is confirmed
+    sums = np.concatenate([[0], np.cumsum(recurs)])
+    inside = sums[s.phrase + 1] > sums[np.maximum(s.phrase + A.GRAM - A.WINDOW, 0)]
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    for p in {s.letters[x : x + A.GRAM].tobytes() for x in s.phrase[inside].tolist()}:
+        automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()))
+    if not len(automaton):
+        return pa.table(spans)
+    automaton.make_automaton()
+    found = np.zeros(len(s.letters) + 1, np.int64)
+    for a in range(0, len(s.letters), LETTERS_AT_ONCE):
+        part = tuple(s.letters[max(0, a - A.GRAM + 1) : a + LETTERS_AT_ONCE].tolist())
+        ends = np.fromiter((e for e, _ in automaton.iter(part)), np.int64) + max(0, a - A.GRAM + 1)
+        begin = ends - A.GRAM + 1
+        np.add.at(found, np.maximum(begin + A.GRAM - A.WINDOW, 0), 1)
+        np.add.at(found, begin + 1, -1)
+    cut = np.flatnonzero(earlier & (np.cumsum(found)[:-1] > 0))
+    if not len(cut):
+        return pa.table(spans)
+    new = np.concatenate([[True], (np.diff(cut) > A.WINDOW) | (np.diff(s.owner[cut]) > 0)])
+    first, last = cut[new], cut[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(cut) - 1]])]
+    row = s.owner[first]
+    start = first - s.base[row] + s.start[row]
+    key = streamed.column("text_key").to_numpy()[row]
+    return pa.table({"doc_id": s.doc[row], "text_key": key, "start": start, "stop": start + last - first + A.WINDOW})
+
+
+def repeated_spans(suspect: DataFrame, shard_anchors: int = SHARD_ANCHORS, task_anchors: int = TASK_ANCHORS) -> DataFrame:
+    """``doc_id, text_key, start, stop``: spans of words to remove. ``suspect`` is read several times."""
+    total = suspect.select(F.sum(F.size("keys"))).first()[0] or 0
+    streamed = stretches(suspect, max(1, -(-total // shard_anchors)))
+    sizes = streamed.groupBy("shard").agg(F.sum(F.size("phrases")).alias("n"))
+    sizes = stored(sizes.select("shard", F.ceil(F.col("n") / task_anchors).cast("int").alias("tasks")), "shards")
+    dealt = streamed.join(sizes, "shard").withColumn("task", F.pmod(F.xxhash64("doc_id"), "tasks").cast("int"))
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                s = _Stretches(b)
+                at, win = s.windows()
+                row = s.owner[at]
+                yield pa.record_batch([b.column("shard").take(pa.array(row)), pa.array(win), pa.array(s.doc[row])], names=["shard", "win", "doc"])
+
+    several = sizes.filter("tasks > 1")
+    crowded = dealt.filter("tasks > 1").select("shard", "doc_id", "start", "letters", "phrases").mapInArrow(windows, "shard long, win long, doc long")
+    counted = crowded.groupBy("shard", "win").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high")
+    shared = counted.join(several, "shard").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    left = dealt.select("shard", "task", "doc_id", "text_key", "start", "letters", "phrases").groupBy("shard", "task")
+    right = shared.select("shard", "task", "win", "low", "high").groupBy("shard", "task")
     return left.cogroup(right).applyInArrow(_occurrences, "doc_id long, text_key long, start long, stop long")
 
 

@@ -39,7 +39,7 @@ def suffixes(suspect: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches):
-            a, ok = A.shared_anchors(b)
+            a, ok, _ = A.shared_anchors(b)
             if not ok.any():
                 continue
             text, at, low, high = a.text[ok], a.at[ok], a.low[ok], a.high[ok]
