@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from habitatq.llm import language_id, packing, phrase_automata, positional_index, simhash, suffix_array
+from habitatq.llm import (
+    language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, quality_rules, simhash, suffix_array, url_filter,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,16 +28,31 @@ def tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_url_filter(spark, folder):
+    return url_filter.filter_pages(table(spark, folder, "pages"))
+
+
 @query
 def op2_best_fit_packing(spark, folder):
     return packing.pack(table(spark, folder, "documents"), tokenizer)
 
 
+@query
+def op3_quality_rules(spark, folder):
+    return quality_rules.rules(table(spark, folder, "documents"))
+
+
 @query
 def op4_simhash_near_dedup(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query
+def op5_license_rules(spark, folder):
+    return license_rules.scan(table(spark, folder, "documents"))
+
+
 @query
 def op6_repeated_phrases(spark, folder):
     return phrase_automata.without_repeats(table(spark, folder, "documents"))
@@ -46,6 +63,11 @@ def op7_decontaminate(spark, folder):
     return positional_index.decontaminate(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op8_pairwise_quality(spark, folder):
+    return pairwise_quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op9_suffix_array_dedup(spark, folder):
     return suffix_array.repeated_passages(table(spark, folder, "documents"))
@@ -54,3 +76,47 @@ def op9_suffix_array_dedup(spark, folder):
 @query
 def op10_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
+
+
+_WINDOWS = """
+w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as ws from documents),
+win as (select doc_id, p, array_to_string(list_slice(ws, p + 1, p + 50), ' ') as seq
+        from (select doc_id, ws, unnest(range(0, len(ws) - 49)) as p from w)),
+least as (select seq, min(doc_id) as m from win group by seq),
+hit as (select doc_id, p, m from win join least using (seq) where m < doc_id)
+"""
+
+SQL["op5_license_rules"] = license_rules.sql()
+
+SQL["op6_repeated_phrases"] = f"""with {_WINDOWS},
+cov as (select distinct doc_id, p + k as i from hit cross join (select unnest(range(0, 50)) as k)),
+word as (select doc_id, unnest(ws) as x, unnest(range(0, len(ws))) as i from w),
+kept as (select doc_id, string_agg(x, ' ' order by i) as body from word anti join cov using (doc_id, i) group by doc_id),
+gone as (select doc_id, count(*) as n from cov group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_removed,
+       sha256(coalesce(body, '')) as kept_sha256
+from w left join kept using (doc_id) left join gone using (doc_id)"""
+
+SQL["op7_decontaminate"] = """with
+low as (select 'd' as kind, doc_id as id, text from documents union all select 'b', item_id, text from benchmark),
+w as (select kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from low),
+item as (select distinct id as item_id, n, array_to_string(list_slice(ws, p + 1, p + n), ' ') as seq
+         from (select id, ws, least(10, len(ws)) as n, unnest(range(0, len(ws) - least(10, len(ws)) + 1)) as p from w where kind = 'b' and len(ws) > 0)),
+size as (select distinct n from item),
+win as (select id as doc_id, p, n, array_to_string(list_slice(ws, p + 1, p + n), ' ') as seq
+        from (select id, ws, n, unnest(range(0, len(ws) - n + 1)) as p from w cross join size where kind = 'd')),
+hit as (select doc_id, p, win.n, item_id from win join item on win.seq = item.seq and win.n = item.n),
+cov as (select doc_id, count(distinct p + k) as n_hit from (select doc_id, p, unnest(range(0, n)) as k from hit) group by doc_id),
+its as (select doc_id, count(*) as n_items, string_agg(name, ',' order by name) as names
+        from (select distinct doc_id, cast(item_id as varchar) as name from hit) group by doc_id)
+select w.id as doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+       cast(coalesce(n_items, 0) as bigint) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join cov on cov.doc_id = w.id left join its on its.doc_id = w.id where kind = 'd'"""
+
+SQL["op9_suffix_array_dedup"] = f"""with {_WINDOWS},
+mark as (select *, case when p > lag(p) over (partition by doc_id order by p) + 50 or lag(p) over (partition by doc_id order by p) is null
+         then 1 else 0 end as fresh from hit),
+run as (select *, sum(fresh) over (partition by doc_id order by p) as r from mark)
+select doc_id, cast(min(p) as bigint) as first_word, cast(max(p) + 50 - min(p) as bigint) as n_words, arg_min(m, p) as source_doc_id
+from run group by doc_id, r"""

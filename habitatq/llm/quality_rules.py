@@ -36,11 +36,11 @@ MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE, WORD_SCATTER = 0.3, 0.2, 1.5
 
 LOWER, UPPER, DIGIT, MARK, SYMBOL, SPACE, OTHER = range(7)
 CLASSES = 7
-_CLASS = np.full(256, SYMBOL, np.int64)
-_CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = LOWER, UPPER, DIGIT
-_CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = MARK
-_CLASS[:0x21] = SPACE
-_CLASS[0x80:] = OTHER
+CLASS_OF = np.full(256, SYMBOL, np.int64)
+CLASS_OF[0x61:0x7B], CLASS_OF[0x41:0x5B], CLASS_OF[0x30:0x3A] = LOWER, UPPER, DIGIT
+CLASS_OF[[ord(c) for c in ".,;:!?'\"()-"]] = MARK
+CLASS_OF[:0x21] = SPACE
+CLASS_OF[0x80:] = OTHER
 _FIRST_BYTE = np.ones(256, np.int64)
 _FIRST_BYTE[0x80:0xC0] = 0  # the rest of a code point
 _SYMBOLS = np.zeros(256, np.int64)
@@ -58,7 +58,7 @@ def class_counts(w: W.Words) -> np.ndarray:
     n = len(w.ptr) - 1
     text = np.repeat(np.arange(n), np.diff(w.offsets))
     first = _FIRST_BYTE[w.data] > 0
-    return np.bincount((text * CLASSES + _CLASS[w.data])[first], minlength=n * CLASSES).reshape(n, CLASSES)
+    return np.bincount((text * CLASSES + CLASS_OF[w.data])[first], minlength=n * CLASSES).reshape(n, CLASSES)
 
 
 def lower_hashes(w: W.Words) -> np.ndarray:
