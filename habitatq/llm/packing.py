@@ -40,79 +40,91 @@ STEP, RATE = 0.1, 6.0
 #: Share of a sequence that a configuration must fill to be used.
 FULL = 0.985
 NUMBERED_AT_ONCE = 100_000
-_KNOWN_PIECES = 300_000
+_KNOWN_PIECES = 400_000
+
+
+#: Bytes of words that are one piece: ASCII letters, and the two bytes of U+00C0 to U+00FF but for the signs U+00D7 and U+00F7.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0xC3, *range(0x80, 0xC0)]] = True
+_LETTER[[0x97, 0xB7]] = False
+#: ASCII marks; letters followed by a run of them are two pieces.
+_MARK = np.zeros(256, bool)
+_MARK[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 
 
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own.
 
-    The tokenizer drops white space and never joins what it separates, so the distinct words of
-    a slice are encoded once. Words of ASCII letters, with or without one closing mark, are further
-    reduced to lower-case pieces, which stay known between slices (up to a bound) and are encoded
-    many at a time; where one ends shows by the end-of-word tokens. A text that may hold a
-    special token is encoded as it is.
+    The tokenizer drops white space and never joins what it separates, nor letters and marks, so the
+    distinct words of a slice are encoded once, those of plain letters without their case and
+    without one closing mark. Such pieces stay known between slices (up to a bound) and are
+    encoded many at a time; where one ends shows by the end-of-word tokens. A text that may hold
+    a special token is encoded as it is.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.uint16 if max(vocabulary.values()) < 1 << 16 else np.uint32
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.special = [t.encode() for t in (x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
-        self.known: dict[bytes, list[int]] = {}
+        self.special = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[bytes, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.kind).tobytes()
 
     def learn(self, pieces: list[bytes]) -> None:
-        for a in range(0, len(pieces), 256):
-            some = pieces[a : a + 256]
-            ids = np.array(self.whole([b" ".join(some).decode()])[0], np.int64)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+        for a in range(0, len(pieces), 512):
+            some = pieces[a : a + 512]
+            ids = np.array(self.whole(b" ".join(some).decode()), self.kind)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some) and stops[-1] == len(ids):
-                parts = [x.tolist() for x in np.split(ids, stops[:-1])]
-            else:
-                parts = self.whole([x.decode() for x in some])
-            self.known.update(zip(some, parts))
-
-    def words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; words have no ASCII white space."""
-        keys: list[tuple[bytes, ...]] = []
-        odd: set[bytes] = set()
-        for w in words:
-            if w.isalpha():
-                keys.append((w.lower(),))
-            elif w[-1:] in b".,!" and w[:-1].isalpha():
-                keys.append((w[:-1].lower(), w[-1:]))
+                raw, size = ids.tobytes(), ids.itemsize
+                self.known.update((p, raw[s * size : e * size]) for p, s, e in zip(some, [0, *stops], stops))
             else:
-                keys.append((w,))
-                odd.add(w)
-        if len(self.known) > _KNOWN_PIECES:
-            self.known.clear()
-        new = {p for k in keys for p in k if p not in self.known}
-        strange = [p for p in new if p in odd]
-        self.learn(sorted(new.difference(odd)))
-        self.known.update(zip(strange, self.whole([p.decode() for p in strange])))
-        known = self.known
-        return [known[k[0]] if len(k) == 1 else known[k[0]] + known[k[1]] for k in keys]
+                self.known.update((p, self.bytes_of(self.whole(p.decode()))) for p in some)
 
     def texts(self, column: pa.Array) -> list[np.ndarray]:
         """The closing id ends each."""
         w = W.words_of(column)
-        raw = w.data.tobytes()
-        _, first, which = np.unique(w.hashes(), return_index=True, return_inverse=True)
-        lists = self.words([raw[s:e] for s, e in zip(w.start[first].tolist(), w.end[first].tolist())])
-        sizes = np.array([len(x) for x in lists], np.int64)
-        flat = np.array([y for x in lists for y in x], np.uint32)
-        begin = np.cumsum(sizes) - sizes
-        each = sizes[which] if len(which) else np.zeros(0, np.int64)
-        ids = flat[np.repeat(begin[which], each) + W.spans(each)] if len(each) else flat
-        borders = np.concatenate([[0], np.cumsum(each)])[w.ptr]
+        letters, marks = (np.concatenate([[0], np.cumsum(table[w.data], dtype=np.int32)]) for table in (_LETTER, _MARK))
+        middle = w.start + letters[w.end] - letters[w.start]
+        plain = (letters[middle] - letters[w.start] == middle - w.start) & (marks[w.end] - marks[middle] == w.end - middle)
+        middle = np.where(plain & (middle > w.start), middle, w.end)
+        count = 1 + (middle < w.end)
+        place = np.cumsum(count) - count
+        start, end = np.repeat(w.start, count), np.repeat(w.end, count)
+        end[place] = middle
+        tail = place[count > 1] + 1
+        start[tail] = middle[count > 1]
+        plain = np.repeat(plain, count)
+        lower = W.LOWER[w.data]
+        key = W.Words(lower, w.offsets, start, end, w.ptr).hashes()
+        key[~plain] = W.mix(W.Words(w.data, w.offsets, start[~plain], end[~plain], w.ptr).hashes() + np.uint64(1))
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        raw, low = w.data.tobytes(), lower.tobytes()
+        simple = plain[first].tolist()
+        pieces = [low[s:e] if ok else raw[s:e] for s, e, ok in zip(start[first].tolist(), end[first].tolist(), simple)]
+        if len(self.known) > _KNOWN_PIECES:
+            self.known.clear()
+        new = [i for i, p in enumerate(pieces) if p not in self.known]
+        self.learn([pieces[i] for i in new if simple[i]])
+        self.known.update((pieces[i], self.bytes_of(self.whole(pieces[i].decode()))) for i in new if not simple[i])
+        parts = [self.known[p] for p in pieces]
+        flat = np.frombuffer(b"".join(parts), self.kind)
+        sizes = np.array([len(x) for x in parts], np.int64) // flat.itemsize
+        taken = sizes[which]
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which], taken) + W.spans(taken)].astype(np.uint32) if len(flat) else flat.astype(np.uint32)
+        borders = np.concatenate([[0], np.cumsum(taken)])[np.concatenate([place, [len(start)]])[w.ptr]]
         out = [np.append(ids[a:b], np.uint32(CLOSING_ID)) for a, b in zip(borders[:-1], borders[1:])]
         if any(x in raw for x in self.special):
             for i, text in enumerate(column.to_pylist()):
                 if text and any(x in text.encode() for x in self.special):
-                    out[i] = np.array([*self.whole([text])[0], CLOSING_ID], np.uint32)
+                    out[i] = np.array([*self.whole(text), CLOSING_ID], np.uint32)
         return out
 
 
