@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 SPECIES = ["ECONOMY", "PROMO", "STANDARD", "SMALL", "MEDIUM"]
 SURVEYS = ["F", "O", "P"]
 LARVAL = ["F"]
-TAXA = ["economy_10m2", "promo_10m2", "standard_10m2"]
+TAXA = ["economy_10m2", "promo_10m2", "standard_10m2", "small_10m2", "medium_10m2", "large_10m2"]
 NAMES = {
     ("larvae", "economy_10m2"): "Economy Fish",
     ("larvae", "promo_10m2"): "Promo Fish",
@@ -61,9 +61,7 @@ class Views:
     def occurrence(self) -> DataFrame:
         st = self.stations()
         both = self.fish().join(st, F.col("l_orderkey") == F.col("o_orderkey"))
-        return both.filter(~((F.col("data") == "P") & (F.col("spp") == "SMALL"))).select(
-            "spp", "cruise_station", "sst", "data", "abd"
-        )
+        return both.select("spp", "cruise_station", "sst", "data", "abd")
 
     def wide(self) -> DataFrame:
         taxa = [F.sum(F.when(F.col("spp") == t.split("_")[0].upper(), F.col("abd"))).alias(t) for t in TAXA]

@@ -6,8 +6,9 @@ import re
 
 from habitatq.plans.resampling import poisson_cutoffs
 
-RUNS = 5
+RUNS = 100
 SEED = 19
+TAXA = ["economy_10m2", "promo_10m2", "standard_10m2", "small_10m2", "medium_10m2", "large_10m2"]
 SPECIES = "('ECONOMY','PROMO','STANDARD','SMALL','MEDIUM')"
 NEWTON_STEPS = 12
 
@@ -19,13 +20,15 @@ VIEWS = {
     "v_occurrence": """
         select p.p_type as spp, s.cruise_station, s.sst, s.data, sum(l.l_quantity) as abd
         from lineitem l join part p on l.l_partkey = p.p_partkey join v_station s on l.l_orderkey = s.o_orderkey
-        where not (s.data = 'P' and p.p_type = 'SMALL')
         group by p.p_type, s.cruise_station, s.sst, s.data""",
     "v_wide": """
         select cruise_station, data, coalesce(sst, 9999e0) as sst,
                sum(case when spp = 'ECONOMY' then abd end) as economy_10m2,
                sum(case when spp = 'PROMO' then abd end) as promo_10m2,
-               sum(case when spp = 'STANDARD' then abd end) as standard_10m2
+               sum(case when spp = 'STANDARD' then abd end) as standard_10m2,
+               sum(case when spp = 'SMALL' then abd end) as small_10m2,
+               sum(case when spp = 'MEDIUM' then abd end) as medium_10m2,
+               sum(case when spp = 'LARGE' then abd end) as large_10m2
         from v_occurrence group by cruise_station, data, sst""",
     "v_coded": """
         select s.cruise_station, 170511100 + l.l_partkey % 5 as taxa_code,
@@ -159,12 +162,8 @@ VIEWS = {
         from v_barcodes b left join v_sites s on s.cruise_station = b.cruise_id || '_' || b.station_id
         where b.cruise_id <> '2103' and b.stage = 'Egg' and b.common_name in {SPECIES}
         group by b.cruise_id, b.station_id, b.common_name""",
-    "v_long": """
-        select cruise_station, data, sst, 'economy_10m2' as spp, coalesce(economy_10m2, 0) as abd from v_wide
-        where sst <> 9999
-        union all select cruise_station, data, sst, 'promo_10m2', coalesce(promo_10m2, 0) from v_wide where sst <> 9999
-        union all select cruise_station, data, sst, 'standard_10m2', coalesce(standard_10m2, 0) from v_wide
-        where sst <> 9999""",
+    "v_long": " union all ".join(
+        f"select cruise_station, data, sst, '{t}' as spp, coalesce({t}, 0) as abd from v_wide where sst <> 9999" for t in TAXA),
     "v_effort": """
         select data, idx as bin_idx, count(*) as n, count(*) / sum(count(*)) over (partition by data) as prop_samples
         from (select data, round_even(sst*2, 0)::bigint as idx from v_station) where idx is not null
@@ -198,7 +197,7 @@ VIEWS = {
     "v_draws": f"""
         select d.data, d.spp, d.run, d.i, d.idx, p.bin_idx, p.abd
         from (select data, spp, run, i,
-                     ('0x' || substr(md5('{SEED}|' || data || '|' || spp || '|' || run || '|' || i), 1, 15))::bigint
+                     ('0x' || substr(md5('{SEED}|' || data || '|' || spp || '|' || run || '|' || i // 2), 1 + 16 * (i % 2), 15))::bigint
                        % size as idx
               from v_numbered_panel cross join (select range as run from range(1, {RUNS + 1}))) d
         join v_numbered_panel p on p.data = d.data and p.spp = d.spp and p.i = d.idx""",
@@ -270,7 +269,8 @@ def _newton_views() -> dict[str, str]:
 
 VIEWS |= _newton_views()
 
-BAND = "spp, stage, temp, round(prop, 4) as prop, round(se, 4) as se, round(lower, 4) as lower, round(upper, 4) as upper"
+BAND = "spp, stage, temp, round(prop, 4) as prop, round(se, 4) as se, round(lower, 4) as lower, round(upper, 4) as upper, " \
+    "true as converged"
 
 
 def _cases(branches: list[tuple[str, str]], rest: str) -> str:
@@ -308,12 +308,11 @@ QUERIES = {
     "filter_not_in_list": f"select * from v_visits where {NO_EXTRA_HAULS}",
     "filter_not_null": "select * from v_counts where sst is not null",
     "drop_any_null": "select * from v_counts where sst is not null and egg_count is not null and ihf is not null",
-    "sentinel_to_null": "select cruise_station, data, nullif(sst, 9999) as sst, economy_10m2, promo_10m2, standard_10m2 "
-                        "from v_wide",
-    "absence_to_zero": "select cruise_station, data, sst, coalesce(economy_10m2, 0) as economy_10m2, "
-                       "coalesce(promo_10m2, 0) as promo_10m2, standard_10m2 from v_wide",
-    "split_env_and_taxa": "select cruise_station, nullif(sst, 9999) as sst, coalesce(economy_10m2, 0) as economy_10m2, "
-                          "coalesce(promo_10m2, 0) as promo_10m2, coalesce(standard_10m2, 0) as standard_10m2 from v_wide",
+    "sentinel_to_null": "select * replace (nullif(sst, 9999) as sst) from v_wide",
+    "absence_to_zero": "select * replace (coalesce(economy_10m2, 0) as economy_10m2, coalesce(promo_10m2, 0) as promo_10m2) "
+                       "from v_wide",
+    "split_env_and_taxa": "select cruise_station, nullif(sst, 9999) as sst, "
+                          + ", ".join(f"coalesce({t}, 0) as {t}" for t in TAXA) + " from v_wide",
     "fix_labels": "select cruise_station, case common_name when 'SMALL' then 'Small flounder' when 'LARGE' then "
                   "'Large flounder' else common_name end as common_name, diameter from v_eggs",
     "harmonise_taxa": "select " + _cases([("data='F' and spp='SMALL'", "'Silver Hake'"),
@@ -400,9 +399,7 @@ QUERIES = {
         from p a join p b on a.data = b.data and a.i = b.r""",
     "union_surveys": "select cruise_station, sst, 'wide' as data from v_wide "
                      "union all select cruise_station, sst, 'site' from v_sites",
-    "taxa_to_long": "select cruise_station, sst, 'economy_10m2' as spp, economy_10m2 as abd from v_wide "
-                    "union all select cruise_station, sst, 'promo_10m2', promo_10m2 from v_wide "
-                    "union all select cruise_station, sst, 'standard_10m2', standard_10m2 from v_wide",
+    "taxa_to_long": " union all ".join(f"select cruise_station, sst, '{t}' as spp, {t} as abd from v_wide" for t in TAXA),
     "season_to_wide": f"select station_id, {SEASON_COLUMNS} from v_visits group by 1",
     "half_degree_bin": "select cruise_station, round_even(sst*2, 0)::bigint as bin_idx, "
                        "round_even(floor(sst*4)/4*2, 0)::bigint/2e0 as tie_bin from v_station",
@@ -460,8 +457,9 @@ QUERIES = {
                     union all select sst, 'egg_barcodes' from v_sites union all select sst, 'larvae' from v_station))
         where idx is not null group by data, idx""",
     "spq_curve": "select data, spp, temp_bin, round(prop_samples, 6) as prop_samples, round(prop_fish, 6) as prop_fish, "
-                 "round(q, 6) as q, round(q_norm, 6) as q_norm, round(cdf_q_norm, 6) as cdf_q_norm from v_curve",
-    "bootstrap_draws": "select data, spp, run, i, idx, bin_idx, abd from v_draws",
+                 "round(q, 6) as q, round(q_norm, 6) as q_norm, round(cdf_q_norm, 6) as cdf_q_norm from v_curve "
+                 "union all select data, 'ABSENT', bin_idx/2e0, round(prop_samples, 6), 0e0, 0e0, null, null from v_effort",
+    "bootstrap_draws": "select data, spp, run, bin_idx, abd, count(*) as n from v_draws group by all",
     "bootstrap_poisson": f"""
         select data, spp, run, bin_idx, sum(w)::bigint as n_samples, sum(w*abd) as n_fish
         from (select *, {POISSON} as w

@@ -13,7 +13,7 @@ from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, logistic, quotient, resampling, surveys
 from habitatq.sources import schemas, tables
 
-RUNS = 5
+RUNS = 100
 SEED = 19
 REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -570,12 +570,12 @@ def combined_expansion(v):
 
 @query
 def egg_stage_occurrence(v):
-    return expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES)
+    return expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES, ["2103"])
 
 
 def _surveys(v: Views) -> dict[str, DataFrame]:
     counted = expansion.combined_expansion(_tally(v), _counts(v), v.sizes())
-    barcoded = expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES)
+    barcoded = expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES, ["2103"])
     return {
         "egg_counts": counted.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("est").alias("abd")),
         "egg_barcodes": barcoded.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("n").alias("abd")),
@@ -607,7 +607,9 @@ def _curve(v: Views) -> DataFrame:
 
 @query
 def spq_curve(v):
-    return rounded(_curve(v), "prop_samples", "prop_fish", "q", "q_norm", "cdf_q_norm")
+    """With one species that no survey has caught."""
+    curve = quotient.spq_curve(v.occurrence(), v.stations(), [*SPECIES, "ABSENT"])
+    return rounded(curve, "prop_samples", "prop_fish", "q", "q_norm", "cdf_q_norm")
 
 
 def _draws(v: Views) -> DataFrame:
@@ -620,7 +622,8 @@ def _replicates(v: Views) -> DataFrame:
 
 @query
 def bootstrap_draws(v):
-    return _draws(v)
+    """Draws counted by run, bin and abundance."""
+    return _draws(v).groupBy("data", "spp", "run", "bin_idx", "abd").agg(F.count("*").alias("n"))
 
 
 @query
@@ -692,7 +695,7 @@ def station_season_effort_from_visits(v):
 
 @query
 def station_species_tally(v):
-    return surveys.station_species_tally(v.barcodes(), surveys.numbered_waypoints(v.waypoints()), drop_names=["LARGE"])
+    return surveys.station_species_tally(v.barcodes(), surveys.numbered_waypoints(v.waypoints()), ["2103"], ["Juvenile"], ["LARGE"])
 
 
 @query

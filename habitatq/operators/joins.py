@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from habitatq.sources.tables import stored
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which missing keys match each other; keys of the left side are kept."""
@@ -28,20 +30,29 @@ def salted_left_join(
 
     Keys with more than ``hot_share`` of the left rows are counted first; there
     are fewer than ``1 / hot_share`` of them, so broadcasting that key list is
-    safe for any input. Left rows of a hot key are spread over ``salts`` tasks
-    by the partition they come from, which also splits exact copies of a row
-    and is the same after a retry; right rows of hot keys are repeated once per
+    safe for any input. Exact copies among the left rows of a hot key are
+    counted first and expanded after the join; the distinct ones are spread over
+    ``salts`` tasks by a hash of all their columns, which is the same after a
+    retry and however the rows lie. Right rows of hot keys are repeated once per
     salt. Rows fan out over duplicate right keys as in a plain left join.
+    ``left`` is read twice and must have no map columns.
     """
     keys = list(keys)
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all")).scalar()
-    hot = F.broadcast(counts.filter(F.col("_n") > total * F.lit(hot_share)).select(*keys, F.lit(True).alias("_hot")))
-    spread = F.pmod(F.spark_partition_id(), F.lit(salts))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
-    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+    hot = stored(counts.filter(F.col("_n") > total * F.lit(hot_share)).select(*keys, F.lit(True).alias("_hot")), "hot")
+    if hot.isEmpty():
+        return left.join(right, keys, "left")
+    hot = F.broadcast(hot)
+    tagged = left.join(hot, keys, "left")
+    crowded = tagged.filter("_hot").groupBy(*left.columns).agg(F.count("*").alias("_copies"))
+    spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    salted = crowded.withColumn("_salt", spread)
+    needed = right.join(hot, keys, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = salted.join(needed, [*keys, "_salt"], "left").drop("_salt")
+    expanded = dealt.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+    plain = tagged.filter(F.col("_hot").isNull()).drop("_hot").join(right, keys, "left")
+    return plain.unionByName(expanded)
 
 
 def in_any(df: DataFrame, key: str, *tables: DataFrame) -> DataFrame:

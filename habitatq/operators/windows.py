@@ -35,7 +35,8 @@ def split_offsets(split: DataFrame, groups: Sequence[str]) -> DataFrame:
 def number_rows(split: DataFrame, offsets: DataFrame, groups: Sequence[str], keys: Sequence[str], out: str) -> DataFrame:
     """Row numbers from 0 within each group, in hash order."""
     inside = Window.partitionBy("_b", *groups).orderBy("_h", *keys)
-    numbered = split.withColumn("_rn", F.row_number().over(inside) - 1).join(offsets, ["_b", *groups])
+    numbered = split.withColumn("_rn", F.row_number().over(inside) - 1)
+    numbered = null_safe_join(numbered, offsets, ["_b", *groups])
     extra = [c for c in ("_in", "_size") if c in offsets.columns]
     return numbered.withColumn(out, F.col("_before") + F.col("_rn")).drop("_h", "_b", "_rn", "_before", *extra)
 
@@ -71,7 +72,7 @@ def seeded_shuffle(
     moved = dense_index(
         df.select(*groups, *keys, F.col(value).alias(out)), groups, keys, "_i", salt=[seed], digits=digits
     ).drop(*keys)
-    return place.join(moved, ["_i", *groups]).drop("_i")
+    return null_safe_join(place, moved, ["_i", *groups]).drop("_i")
 
 
 def argmin_first(df: DataFrame, keys: Sequence[str], distance: str, tie_order: Sequence[str]) -> DataFrame:
@@ -95,11 +96,12 @@ def argmin_all_ties(df: DataFrame, keys: Sequence[str], distance: Column, digits
 
     The minimum is aggregated map-side, stored at one row per key and joined
     back: no group is sorted, and the rows are only shuffled if there are too
-    many keys to broadcast. ``df`` is read twice.
+    many keys to broadcast. ``df`` is read twice, so pass a stored table unless
+    it is a plain scan. A missing key is a key of its own.
     """
     dist = df.withColumn("_d", F.round(distance, digits))
     least = stored(dist.groupBy(*keys).agg(F.min("_d").alias("_least")), "least")
-    return dist.join(least, list(keys)).filter(F.col("_d") == F.col("_least")).drop("_d", "_least")
+    return null_safe_join(dist, least, keys).filter(F.col("_d") == F.col("_least")).drop("_d", "_least")
 
 
 def group_totals(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:

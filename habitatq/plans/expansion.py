@@ -161,21 +161,21 @@ def combined_expansion(tally: DataFrame, counts: DataFrame, sizes: DataFrame, fl
     """Effort-normalised egg estimates of all stations.
 
     Fully barcoded stations keep their counts, subsampled ones with size sheets
-    are expanded by size bin, the rest proportionally. Estimates of 0 become 1,
+    are expanded by size bin, the rest proportionally, once per count row if a
+    station has several. Estimates of 0 become 1,
     then each is multiplied by the haul factor; temperature and factor must be
     known. ``tally`` and ``counts`` are read several times, so pass stored tables.
     """
     picked = subsample_detection(tally, counts).filter("subsampled").select(STATION, "barcoded_count", "egg_count")
     sheets = sizes.select(STATION).distinct().withColumn("sheet", F.lit(True))
-    tagged = tally.join(picked.join(sheets, STATION, "left"), STATION, "left")
+    stations = picked.select(STATION).distinct().join(sheets, STATION, "left")
+    tagged = tally.join(stations, STATION, "left")
     by_size = size_stratified_expansion(tagged.filter("sheet").select(*tally.columns), sizes)
-    per_name = tagged.filter(F.col("sheet").isNull()).groupBy(STATION, "common_name").agg(
-        F.sum("n").alias("n"), F.max("barcoded_count").alias("barcoded"), F.max("egg_count").alias("counted")
+    per_name = tagged.filter(F.col("sheet").isNull()).groupBy(STATION, "common_name").agg(F.sum("n").alias("n"))
+    scaled = F.when(F.col("egg_count").isNull(), F.col("n").cast("double")).otherwise(
+        F.col("n") / F.col("barcoded_count") * F.col("egg_count")
     )
-    scaled = F.when(F.col("counted").isNull(), F.col("n").cast("double")).otherwise(
-        F.col("n") / F.col("barcoded") * F.col("counted")
-    )
-    rest = per_name.select(STATION, "common_name", scaled.alias("tot"))
+    rest = per_name.join(picked, STATION, "left").select(STATION, "common_name", scaled.alias("tot"))
     stacked = rest.unionByName(by_size).filter(F.col("common_name").isNotNull())
     if floor_zero:
         stacked = stacked.withColumn("tot", floor_nonzero(F.col("tot")))
@@ -187,7 +187,7 @@ def egg_stage_occurrence(
     barcodes: DataFrame,
     temperatures: DataFrame,
     species: Sequence[str],
-    drop_cruises: Sequence[str] = ("2103",),
+    drop_cruises: Sequence[str],
     stage: str = "Egg",
 ) -> DataFrame:
     """Named eggs of the listed species counted per station, with temperature.

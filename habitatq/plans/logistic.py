@@ -123,15 +123,16 @@ def logistic_cdf_predict(
 ) -> DataFrame:
     """Fitted share with standard error and 95 % band on a grid.
 
-    The band is on the response scale and is not clipped to [0, 1].
+    The band is on the response scale and is not clipped to [0, 1]. A group
+    without a fit keeps its grid, with missing values; ``converged`` tells.
     """
     x = F.col("temp")
     spread = F.col("dispersion") * (F.col("v00") + 2 * x * F.col("v01") + x * x * F.col("v11"))
     fit = 1 / (1 + F.exp(-(F.col("b0") + F.col("b1") * x)))
-    grid = predictor_grid(coefficients.filter(F.col("b0").isNotNull()), width, low, high)
+    grid = predictor_grid(coefficients, width, low, high)
     with_fit = grid.withColumn("prop", fit).withColumn("se", F.sqrt(spread) * F.col("prop") * (1 - F.col("prop")))
     lower, upper = normal_band(F.col("prop"), F.col("se"))
-    return with_fit.select(*keys, "temp", "prop", "se", lower.alias("lower"), upper.alias("upper"))
+    return with_fit.select(*keys, "temp", "prop", "se", lower.alias("lower"), upper.alias("upper"), "converged")
 
 
 def stage_comparison(curve: DataFrame, larval: Sequence[str], width: float = 0.5) -> DataFrame:

@@ -48,9 +48,9 @@ def station_season_effort(
 def station_species_tally(
     barcodes: DataFrame,
     waypoints: DataFrame,
-    drop_cruises: Sequence[str] = ("2103",),
-    drop_stages: Sequence[str] = ("Juvenile",),
-    drop_names: Sequence[str] = ("Cusk-Eel sp.",),
+    drop_cruises: Sequence[str],
+    drop_stages: Sequence[str],
+    drop_names: Sequence[str],
 ) -> DataFrame:
     """Fish counted by cruise, stage, station and species, with coordinates.
 

@@ -397,4 +397,4 @@ def test_species_tally_drops_missing_and_excluded(spark):
          ("2103", "1", "Egg", "A"), ("2105", "1", "Juvenile", "A"), ("2105", "1", "Egg", "Cusk-Eel sp.")],
         "cruise_id string, station_id string, stage string, common_name string")
     way = spark.createDataFrame([("1", 40.0)], "station_id string, latitude double")
-    assert rows(surveys.station_species_tally(codes, way), "cruise_id", "common_name", "n", "latitude") == [("2105", "A", 2, 40.0)]
+    assert rows(surveys.station_species_tally(codes, way, ["2103"], ["Juvenile"], ["Cusk-Eel sp."]), "cruise_id", "common_name", "n", "latitude") == [("2105", "A", 2, 40.0)]
