@@ -30,7 +30,7 @@ SLOTS = 1 << 14
 #: is FIT_TEXTS * MAX_LANGUAGES rows of SLOTS bits.
 LANDMARKS, FIT_TEXTS, MAX_LANGUAGES = 32, 400, 64
 RIDGE = 1e-2
-_ROWS = 1024
+_ROWS = 512
 
 
 def presence(column: pa.Array, slots: int = SLOTS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:

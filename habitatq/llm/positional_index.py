@@ -34,7 +34,7 @@ from habitatq.sources.tables import stored
 WINDOW = 10
 #: Distinct windows searched in one pass over the index: 16 MB of term fingerprints.
 BLOCK_WINDOWS = 200_000
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 INDEX = "doc_ids array<bigint>, text_keys array<bigint>, sizes array<int>, terms binary, counts binary, positions binary"
 
 
