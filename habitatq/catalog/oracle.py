@@ -6,7 +6,7 @@ import re
 
 from habitatq.plans.resampling import poisson_cutoffs
 
-RUNS = 100
+RUNS, POISSON_RUNS = 20, 100
 SEED = 19
 TAXA = ["economy_10m2", "promo_10m2", "standard_10m2", "small_10m2", "medium_10m2", "large_10m2"]
 SPECIES = "('ECONOMY','PROMO','STANDARD','SMALL','MEDIUM')"
@@ -278,6 +278,14 @@ def _cases(branches: list[tuple[str, str]], rest: str) -> str:
 
 
 POISSON = " + ".join(f"(u >= {c!r}e0)::int" for c in poisson_cutoffs())
+POISSON_SUMS = f"""
+        select data, spp, run, bin_idx, sum(w)::bigint as n_samples, sum(w*abd) as n_fish
+        from (select *, {POISSON} as w
+              from (select data, spp, run, round_even(sst*2, 0)::bigint as bin_idx, abd,
+                      ('0x' || substr(md5('{SEED}|' || data || '|' || spp || '|' || run || '|' || cruise_station), 1, 15))::bigint
+                        / 1152921504606846976e0 as u
+                    from v_panel cross join (select range as run from range(1, {POISSON_RUNS + 1}))))
+        where w > 0 group by data, spp, run, bin_idx"""
 COMMON_NAME = "case spp when 'economy_10m2' then 'Economy Fish' when 'ECONOMY' then 'Economy Fish' " \
     "when 'promo_10m2' then 'Promo Fish' when 'PROMO' then 'Promo Fish' " \
     "when 'standard_10m2' then 'Standard Fish' when 'STANDARD' then 'Standard Fish' else spp end"
@@ -450,6 +458,25 @@ QUERIES = {
         from (select common_name as spp, cruise_station, sst, est as abd, 'egg_counts' as data from v_combined
               union all select common_name, cruise_station, sst, n, 'egg_barcodes' from v_egg_stage
               union all select spp, cruise_station, sst, abd, 'larvae' from v_long)""",
+    "merged_curve": f"""
+        with m as (select {COMMON_NAME} as spp, sst, abd, data
+                   from (select common_name as spp, sst, est as abd, 'egg_counts' as data from v_combined
+                         union all select common_name, sst, n, 'egg_barcodes' from v_egg_stage
+                         union all select spp, sst, abd, 'larvae' from v_long)),
+        st as (select sst, 'egg_counts' as data from v_counts where egg_count is not null and ihf is not null and sst is not null
+               union all select sst, 'egg_barcodes' from v_sites union all select sst, 'larvae' from v_station),
+        eff as (select data, round_even(sst*2, 0)::bigint as bin_idx, count(*) as n from st where sst is not null group by 1, 2),
+        share as (select *, n / sum(n) over (partition by data) as prop_samples from eff),
+        q as (select e.data, s.spp, e.bin_idx, e.prop_samples, coalesce(f.abd / t.abd, 0) as prop_fish,
+                     coalesce(f.abd / t.abd, 0) / e.prop_samples as q
+              from share e cross join (select unnest(['Economy Fish', 'Promo Fish', 'Standard Fish']) as spp) s
+              left join (select data, spp, round_even(sst*2, 0)::bigint as bin_idx, sum(abd) as abd from m group by 1, 2, 3) f
+                on f.data = e.data and f.spp = s.spp and f.bin_idx = e.bin_idx
+              left join (select data, spp, sum(abd) as abd from m group by 1, 2) t on t.data = e.data and t.spp = s.spp)
+        select data, spp, bin_idx/2e0 as temp_bin, round(prop_samples, 5) as prop_samples, round(prop_fish, 5) as prop_fish,
+               round(q, 5) as q, round(q / nullif(sum(q) over w, 0), 5) as q_norm,
+               round(sum(q) over (w order by bin_idx) / nullif(sum(q) over w, 0), 5) as cdf_q_norm
+        from q window w as (partition by data, spp)""",
     "merge_surveys_effort": """
         select idx/2e0 as temp_bin, round(count(*)/sum(count(*)) over (partition by data), 6) as prop_samples, data
         from (select round_even(sst*2, 0)::bigint as idx, data
@@ -460,14 +487,14 @@ QUERIES = {
                  "round(q, 6) as q, round(q_norm, 6) as q_norm, round(cdf_q_norm, 6) as cdf_q_norm from v_curve "
                  "union all select data, 'ABSENT', bin_idx/2e0, round(prop_samples, 6), 0e0, 0e0, null, null from v_effort",
     "bootstrap_draws": "select data, spp, run, bin_idx, abd, count(*) as n from v_draws group by all",
-    "bootstrap_poisson": f"""
-        select data, spp, run, bin_idx, sum(w)::bigint as n_samples, sum(w*abd) as n_fish
-        from (select *, {POISSON} as w
-              from (select data, spp, run, round_even(sst*2, 0)::bigint as bin_idx, abd,
-                      ('0x' || substr(md5('{SEED}|' || data || '|' || spp || '|' || run || '|' || cruise_station), 1, 15))::bigint
-                        / 1152921504606846976e0 as u
-                    from v_panel cross join (select range as run from range(1, {RUNS + 1}))))
-        where w > 0 group by data, spp, run, bin_idx""",
+    "bootstrap_poisson": POISSON_SUMS,
+    "poisson_quotient_ci": f"""
+        with p as ({POISSON_SUMS}),
+        r as (select data, spp, bin_idx/2e0 as temp_bin,
+                     (n_fish / nullif(sum(n_fish) over w, 0)) / (n_samples / sum(n_samples) over w) as q
+              from p window w as (partition by data, spp, run))
+        select data, spp, temp_bin, round(quantile_cont(q, 5e-2), 6) as lower_ci, round(quantile_cont(q, 95e-2), 6) as upper_ci
+        from r group by 1, 2, 3""",
     "bootstrap_quotient": "select data, spp, run, temp_bin, round(q, 6) as q from v_replicates",
     "bootstrap_ci": "select data, spp, temp_bin, round(quantile_cont(q, 5e-2), 6) as lower_ci, "
                     "round(quantile_cont(q, 95e-2), 6) as upper_ci from v_replicates group by 1, 2, 3",

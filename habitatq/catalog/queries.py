@@ -13,7 +13,7 @@ from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, logistic, quotient, resampling, surveys
 from habitatq.sources import schemas, tables
 
-RUNS = 100
+RUNS, POISSON_RUNS = 20, 100  # row-level draws and shuffles; Poisson weights, which need neither
 SEED = 19
 REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -41,7 +41,8 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 @query
 def scan_survey_csv(v):
     out = v.stations().select("cruise_station", "data", "sst")
-    path = tables.write_table(out, tables.scratch_path(v.spark, "survey"), "csv")
+    wider = out.select(F.lit("bongo").alias("Gear Type"), F.col("sst").alias(" SST"), F.col("data").alias("Data"), "cruise_station")
+    path = tables.write_table(wider, tables.scratch_path(v.spark, "survey"), "csv")
     return tables.read_survey_csv(v.spark, path, "cruise_station string, data string, sst double")
 
 
@@ -588,19 +589,31 @@ def merge_surveys(v):
     return rounded(quotient.merge_occurrences(_surveys(v), NAMES), "abd")
 
 
-@query
-def merge_surveys_effort(v):
+def _merged_stations(v: Views) -> DataFrame:
     effort = {
         "egg_counts": v.counts().dropna(subset=["egg_count", "ihf", "sst"]).select("cruise_station", "sst"),
         "egg_barcodes": v.site_temperatures(),
         "larvae": v.stations().select("cruise_station", "sst"),
     }
     tagged = [df.select("cruise_station", "sst", F.lit(tag).alias("data")) for tag, df in effort.items()]
-    stacked = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
-    by_bin = quotient.effort_by_bin(stacked)
+    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+
+
+@query
+def merge_surveys_effort(v):
+    by_bin = quotient.effort_by_bin(_merged_stations(v))
     return rounded(by_bin.select(binning.bin_value(F.col("bin_idx")).alias("temp_bin"), "prop_samples", "data"), "prop_samples")
 
 
+@query
+def merged_curve(v):
+    """The main chain: surveys merged, restricted to the species of interest, curve per survey and species."""
+    species = sorted(set(NAMES.values()))
+    catches = quotient.merge_occurrences(_surveys(v), NAMES, species=species)
+    curve = quotient.spq_curve(catches, _merged_stations(v), species)
+    return rounded(curve, "prop_samples", "prop_fish", "q", "q_norm", "cdf_q_norm", digits=5)
+
+
 def _curve(v: Views) -> DataFrame:
     return quotient.spq_curve(v.occurrence(), v.stations(), SPECIES)
 
@@ -628,7 +641,14 @@ def bootstrap_draws(v):
 
 @query
 def bootstrap_poisson(v):
-    return resampling.bootstrap_poisson(_panel(v), RUNS, SEED)
+    return resampling.bootstrap_poisson(_panel(v), POISSON_RUNS, SEED)
+
+
+@query
+def poisson_quotient_ci(v):
+    """The interval in the mode meant for large panels."""
+    sums = resampling.bootstrap_poisson(_panel(v), POISSON_RUNS, SEED)
+    return rounded(resampling.bootstrap_ci(resampling.bootstrap_quotient(sums)), "lower_ci", "upper_ci")
 
 
 @query

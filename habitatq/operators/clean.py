@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def normalised_name(name: str) -> str:
+    """A column name in lower case, with blanks and punctuation as single underscores."""
+    return re.sub(r"[^0-9a-z]+", "_", name.strip().lower()).strip("_")
+
+
 def normalise_names(df: DataFrame) -> DataFrame:
-    """Column names in lower case, with blanks and punctuation as single underscores."""
-    names = [re.sub(r"[^0-9a-z]+", "_", c.strip().lower()).strip("_") for c in df.columns]
-    return df.toDF(*names)
+    """The table with normalised column names."""
+    return df.toDF(*[normalised_name(c) for c in df.columns])
 
 
 def not_in_or_null(value: Column, listed: Sequence) -> Column:

@@ -15,8 +15,12 @@ from habitatq.operators.joins import with_each
 from habitatq.operators.windows import argmin_all_ties
 
 
-def merge_occurrences(surveys: dict[str, DataFrame], names: dict[tuple[str, str], str], width: float = 0.5) -> DataFrame:
-    """Occurrence tables of several surveys stacked, tagged, renamed and binned."""
+def merge_occurrences(surveys: dict[str, DataFrame], names: dict[tuple[str, str], str], width: float = 0.5,
+                      species: Sequence[str] | None = None) -> DataFrame:
+    """Occurrence tables of several surveys stacked, tagged, renamed and binned.
+
+    ``species`` keeps the species of interest only, by their common names.
+    """
     parts = [
         df.select("spp", "cruise_station", "sst", F.col("abd").cast("double").alias("abd"), F.lit(tag).alias("data"))
         for tag, df in surveys.items()
@@ -25,6 +29,8 @@ def merge_occurrences(surveys: dict[str, DataFrame], names: dict[tuple[str, str]
     for p in parts[1:]:
         stacked = stacked.unionByName(p)
     merged = harmonise_taxa(stacked, names)
+    if species is not None:
+        merged = merged.filter(F.col("spp").isin(*species))
     return merged.withColumn("temp_bin", bin_value(bin_index(F.col("sst"), width), width))
 
 

@@ -8,28 +8,45 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from habitatq.operators.clean import in_box
+from habitatq.operators.clean import in_box, normalised_name
+
+
+def _text_columns(spark: SparkSession, path: str, null_token: str, **options) -> tuple[DataFrame, dict[str, str]]:
+    """All columns of delimited files as text, and the column of each normalised name.
+
+    The header is read first and every file must have it, so a file whose
+    columns stand in another order fails instead of being misread. An unnamed
+    first column, as row-name exports add it, is called ``row_name``.
+    """
+    plain = {"header": True, "nullValue": null_token, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, **options}
+    names = spark.read.options(**plain).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    known = {"row_name" if n == "_c0" else normalised_name(n): n for n in names}
+    unnamed = "_c0" in names  # such a header cannot be checked against a schema
+    return spark.read.schema(schema).options(**plain, enforceSchema=unnamed).csv(path), known
+
+
+def _typed(raw: DataFrame, known: dict[str, str], schema: T.StructType | str) -> list[Column]:
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
+    missing = [f.name for f in fields if normalised_name(f.name) not in known]
+    if missing:
+        raise ValueError(f"no column for {missing}; the header has {sorted(known)}")
+    return [raw[f"`{known[normalised_name(f.name)]}`"].try_cast(f.dataType).alias(f.name) for f in fields]
 
 
 def read_survey_csv(spark: SparkSession, path: str, schema: T.StructType | str, null_token: str = "NA") -> DataFrame:
-    """Delimited scan with a fixed schema; blanks around names and values are trimmed.
+    """Delimited scan by column name; blanks around names and values are trimmed.
 
-    The schema names the columns in file order, so headers with blanks or odd
-    spelling need no later repair.
+    The schema's columns are found by their normalised names in any order and
+    among any others; one that the header lacks is an error. Values that do not
+    fit their type are null.
     """
-    return (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("enforceSchema", True)
-        .option("nullValue", null_token)
-        .option("ignoreLeadingWhiteSpace", True)
-        .option("ignoreTrailingWhiteSpace", True)
-        .csv(path)
-    )
+    raw, known = _text_columns(spark, path, null_token)
+    return raw.select(*_typed(raw, known, schema))
 
 
 def read_sheet_set(
@@ -41,18 +58,13 @@ def read_sheet_set(
 ) -> DataFrame:
     """Many same-shaped sheets as one table, with each row's sheet name in ``id_col``.
 
-    The name is taken from the file path by ``pattern``: the file stem by
-    default, or a folder such as ``r"/sheet=([^/]+)/"`` for partitioned exports.
+    Columns are found by name, as in ``read_survey_csv``. The sheet name is taken
+    from the file path by ``pattern``: the file stem by default, or a folder such
+    as ``r"/sheet=([^/]+)/"`` for partitioned exports.
     """
-    raw = (
-        spark.read.schema(schema)
-        .option("header", True)
-        .option("nullValue", "NA")
-        .option("recursiveFileLookup", True)
-        .csv(directory)
-    )
+    raw, known = _text_columns(spark, directory, "NA", recursiveFileLookup=True)
     path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return raw.select(F.regexp_extract(path, pattern, 1).alias(id_col), *raw.columns)
+    return raw.select(F.regexp_extract(path, pattern, 1).alias(id_col), *_typed(raw, known, schema))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: tuple[str, ...] = ()) -> str:

@@ -398,3 +398,34 @@ def test_species_tally_drops_missing_and_excluded(spark):
         "cruise_id string, station_id string, stage string, common_name string")
     way = spark.createDataFrame([("1", 40.0)], "station_id string, latitude double")
     assert rows(surveys.station_species_tally(codes, way, ["2103"], ["Juvenile"], ["Cusk-Eel sp."]), "cruise_id", "common_name", "n", "latitude") == [("2105", "A", 2, 40.0)]
+
+
+def test_missing_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([("a", "k1", 1.0), (None, "k2", 2.0), (None, "k3", 2.0)], "data string, k string, x double")
+    assert windows.dense_index(df, ["data"], ["k"], "i").count() == 3
+    assert windows.seeded_shuffle(df, ["data"], ["k"], "x", 1, "y").count() == 3
+    assert windows.argmin_all_ties(df, ["data"], F.col("x")).count() == 3
+    panel = spark.createDataFrame([(None, "s", f"c{i}", 10.0, float(i)) for i in range(5)], "data string, spp string, cruise_station string, sst double, abd double")
+    assert resampling.bootstrap_draws(panel, runs=3).count() == 15
+
+
+def test_repeated_keys_get_weights_of_their_own(spark):
+    panel = spark.createDataFrame([("d", "s", f"c{i // 2}", 10.0, 1.0) for i in range(40)], "data string, spp string, cruise_station string, sst double, abd double")
+    counts = [r.n_samples for r in resampling.bootstrap_poisson(panel, runs=30).collect()]
+    assert any(c % 2 for c in counts)
+
+
+def test_hot_key_keeps_its_salts_after_a_shuffle(spark):
+    left = spark.range(4000).selectExpr("IF(id % 10 = 0, id, -1) AS k", "id % 500 AS x").repartition(8, "k")
+    right = spark.createDataFrame([(-1, "a"), (-1, "b"), (10, "c")], "k long, y string")
+    got = joins.salted_left_join(left, right, ["k"], hot_share=0.05, salts=16)
+    want = left.join(right, "k", "left")
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_several_count_rows_fan_out_per_row(spark):
+    tally = spark.createDataFrame([("st", "A", 1, 2), ("st", "A", 2, 1), ("st", "B", 1, 1)], "cruise_station string, common_name string, bin_idx long, n long")
+    counts = spark.createDataFrame([("st", 8.0, 1.0, 10.0), ("st", 16.0, 2.0, 10.0)], "cruise_station string, egg_count double, ihf double, sst double")
+    sizes = spark.createDataFrame([], "cruise_station string, bin double, unid_frequency double, id_frequency double")
+    got = expansion.combined_expansion(tally, counts, sizes).filter("common_name = 'A'").collect()
+    assert sorted((r.tot, r.ihf) for r in got) == [(6.0, 1.0), (6.0, 2.0), (12.0, 1.0), (12.0, 2.0)]

@@ -5,6 +5,7 @@ from types import SimpleNamespace
 import pytest
 
 from habitatq.operators.clean import normalise_names
+from habitatq.plans import prepare
 from habitatq.sources import schemas, tables
 
 
@@ -55,3 +56,40 @@ def test_stored_tables_keep_rows_and_schema(spark):
 
 def test_names(spark):
     assert normalise_names(spark.createDataFrame([(1,)], "`Cruise ID` int")).columns == ["cruise_id"]
+
+
+def test_columns_are_found_by_name_among_others(spark, tmp_path):
+    (tmp_path / "l.csv").write_text(
+        "Gear,CRUISE NAME,lon,lat,Station,date,SFC_TEMP,scoaqu_10m2,citarc_10m2,merbil_10m2,hipobl_10m2,extra\n"
+        "bongo,C1,-70.1,40.5,012,5-Feb-77,12.5,1,2,3,x,9\n"
+    )
+    row = tables.read_survey_csv(spark, str(tmp_path / "l.csv"), schemas.LARVAL_SURVEY).first()
+    assert (row.cruise_name, row.station, row.lat, row.lon, row.sfc_temp, row.hipobl_10m2, row.scoaqu_10m2) == ("C1", "012", 40.5, -70.1, 12.5, None, 1.0)
+    with pytest.raises(ValueError, match="tow_depth"):
+        tables.read_survey_csv(spark, str(tmp_path / "l.csv"), "station string, tow_depth double")
+
+
+def test_sheets_with_other_column_orders_fail(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Bin,UnID_Frequency,ID_Frequency\n0.1,1,2\n")
+    (tmp_path / "b.csv").write_text("Bin,ID_Frequency,UnID_Frequency\n0.1,1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_sheet_set(spark, str(tmp_path), schemas.SIZE_SHEET, "s").collect()
+
+
+def test_preparation_of_raw_columns(spark):
+    coded = spark.createDataFrame([("C", "007", 1, 2.0), ("C", "12.4", 1, None), ("C", "x", 1, 1.0)], schemas.CODED_TAXA)
+    assert [r.cruise_station for r in prepare.coded_taxa(coded).collect()] == ["C_7", "C_12", "C_NA"]
+    stations = spark.createDataFrame([("C", "1", "8", None, 1.0, 2.0), ("C", "2", None, None, 1.0, 2.0), ("C", "3", "5", None, 1.0, 2.0)], schemas.EGG_STATIONS)
+    hauls = spark.createDataFrame([("C", "1", 0.5), ("C", "1", 0.7), ("C", "3", None)], schemas.HAUL_FACTORS)
+    casts = prepare.casts(spark.createDataFrame([("C", "1", 11.0)], schemas.CASTS))
+    got = prepare.egg_counts(stations, hauls, casts).collect()
+    assert sorted((r.cruise_station, r.egg_count, r.ihf, r.sst) for r in got) == [("C_1", 8.0, 0.5, 11.0), ("C_1", 8.0, 0.7, 11.0)]
+    eggs = spark.createDataFrame([("s", "American", "C", "1", "0.93"), ("t", None, "C", "2", "?")], schemas.EGG_IDS)
+    found = prepare.egg_identifications(eggs, {"American": "American fourspot flounder"}).collect()
+    assert [tuple(r) for r in found] == [("C_1", "American fourspot flounder", 0.93), ("C_2", None, None)]
+    info = spark.createDataFrame([("C", "1", "12.5", 3.0), ("C", "2", "bad", 3.0)], schemas.STATION_INFO)
+    assert [tuple(r) for r in prepare.site_temperatures(info).collect()] == [("C_1", 12.5)]
+    larval = spark.createDataFrame([("C", "1", 1.0, 2.0, "d", 9999.0, 1.0, None, 0.0, 2.0)], schemas.LARVAL_SURVEY)
+    assert tuple(prepare.larval_survey(larval, ["scoaqu_10m2"]).first()) == ("C_1", 9999.0, 2.0)
+    codes = spark.createDataFrame([("G s", None, "C", "1", "Egg")], schemas.BARCODES)
+    assert tuple(prepare.barcodes(codes).first()) == ("C", "1", "Egg", "")

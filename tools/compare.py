@@ -59,7 +59,7 @@ def compare(spark, con, name, run, sql, folder) -> str | None:
     kinds = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN", "date": "DATE"}
     odd = [(d[0], spark_types[d[0]], str(d[1])) for d in cur.description if kinds.get(spark_types[d[0]]) != str(d[1])]
     if odd:
-        print(f"   types differ in {name}: {odd}")
+        return f"types differ: {odd}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows != {len(theirs)}"
     bad = [(a, b) for a, b in zip(mine, theirs) if a != b]
