@@ -103,7 +103,7 @@ class Views:
 
     def counts(self) -> DataFrame:
         key = F.col("o_orderkey")
-        eggs = self._named_items().groupBy("l_orderkey").agg(F.count("*").alias("eggs"))
+        eggs = self.table("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("eggs"))
         st = self.stations().join(eggs, F.col("l_orderkey") == key, "left")
         return st.select(
             "cruise_station",

@@ -174,7 +174,7 @@ def floor_nonzero(v):
 @query
 def left_join_station(v):
     temps = v.counts().dropna(subset=["ihf"]).select("cruise_station", "sst", "ihf")
-    return joins.salted_left_join(v.eggs(), temps, ["cruise_station"])
+    return joins.salted_left_join(tables.stored(v.eggs(), "eggs"), temps, ["cruise_station"])
 
 
 @query
@@ -341,7 +341,7 @@ def running_cdf(v):
 @query
 def argmin_all_ties(v):
     rows = v.occurrence().filter(F.col("sst").isNotNull()).withColumn("temp_bin", binning.half_degree_bin(F.col("sst")))
-    near = windows.argmin_all_ties(rows, ["data", "spp"], F.abs(F.col("temp_bin") - 12.0))
+    near = windows.argmin_all_ties(tables.stored(rows, "occurrence"), ["data", "spp"], F.abs(F.col("temp_bin") - 12.0))
     return near.select("data", "spp", "cruise_station", "temp_bin")
 
 
@@ -725,7 +725,7 @@ def cruise_egg_density(v):
 
 @query
 def survey_points_by_season(v):
-    points = surveys.dated_points(v.points())
+    points = tables.stored(surveys.dated_points(v.points()), "points")  # numbered once
     eggs = v.counts().dropna(subset=["egg_count", "ihf", "sst"]).select("cruise_station")
     placed = surveys.egg_station_points(eggs, points)
     return points.withColumn("kind", F.lit("survey")).unionByName(placed.withColumn("kind", F.lit("eggs")))

@@ -24,12 +24,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def salted_left_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_share: float = 0.01, salts: int = 64
+    left: DataFrame, right: DataFrame, keys: Sequence[str], hot_share: float = 0.01, salts: int = 64, min_rows: int = 100_000
 ) -> DataFrame:
     """Left equi-join for a left side in which few keys hold many rows.
 
-    Keys with more than ``hot_share`` of the left rows are counted first; there
-    are fewer than ``1 / hot_share`` of them, so broadcasting that key list is
+    Keys with more than ``hot_share`` of the left rows, and more than ``min_rows``,
+    are counted first; there are fewer than ``1 / hot_share`` of them, so broadcasting that key list is
     safe for any input. Exact copies among the left rows of a hot key are
     counted first and expanded after the join; the distinct ones are spread over
     ``salts`` tasks by a hash of all their columns, which is the same after a
@@ -40,7 +40,7 @@ def salted_left_join(
     keys = list(keys)
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all")).scalar()
-    hot = stored(counts.filter(F.col("_n") > total * F.lit(hot_share)).select(*keys, F.lit(True).alias("_hot")), "hot")
+    hot = stored(counts.filter(F.col("_n") > F.greatest(total * F.lit(hot_share), F.lit(min_rows))).select(*keys, F.lit(True).alias("_hot")), "hot")
     if hot.isEmpty():
         return left.join(right, keys, "left")
     hot = F.broadcast(hot)
