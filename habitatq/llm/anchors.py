@@ -78,12 +78,12 @@ def suspects(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """``doc_id, text_key, text, keys, homes``, stored: documents with keys that another document has too, these
     keys, and the smallest document that has each.
 
-    Keys are counted with combination before the shuffle and each has one row when occurrences
-    look it up, so a key of very many documents is split by adaptive execution.
+    Keys are counted with combination before the shuffle. The counts are stored, so that the look-up joins
+    two plain shuffles and adaptive execution splits a key of very many documents.
     """
     found = sketched.filter("doc_id IS NOT NULL").select("doc_id", "text_key", F.explode("keys").alias("key"))
     shared = found.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most")
-    by_doc = found.join(shared, "key").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "least")).alias("has"))
+    by_doc = found.join(stored(shared.select("key", "least"), "shared"), "key").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("key", "least")).alias("has"))
     texts = W.id_text(docs).filter("doc_id IS NOT NULL").withColumn("text_key", F.xxhash64("text"))
     joined = texts.join(by_doc, ["doc_id", "text_key"])
     return stored(joined.select("doc_id", "text_key", "text", F.col("has.key").alias("keys"), F.col("has.least").alias("homes")), "suspects")
