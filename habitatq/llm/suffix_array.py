@@ -114,7 +114,8 @@ def repeated_spans(suspect: DataFrame) -> DataFrame:
     ranged = suffixes(suspect).repartitionByRange(*order).sortWithinPartitions(*order)
     found = stored(compare_neighbours(ranged), "compared")
     least = found.filter("source IS NULL").groupBy("win").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    looked = found.join(least.filter("least < most").select("win", "least"), "win", "left")
+    least = stored(least.filter("least < most").select("win", "least"), "windows")  # a plain shuffle, so a hot window can be split
+    looked = found.join(least, "win", "left")
     earlier = F.least("source", F.when(F.col("least") < F.col("doc_id"), F.col("least")))
     return looked.select("doc_id", "text_key", "start", "stop", earlier.alias("source")).filter("source IS NOT NULL")
 
@@ -160,7 +161,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     cut = texts.mapInArrow(run, "cut_id long, cut_key long, cut_text string").dropDuplicates(["cut_id", "cut_key"])
     same = (docs["doc_id"].cast("long") == cut["cut_id"]) & (F.xxhash64(docs["text"].cast("string")) == cut["cut_key"])
-    joined = docs.join(cut, same, "left").filter("cut_text IS NULL OR cut_text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'")
+    left = cut["cut_text"]
+    joined = docs.join(cut, same, "left").filter(left.isNull() | left.rlike("[^ \\t-\\r]"))
     changed = {"text": F.coalesce(cut["cut_text"], docs["text"]).alias("text")}
     if "n_chars" in docs.columns:
         chars = F.when(cut["cut_text"].isNotNull(), F.length(cut["cut_text"])).otherwise(docs["n_chars"])
