@@ -13,16 +13,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates two star operations, each a minimum per node and one join, until the links stop
     changing; the rounds grow with the logarithm of a component's size. Minima are combined before
-    the shuffle and the joined side has one row per node, so a node with very many links is split
-    by adaptive execution. Every round is written to the shared folder, which ends its lineage.
+    the shuffle and stored, so that joins meet plain shuffles and adaptive execution splits a node
+    with very many links. Every step is written to the shared folder, which ends its lineage.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        large = stored(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = (
             large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()

@@ -215,8 +215,8 @@ def classes(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     found = stored(fingerprints(docs), "fingerprints")
     distinct = stored(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = graphs.components(links(distinct, threshold)).select(F.col("node").alias("fp"), "root")
-    placed = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    placed = stored(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    names = stored(placed.groupBy("root").agg(F.min("first").alias("component_id")), "names")
     by_fp = placed.join(names, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
@@ -233,5 +233,5 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     """
     named = classes(docs.filter("doc_id IS NOT NULL"))
     kept = named.filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left").filter("doc_id IS NULL OR kept_id IS NOT NULL")
+    out = docs.join(kept, docs["doc_id"] == kept["kept_id"], "left").filter(docs["doc_id"].isNull() | kept["kept_id"].isNotNull())
     return out.select(*[docs[c] for c in docs.columns])
