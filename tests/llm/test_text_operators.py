@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from habitatq.llm import (
-    catalog, graphs, language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, quality_rules, simhash,
+    catalog, graphs, language_id, license_rules, near_copies, packing, pairwise_quality, phrase_automata, positional_index, quality_rules, simhash,
     suffix_array, url_filter,
 )
 
@@ -206,6 +206,42 @@ def test_simhash_keeps_one_of_each(docs):
 # Benchmark -------------------------------------------------------------------------
 
 
+def similarity(a, b):
+    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_at_08_to_09(spark, docs):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    texts, far = [], 0
+    for group in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        texts.append((100 * group, " ".join(base)))
+        for k in range(1, 9):
+            copy = list(base)
+            for at in rng.sample(range(200), k):
+                copy[at] = f"new{at}x{k}"
+            texts.append((100 * group + k, " ".join(copy)))
+    want = {i: i for i, _ in texts}
+    for group in range(40):
+        own = [x for x in texts if x[0] // 100 == group]
+        for i, a in own:
+            for j, b in own:
+                if i < j and similarity(a, b) >= 0.8:
+                    far += similarity(a, b) < 0.9
+                    low, high = sorted((want[i], want[j]))
+                    want = {n: low if r == high else r for n, r in want.items()}
+    assert far > 50 and 40 < len(set(want.values())) < len(texts)
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
+    out = near_copies.first_of_each(docs)
+    assert out.columns == docs.columns
+    assert out.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count()
+
+
 def tokens(text):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))
