@@ -1,7 +1,7 @@
 """URL filter: host and path rules, and a logistic regression for all other URLs.
 
 The regression sees hashed character n-grams of host and path (apart from each other, with
-their ends marked) and is trained on a small table of labelled URLs; scoring is one pass
+their ends marked) and is trained on a small table of labelled URLs (``labelled_urls``, apart from the rules); scoring is one pass
 without a shuffle, so a host with very many pages does no harm.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from habitatq.llm import labelled_urls
 from habitatq.llm import words as W
 
 #: Rules of the registered query: verdict, and host with the start of the path.
@@ -151,18 +152,8 @@ def judge(pages: DataFrame, model: Model, rules: tuple[tuple[str, str], ...] = R
     return parts.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string, block_score double")
 
 
-def labelled_by_rules(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``url, blocked`` of the pages that a rule decides: labels for the model."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Rules(rules)
-        for b in batches:
-            found = [known.find(h, p)[1] for h, p in zip(b.column("host").to_pylist(), b.column("path").to_pylist())]
-            yield pa.record_batch([b.column("url"), pa.array([None if v is None else int(v == "block") for v in found], pa.int32())], names=["url", "blocked"])
-
-    return _with_parts(pages).mapInArrow(run, "url string, blocked int").dropna()
-
-
-def filter_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
-    """``judge`` with a model of the URLs that the rules decide."""
-    return judge(pages, fit(labelled_by_rules(pages, rules)), rules)
+def filter_pages(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, labelled: DataFrame | None = None) -> DataFrame:
+    """``judge`` with a model of ``labelled`` (``url, blocked``); of the table in ``labelled_urls`` if none is given."""
+    if labelled is None:
+        labelled = pages.sparkSession.createDataFrame(labelled_urls.rows(), "url string, blocked int")
+    return judge(pages, fit(labelled), rules)

@@ -417,6 +417,17 @@ def test_url_filter(spark):
     assert all((r.verdict == "block") == (r.page_id == 1) for r in url_filter.judge(pages, model, ()).collect())
 
 
+def test_url_filter_learns_bad_hosts_not_languages(spark):
+    clean = [f"https://{f}{h}.example.net/{p}/{n}" for f in ("", "www.", "m.") for h in ("ththly", "theron", "bakery", "observatory") for p in ("de", "es", "en", "fr") for n in (7, 1570)]
+    spam = [f"http://{f}{h}.example.net/{p}/{n}" for f in ("", "www.", "m.") for h in ("casino-win", "free-bets", "spam-farm") for p in ("de", "es", "en", "fr") for n in (7, 1570)]
+    # in rows that rules decide, languages are all that differs
+    ruled = [f"https://theron.example.{d}/{p}/{n}" for d, p in (("com", "fr"), ("com", "de"), ("org", "es"), ("org", "en")) for n in range(100, 140)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(clean + spam + ruled)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_pages(pages).collect()}
+    assert {got[i] for i in range(len(clean))} == {(None, "allow")}
+    assert {got[len(clean) + i] for i in range(len(spam))} == {(None, "block")}
+
+
 def test_license_scan(spark):
     mit = license_rules.SENTENCES
     broken = "Redistributions of source code must retain the above copyright\nnotice, this list of conditions and the following disclaimer."
