@@ -12,7 +12,9 @@ lacks at most a tenth of the share, and all words with nine tenths of it are can
 bounded number per language. The second counts these over all documents.
 
 Defined cases: a null text has no words; a null language adds to no reference but its
-documents are judged; repeated rows count as often as they are there; with no reference
+documents are judged; in ``references`` repeated rows count as often as they are there, ``rules``
+gives it each text of a language once, so that a large group of copies cannot move a reference
+onto itself; with no reference
 (no language has ``MIN_REFERENCE_WORDS`` words) nothing diverges.
 """
 
@@ -30,6 +32,8 @@ from habitatq.llm import words as W
 from habitatq.sources.tables import stored
 
 MIN_WORDS, MIN_WORDS_FOR_WORDS = 50, 75
+#: Hash slots in which repeated texts are looked for; at most so many numbers are broadcast.
+COPY_SLOTS = 1 << 20
 COMMON_SHARE, MIN_REFERENCE_WORDS, MAX_LANGUAGES = 0.003, 1000, 64
 #: Largest distances of a kept document; that of words widens by WORD_SCATTER / sqrt(words), as chance does.
 MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE, WORD_SCATTER = 0.3, 0.2, 1.5
@@ -221,6 +225,21 @@ _JUDGED = (
 )
 
 
+def copies_once(docs: DataFrame) -> DataFrame:
+    """``lang, text``, each pair once; rows without one of them go.
+
+    Only hashes and the texts that may have copies are shuffled: a row whose slot no repeated hash
+    falls into has none and stays where it is. The rest is compared by whole texts.
+    """
+    known = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).dropna()
+    key = F.xxhash64("lang", "text")
+    repeated = known.select(key.alias("key")).groupBy("key").count().filter("count > 1")
+    slots = F.broadcast(stored(repeated.select(F.pmod("key", F.lit(COPY_SLOTS)).alias("slot")).distinct(), "slots"))
+    placed = known.withColumn("slot", F.pmod(key, F.lit(COPY_SLOTS)))
+    copied = placed.join(slots, "slot", "left_semi").select("lang", "text").distinct()
+    return placed.join(slots, "slot", "left_anti").select("lang", "text").unionByName(stored(copied, "copied-texts"))
+
+
 def rules(docs: DataFrame) -> DataFrame:
-    """``judge`` with references of the documents themselves."""
-    return judge(docs, references(docs))
+    """``judge`` with references of the documents themselves, of which copies count once."""
+    return judge(docs, references(copies_once(docs)))

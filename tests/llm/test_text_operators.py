@@ -367,6 +367,17 @@ def test_quality_references_count_exactly(spark, docs, rows):
         assert np.allclose(sorted(ref.word_share[k][ref.member[k]]), common)
 
 
+def test_copies_of_a_noisy_text_do_not_move_references(spark):
+    rng = random.Random(3)
+    words = ["the", "of", "and", "to", "in", *[f"th{i}er" for i in range(15)]]
+    clean = [(i, sentence(rng, 200, words), "en") for i in range(60)]
+    noisy = " ".join(rng.choice(["BUY", "NOW!!", "$$$", "###", "100%", "the", "CLICK"]) + str(i % 90) for i in range(400))
+    table = spark.createDataFrame(clean + [(1000 + i, noisy, "en") for i in range(30)], "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality_rules.rules(table).collect()}
+    assert len(kept) == 90 and all(kept[i] for i, _, _ in clean)
+    assert quality_rules.copies_once(table).count() == 61
+
+
 def test_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert np.allclose(quality_rules.distance(p, np.array([[0.0, 1.0]])), [1.0, 0.5579230452841438])
