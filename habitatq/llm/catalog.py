@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from habitatq.llm import (
-    language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, quality_rules, simhash, suffix_array, url_filter,
+    language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, prefix_hashes, quality_rules, simhash,
+    suffix_array, url_filter,
 )
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +79,11 @@ def op10_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query
+def op13_prefix_fingerprints(spark, folder):
+    return prefix_hashes.with_edited(table(spark, folder, "documents"))
+
+
 _WINDOWS = """
 w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') as ws from documents),
 win as (select doc_id, p, array_to_string(list_slice(ws, p + 1, p + 50), ' ') as seq
@@ -120,3 +126,4 @@ mark as (select *, case when p > lag(p) over (partition by doc_id order by p) +
 run as (select *, sum(fresh) over (partition by doc_id order by p) as r from mark)
 select doc_id, cast(min(p) as bigint) as first_word, cast(max(p) + 50 - min(p) as bigint) as n_words, arg_min(m, p) as source_doc_id
 from run group by doc_id, r"""
+
