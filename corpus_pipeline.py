@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from habitatq.llm import language_id, near_copies, packing, positional_index, suffix_array
+from habitatq.llm import language_id, packing, positional_index, simhash, suffix_array
 from habitatq.llm.catalog import table, tokenizer
 from habitatq.sources.tables import stored
 
@@ -25,8 +25,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies: 5-word shingles of similarity 0.8 or more."""
-    return near_copies.first_of_each(docs)
+    """The document of smallest id of each group of fingerprints linked at 4 or fewer differing bits."""
+    return simhash.first_of_each(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +46,13 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", keep_known_language),
-    ("shingle_near_dedup", drop_near_copies),
+    ("simhash_near_dedup", drop_near_copies),
     ("suffix_array_dedup", cut_repeated_passages),
     ("benchmark_decontamination", drop_contaminated),
     ("best_fit_packing", pack_sequences),
 ]
 
-#: Shingle fingerprints, the language model and the packing plan have no SQL form.
+#: SimHash fingerprints, the language model and the packing plan have no SQL form.
 ORACLE_SQL: str | None = None
 
 
