@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from habitatq.llm import (
-    language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, prefix_hashes, quality_rules, simhash,
-    suffix_array, url_filter,
+    language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, prefix_hashes, prefix_trie, quality_rules,
+    simhash, suffix_array, url_filter,
 )
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op10_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query
+def op12_prefix_trie(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 @query
 def op13_prefix_fingerprints(spark, folder):
     return prefix_hashes.with_edited(table(spark, folder, "documents"))
@@ -127,3 +132,32 @@ run as (select *, sum(fresh) over (partition by doc_id order by p) as r from mar
 select doc_id, cast(min(p) as bigint) as first_word, cast(max(p) + 50 - min(p) as bigint) as n_words, arg_min(m, p) as source_doc_id
 from run group by doc_id, r"""
 
+
+
+SQL["op12_prefix_trie"] = """with
+byte as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]),
+         lambda x, i: case when x % 2 = 1 then xor(3988292384, x >> 1) else x >> 1 end)) as crc),
+turn as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first,
+         md5(strlen(coalesce(role, '')) || ' ' || coalesce(role, '') || coalesce(text, ''))) as ord from conversations where conv_id is not null),
+size as (select conv_id, count(*) as n from turn group by conv_id),
+plan as (select conv_id, n, conv_id - conv_id % 5 as lender, xor(4294967295, list_reduce(list_prepend(4294967295,
+         list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+         lambda x, c: xor(x >> 8, crc[1 + xor(x, c) % 256]))) % 9 as h from size cross join byte),
+built as (select plan.conv_id, ord as d, role, text from plan join turn on turn.conv_id = lender and ord <= h
+          union all select plan.conv_id, ord - h + least(h, coalesce(l.n, 0)), role, text from plan join turn using (conv_id) left join size l on l.conv_id = lender where ord > h),
+seq as (select plan.conv_id, coalesce(turns, []) as turns from plan left join
+        (select conv_id, list({'role': role, 'text': text} order by d) as turns from built group by conv_id) using (conv_id)),
+member as (select conv_id, len(turns) as n, d, turns[1:d] as path from (select conv_id, turns, unnest(range(0, len(turns) + 1)) as d from seq)),
+node as (select path, d, min(conv_id) as node, count(*) as n_convs, case when d = 0 then 0 else strlen(path[d].text) end as bytes from member group by path, d),
+spot as (select member.conv_id, n, d, node from member join node using (path, d)),
+tree as (select node.node, node.d, up.node as up, node.n_convs, (node.n_convs - 1) * node.bytes as saved
+         from node left join node up on up.d = node.d - 1 and up.path = node.path[1:node.d - 1]),
+kids as (select up as node, d - 1 as d, count(*) as k from tree where d > 0 group by up, d),
+under as (select distinct a.node, a.d, b.node as sub, b.d as sub_d from spot a join spot b on a.conv_id = b.conv_id and b.d >= a.d),
+total as (select under.node, under.d, sum(saved) as saved, sum(case when k is null then 1 else 0 end) as leaves
+          from under join tree on tree.node = sub and tree.d = sub_d left join kids on kids.node = sub and kids.d = sub_d group by under.node, under.d),
+ends as (select node, d, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from spot where d = n group by node, d)
+select tree.node as conv_id, tree.d as depth, up as parent_conv_id, n_convs, cast(coalesce(k, 0) as bigint) as n_children, cast(leaves as bigint) as n_leaves,
+       cast(total.saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from tree join total on total.node = tree.node and total.d = tree.d left join kids on kids.node = tree.node and kids.d = tree.d
+left join ends on ends.node = tree.node and ends.d = tree.d"""
