@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from habitatq.llm import (
-    language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, prefix_hashes, prefix_trie, quality_rules,
-    simhash, suffix_array, url_filter,
+    collocations, language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, prefix_hashes, prefix_trie,
+    quality_rules, simhash, suffix_array, url_filter,
 )
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op10_language_id(spark, folder):
     return language_id.identify(table(spark, folder, "documents"))
 
 
+@query
+def op11_collocations(spark, folder):
+    return collocations.mine(table(spark, folder, "documents"))
+
+
 @query
 def op12_prefix_trie(spark, folder):
     return prefix_trie.trie(table(spark, folder, "conversations"))
@@ -134,6 +139,26 @@ from run group by doc_id, r"""
 
 
 
+SQL["op11_collocations"] = """with
+piece as (select lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') as ws
+          from (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) as piece from documents)),
+size as (select lang, sum(len(ws)) as n from piece group by lang),
+start as (select lang, ws, unnest(range(1, len(ws) + 1)) as i from piece),
+gram as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as f
+         from (select lang, ws, i, unnest(range(1, least(5, len(ws) - i + 1) + 1)) as k from start) group by lang, k, phrase having count(*) >= 100),
+part as (select lang, phrase, k, f, string_split(phrase, ' ') as ws, unnest(range(1, k)) as cut from gram where k > 1),
+cut as (select part.lang, part.phrase, part.k, part.f as a, part.cut, l.f as l, r.f as r, size.n,
+               (cast(1000 as hugeint) * part.f * size.n) // (cast(l.f as hugeint) * r.f) as score
+        from part join gram l on l.lang = part.lang and l.phrase = array_to_string(part.ws[1:part.cut], ' ')
+        join gram r on r.lang = part.lang and r.phrase = array_to_string(part.ws[part.cut + 1:part.k], ' ') join size on size.lang = part.lang),
+best as (select * from cut qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+free as (select * from best b where not exists (select 1 from gram g where g.lang = b.lang and g.k > b.k and 100 * g.f >= 100 * b.a
+         and contains(' ' || g.phrase || ' ', ' ' || b.phrase || ' ')))
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l,
+       cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+from free qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000"""
+
 SQL["op12_prefix_trie"] = """with
 byte as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]),
          lambda x, i: case when x % 2 = 1 then xor(3988292384, x >> 1) else x >> 1 end)) as crc),
