@@ -7,6 +7,10 @@ number of slots. Kernel ridge regression, one language against the rest, is fitt
 Nyström landmarks; as the kernel is a scaled inner product, landmarks and coefficients
 fold into one matrix (slots x languages), and scoring a batch is one matrix product.
 
+Every language that has an id, a text and a name is learned, up to ``MAX_LANGUAGES`` (more than
+identifiers of languages in use). Texts and landmarks a language become fewer as languages become
+more, so that what is collected stays within ``FIT_TOTAL`` texts, or four a language.
+
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, and so is
 every text if nothing was learned. A null id is never learned from and not held out.
 Repeated rows are each answered. Equal scores go to the first language in name order.
@@ -26,9 +30,8 @@ from habitatq.llm import words as W
 
 ORDERS = (1, 2, 3, 4)
 SLOTS = 1 << 14
-#: Per language: landmarks, and texts the regression is fitted on. The bound on what is collected
-#: is FIT_TEXTS * MAX_LANGUAGES rows of SLOTS bits.
-LANDMARKS, FIT_TEXTS, MAX_LANGUAGES = 32, 400, 64
+#: Per language: landmarks, and texts the regression is fitted on; both over all languages; languages.
+LANDMARKS, FIT_TEXTS, FIT_TOTAL, LANDMARKS_TOTAL, MAX_LANGUAGES = 32, 400, 6400, 1024, 2048
 RIDGE = 1e-2
 _ROWS = 512
 
@@ -79,9 +82,9 @@ def held_out(doc_id: str, modulus: int, rest: int) -> Column:
 def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS, landmarks: int = LANDMARKS, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from all rows given that have an id, a text and a language.
 
-    Per language, at most ``fit_texts`` texts are taken in the order of a hash of the id; texts are
-    turned into slot bits on the executors, so what reaches the driver is bounded whatever their
-    length. The ``max_languages`` most frequent languages are learned.
+    Per language, at most ``fit_texts`` texts are taken in the order of a hash of the id (fewer beyond
+    16 languages, see ``FIT_TOTAL``); texts are turned into slot bits on the executors, so what reaches
+    the driver is bounded whatever their length. Beyond ``max_languages`` the most frequent are learned.
     """
     known = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
@@ -89,9 +92,10 @@ def fit(docs: DataFrame, fit_texts: int = FIT_TEXTS, landmarks: int = LANDMARKS,
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not counts:
         return Model([], np.zeros((SLOTS, 0), np.float32))
+    fit_texts, landmarks = max(4, min(fit_texts, FIT_TOTAL // len(counts))), max(1, min(landmarks, LANDMARKS_TOTAL // len(counts)))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(min(1.0, 2.0 * fit_texts / r["count"]))) for r in counts], F.lit(0.0))
-    taken = known.withColumn("place", place).filter(F.col("place") < share)
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2.0 * fit_texts + 8) / r["count"])) for r in counts], "lang string, share double")
+    taken = known.join(F.broadcast(shares), "lang").withColumn("place", place).filter(F.col("place") < F.col("share"))  # max_languages rows
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in W.slices(batches, rows=_ROWS):

@@ -9,8 +9,11 @@ so no lookup needs a shuffle, and the index is written to the shared folder, fro
 a lost task reads its segments again.
 
 Phrases come from the benchmark, whose size is stated but not bounded by the corpus: they
-are searched in blocks of at most ``BLOCK_WINDOWS`` distinct windows, which is what a
-task gets at once.
+are searched in blocks of at most ``BLOCK_WINDOWS`` distinct windows, which is what the
+driver and a task hold at once. With several blocks each is one pass over the index whose
+answers (the words covered and the items found, of documents that have any) are written
+before the next block is taken up; covers are then joined bit by bit. Segments are numbered
+when the index is built, so equal ones stay apart.
 
 Defined cases: a null text has no words. Repeated rows, of documents or items, are
 answered as they are; items sharing an id are one item, and null is an id of its own
@@ -19,12 +22,12 @@ answered as they are; items sharing an id are one item, and null is an id of its
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,25 +38,27 @@ WINDOW = 10
 #: Distinct windows searched in one pass over the index: 16 MB of term fingerprints.
 BLOCK_WINDOWS = 200_000
 SEGMENT_BYTES = 4 << 20
-INDEX = "doc_ids array<bigint>, text_keys array<bigint>, sizes array<int>, terms binary, counts binary, positions binary"
+INDEX = "segment long, doc_ids array<bigint>, text_keys array<bigint>, sizes array<int>, terms binary, counts binary, positions binary"
 
 
 def build(docs: DataFrame) -> DataFrame:
     """The index of whole texts, stored: one row per segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches, limit=SEGMENT_BYTES, rows=1 << 16):
+        first = TaskContext.get().partitionId() << 33
+        for number, b in enumerate(W.slices(batches, limit=SEGMENT_BYTES, rows=1 << 16), first):
             w = W.words_of(b.column("text"), W.ALNUM_WORD, lower=True)
             h = w.hashes()
             order = np.argsort(h, kind="stable")
             terms, counts = np.unique(h[order], return_counts=True)
             cells = [
+                pa.array([number], pa.int64()),
                 pa.array([b.column("doc_id").to_pylist()], pa.list_(pa.int64())),
                 pa.array([b.column("text_key").to_pylist()], pa.list_(pa.int64())),
                 pa.array([w.counts.astype(np.int32)], pa.list_(pa.int32())),
                 *(pa.array([x.tobytes()], pa.binary()) for x in (terms, counts.astype(np.int32), order.astype(np.int32))),
             ]
-            yield pa.record_batch(cells, names=["doc_ids", "text_keys", "sizes", "terms", "counts", "positions"])
+            yield pa.record_batch(cells, names=["segment", "doc_ids", "text_keys", "sizes", "terms", "counts", "positions"])
 
     texts = W.id_text(docs).withColumn("text_key", F.xxhash64("text"))
     return stored(texts.mapInArrow(run, INDEX), "positions")
@@ -188,38 +193,42 @@ def search(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     ``n_hit`` counts the words inside any occurrence of a window, or with ``slop`` the first words of
     windows whose terms all lie that near; ``items`` names the items concerned, in string order.
     """
-    passes, blocks = [], _blocks(benchmark, window, block_windows)
-    several = len(blocks) > 1
+    blocks = _blocks(benchmark, window, block_windows)
+    context = index.sparkSession.sparkContext
+    if len(blocks) == 1:
+        return _pass(index, context.broadcast(_phrases(blocks[0])), slop).select("doc_id", "text_key", "n_words", "n_hit", "items")
+    passes = []
     for block in blocks:
-        phrases = index.sparkSession.sparkContext.broadcast(_phrases(block))
-
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    row = b.slice(i, 1).to_pylist()[0]
-                    yield _answer(row, phrases.value, slop, keep_cover=several)
-
-        passes.append(run)
-    schema = "doc_id long, text_key long, n_words long, n_hit long, items array<string>, place long, segment binary, cover binary"
-    found = [index.mapInArrow(run, schema) for run in passes]
-    if len(found) == 1:
-        return found[0].select("doc_id", "text_key", "n_words", "n_hit", "items")
-    every = found[0]
-    for other in found[1:]:
-        every = every.unionByName(other)
-    one = every.groupBy("segment", "place").agg(
-        F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("n_words").alias("n_words"),
-        F.collect_list("cover").alias("covers"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-
-    @F.udf("long")
-    def hits(covers):
-        return int(np.bitwise_count(np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in covers])).sum())
+        phrases = context.broadcast(_phrases(block))
+        passes.append(stored(_pass(index, phrases, slop).filter("n_hit > 0").select("segment", "place", "items", "cover"), "block"))
+        phrases.destroy()
+    found = passes[0]
+    for other in passes[1:]:
+        found = found.unionByName(other)
+    by_bits = found.select("segment", "place", F.posexplode("cover").alias("at", "bits")).filter("bits <> 0")
+    by_bits = by_bits.groupBy("segment", "place", "at").agg(F.bit_or("bits").alias("bits"))
+    hits = by_bits.groupBy("segment", "place").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_hit"))
+    names = found.select("segment", "place", F.explode("items").alias("item")).groupBy("segment", "place").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    every = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "sizes")).alias("place", "of"))
+    every = every.select("segment", F.col("place").cast("long").alias("place"), "of.doc_ids", "of.text_keys", "of.sizes")
+    none = F.array().cast("array<string>")
+    return every.join(hits, ["segment", "place"], "left").join(names, ["segment", "place"], "left").select(
+        F.col("doc_ids").alias("doc_id"), F.col("text_keys").alias("text_key"), F.col("sizes").cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
+
+
+def _pass(index: DataFrame, phrases: Broadcast, slop: int | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield _answer(b.slice(i, 1).to_pylist()[0], phrases.value, slop)
 
-    return one.select("doc_id", "text_key", "n_words", hits("covers").alias("n_hit"), "items")
+    schema = "segment long, place long, doc_id long, text_key long, n_words long, n_hit long, items array<string>, cover array<long>"
+    return index.mapInArrow(run, schema)
 
 
-def _answer(row: dict, phrases: list[Phrases], slop: int | None, keep_cover: bool) -> pa.RecordBatch:
+def _answer(row: dict, phrases: list[Phrases], slop: int | None) -> pa.RecordBatch:
+    """One row per document of a segment; ``cover`` has a bit per word, and is empty where no word is hit."""
     seg = Segment.of(row)
     texts, change = len(seg.ptr) - 1, np.zeros(seg.n + 1, np.int64)
     names: list[set] = [set() for _ in range(texts)]
@@ -234,18 +243,22 @@ def _answer(row: dict, phrases: list[Phrases], slop: int | None, keep_cover: boo
             names[t].update(p.items[p.first[w] : p.first[w + 1]])
     covered = np.cumsum(change)[: seg.n - 1] > 0
     hit = np.diff(np.concatenate([[0], np.cumsum(covered)])[seg.ptr])
-    mark = hashlib.sha256(row["terms"] + row["positions"] + str(row["doc_ids"]).encode()).digest() if keep_cover else b""
-    cover = [np.packbits(covered[a:b]).tobytes() if keep_cover else b"" for a, b in zip(seg.ptr[:-1], seg.ptr[1:])]
+    cover = [_bits(covered[a:b]) if n else [] for a, b, n in zip(seg.ptr[:-1], seg.ptr[1:], hit)]
     return pa.record_batch(
         [
+            pa.array([row["segment"]] * texts, pa.int64()), pa.array(range(texts), pa.int64()),
             pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.int64()), pa.array(np.diff(seg.ptr)), pa.array(hit),
-            pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(range(texts), pa.int64()),
-            pa.array([mark] * texts, pa.binary()), pa.array(cover, pa.binary()),
+            pa.array([sorted(x) for x in names], pa.list_(pa.string())), pa.array(cover, pa.list_(pa.int64())),
         ],
-        names=["doc_id", "text_key", "n_words", "n_hit", "items", "place", "segment", "cover"],
+        names=["segment", "place", "doc_id", "text_key", "n_words", "n_hit", "items", "cover"],
     )
 
 
+def _bits(covered: np.ndarray) -> np.ndarray:
+    packed = np.packbits(covered)
+    return np.pad(packed, (0, -len(packed) % 8)).view(np.int64)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` of every document."""
     found = search(build(docs), benchmark, window)

@@ -3,7 +3,9 @@
 A language's reference is the distribution of character classes and of common words (those
 that make up at least ``COMMON_SHARE`` of the language's words) over all its documents. A
 document is compared with every reference by the Jensen-Shannon distance (square root of the
-divergence, base 2) and judged by the nearest. Short documents scatter by chance, so below
+divergence, base 2) and judged by the nearest. A document whose own language is named but has no
+reference (fewer than ``MIN_REFERENCE_WORDS`` words, or beyond the ``MAX_LANGUAGES`` largest) is
+judged by the fixed limits alone, as nothing of its kind is known. Short documents scatter by chance, so below
 ``MIN_WORDS`` words none is judged, and below ``MIN_WORDS_FOR_WORDS`` only characters count.
 
 References take two passes with exact counts. The first finds candidates: a slice of the
@@ -34,7 +36,7 @@ from habitatq.sources.tables import stored
 MIN_WORDS, MIN_WORDS_FOR_WORDS = 50, 75
 #: Hash slots in which repeated texts are looked for; at most so many numbers are broadcast.
 COPY_SLOTS = 1 << 20
-COMMON_SHARE, MIN_REFERENCE_WORDS, MAX_LANGUAGES = 0.003, 1000, 64
+COMMON_SHARE, MIN_REFERENCE_WORDS, MAX_LANGUAGES = 0.003, 1000, 2048
 #: Largest distances of a kept document; that of words widens by WORD_SCATTER / sqrt(words), as chance does.
 MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE, WORD_SCATTER = 0.3, 0.2, 1.5
 
@@ -141,15 +143,15 @@ def references(docs: DataFrame, share: float = COMMON_SHARE, max_languages: int
     """References of the ``max_languages`` languages with most words."""
     first = stored(_counts(docs, None, share), "word-counts")
     sized = first.filter((F.col("kind") == 2) & (F.col("n") >= min_words)).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    total = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(r["n"])) for r in sized], F.lit(None))
-    rows = first.filter((F.col("kind") == 0) & (F.col("n") >= 0.9 * share * total)).collect()  # 1 / (0.9 * share) a language at most
+    large = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], r["n"]) for r in sized], "lang string, total long"))  # max_languages rows
+    rows = first.filter("kind = 0").join(large, "lang").filter(F.col("n") >= 0.9 * share * F.col("total")).collect()  # 1 / (0.9 * share) a language
     languages = sorted(r["lang"] for r in sized)
     chosen = np.unique(np.array([r["item"] for r in rows], np.int64).view(np.uint64))
     place = {x: i for i, x in enumerate(languages)}
     words, totals = np.zeros((len(languages), len(chosen))), np.zeros(len(languages))
     classes = np.zeros((len(languages), CLASSES))
     if languages:
-        for r in _counts(docs, chosen, share).filter(F.col("lang").isin(languages)).collect():
+        for r in _counts(docs, chosen, share).join(large.select("lang"), "lang", "left_semi").collect():
             i = place[r["lang"]]
             if r["kind"] == 0:
                 words[i, np.searchsorted(chosen, np.int64(r["item"]).view(np.uint64))] = r["n"]
@@ -171,6 +173,11 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+def _rest(share: np.ndarray) -> np.ndarray:
+    """What is left of one; rounding leaves none rather than less than none."""
+    return np.where(share > 1 - 1e-12, 0.0, 1 - share)
+
+
 def distances(w: W.Words, ref: References) -> tuple[np.ndarray, np.ndarray]:
     """Character and word distance of each text to the reference with the smallest sum of both."""
     n = len(w.ptr) - 1
@@ -188,7 +195,7 @@ def distances(w: W.Words, ref: References) -> tuple[np.ndarray, np.ndarray]:
         of_chars = distance(p, ref.class_share[i][None, :])
         own, other = share[:, ref.member[i]], ref.word_share[i][ref.member[i]]
         of_words = distance(
-            np.concatenate([own, 1 - own.sum(axis=1, keepdims=True)], axis=1), np.append(other, 1 - other.sum())[None, :]
+            np.concatenate([own, _rest(own.sum(axis=1, keepdims=True))], axis=1), np.append(other, _rest(other.sum()))[None, :]
         )
         nearer = of_chars + of_words < best
         best = np.where(nearer, of_chars + of_words, best)
@@ -199,8 +206,10 @@ def distances(w: W.Words, ref: References) -> tuple[np.ndarray, np.ndarray]:
 def judge(docs: DataFrame, ref: References) -> DataFrame:
     """Counts, distances and verdict of every row; no shuffle."""
 
+    rows = max(1, min(4096, (1 << 22) // max(1, len(ref.words))))  # texts x common words are held at once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in W.slices(batches):
+        for b in W.slices(batches, rows=rows):
             column = b.column("text")
             w = W.words_of(column)
             inside = np.zeros(len(w.data) + 1, np.int64)
@@ -212,11 +221,16 @@ def judge(docs: DataFrame, ref: References) -> DataFrame:
             of_chars, of_words = distances(w, ref)
             limit = MAX_WORD_DISTANCE + WORD_SCATTER / np.sqrt(np.maximum(n_words, 1))
             strange = (of_chars > MAX_CHARACTER_DISTANCE) | ((n_words >= MIN_WORDS_FOR_WORDS) & (of_words > limit))
+            strange &= ~b.column("unknown").to_numpy(zero_copy_only=False)
             cells = [n_words, points, _per_text(_SYMBOLS[w.data], w.offsets), repeated_lines(column, w), repeats, failed, ~failed & ~strange,
                      of_chars, of_words]
             yield pa.record_batch([b.column("doc_id"), *map(pa.array, cells)], names=[c.split()[0] for c in _JUDGED.split(", ")])
 
-    return W.id_text(docs).mapInArrow(run, _JUDGED)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    with_lang = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.alias("lang"))
+    known = docs.sparkSession.createDataFrame([(x, False) for x in ref.languages], "lang string, unknown boolean")  # MAX_LANGUAGES rows at most
+    marked = with_lang.join(F.broadcast(known), "lang", "left").select("doc_id", "text", F.coalesce("unknown", F.col("lang").isNotNull()).alias("unknown"))
+    return marked.mapInArrow(run, _JUDGED)
 
 
 _JUDGED = (

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from habitatq.llm import (
-    catalog, graphs, language_id, license_rules, near_copies, packing, pairwise_quality, phrase_automata, positional_index, quality_rules, simhash,
+    catalog, graphs, language_id, license_rules, packing, pairwise_quality, phrase_automata, positional_index, quality_rules, simhash,
     suffix_array, url_filter,
 )
 
@@ -196,6 +196,29 @@ def test_golay_is_perfect():
     assert not simhash.Golay.syndrome(code.nearest(x)).any()
 
 
+def test_pipeline_keeps_one_of_each_group(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(500)]
+    base = [rng.choice(words) for _ in range(3000)]
+    near = [" ".join([*base[:at], f"new{at}", *base[at + 1 :]]) for at in range(0, 3000, 300)]  # a word of 3,000 moves few bits or none
+    texts = [(i, t) for i, t in enumerate([" ".join(base), *near, *near, " ".join(rng.choice(words) for _ in range(3000)), None, "", " \n"])]
+    fp = [simhash.fingerprint_of(t) & (2**64 - 1) for _, t in texts]
+    want = {i: i for i, _ in texts}
+    for i, a in enumerate(fp):
+        for j in range(i):
+            if (a ^ fp[j]).bit_count() <= 4 and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = {n: low if r == high else r for n, r in want.items()}
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values())) and len(set(want.values())) < 6
+    for stage in (corpus_pipeline.keep_known_language, corpus_pipeline.drop_near_copies, corpus_pipeline.cut_repeated_passages):
+        out = stage(spark, empty, "")
+        assert out.columns == empty.columns and out.count() == 0
+    assert corpus_pipeline.drop_near_copies(spark, docs, "").filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count()
+
+
 def test_simhash_keeps_one_of_each(docs):
     out = simhash.first_of_each(docs)
     assert out.schema == docs.schema
@@ -206,42 +229,6 @@ def test_simhash_keeps_one_of_each(docs):
 # Benchmark -------------------------------------------------------------------------
 
 
-def similarity(a, b):
-    a, b = ({tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
-    return len(a & b) / len(a | b)
-
-
-def test_near_copies_at_08_to_09(spark, docs):
-    import corpus_pipeline
-
-    rng = random.Random(11)
-    words = [f"w{i}" for i in range(500)]
-    texts, far = [], 0
-    for group in range(40):
-        base = [rng.choice(words) for _ in range(200)]
-        texts.append((100 * group, " ".join(base)))
-        for k in range(1, 9):
-            copy = list(base)
-            for at in rng.sample(range(200), k):
-                copy[at] = f"new{at}x{k}"
-            texts.append((100 * group + k, " ".join(copy)))
-    want = {i: i for i, _ in texts}
-    for group in range(40):
-        own = [x for x in texts if x[0] // 100 == group]
-        for i, a in own:
-            for j, b in own:
-                if i < j and similarity(a, b) >= 0.8:
-                    far += similarity(a, b) < 0.9
-                    low, high = sorted((want[i], want[j]))
-                    want = {n: low if r == high else r for n, r in want.items()}
-    assert far > 50 and 40 < len(set(want.values())) < len(texts)
-    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(texts, "doc_id long, text string"), "")
-    assert sorted(r.doc_id for r in got.collect()) == sorted(set(want.values()))
-    out = near_copies.first_of_each(docs)
-    assert out.columns == docs.columns
-    assert out.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count()
-
-
 def tokens(text):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))
@@ -254,6 +241,15 @@ def benchmark(spark, rows):
     return spark.createDataFrame([(*x, "s") for x in items], "item_id long, text string, doc_id string")
 
 
+def test_equal_segments_in_several_blocks(spark, benchmark, rows, monkeypatch):
+    monkeypatch.setattr(positional_index, "SEGMENT_BYTES", 1)  # a segment a document
+    item = " ".join(rows[1][1].split()[3:25])
+    docs = spark.createDataFrame([(9, "x " * 400 + item), (9, "x " * 400 + item), (10, "short")], "doc_id long, text string").repartition(1)
+    for block in (200_000, 5):
+        got = positional_index.search(positional_index.build(docs), benchmark, block_windows=block).collect()
+        assert sorted((r.doc_id, r.n_hit > 20) for r in got) == [(9, True), (9, True), (10, False)]
+
+
 @pytest.mark.parametrize("block", [200_000, 5])
 def test_decontamination(docs, rows, benchmark, block):
     windows: dict = {}
@@ -378,6 +374,19 @@ def test_copies_of_a_noisy_text_do_not_move_references(spark):
     assert quality_rules.copies_once(table).count() == 61
 
 
+def test_documents_of_a_language_without_reference_are_kept(spark):
+    rng = random.Random(3)
+    en, own = [f"th{i}er" for i in range(60)] + ["the", "of"] * 20, [f"ж{i}ия" for i in range(60)] + ["и", "в"] * 20
+    rows = [(i, sentence(rng, 900, en), "en") for i in range(60)] + [(100 + i, sentence(rng, 120, own), "ru") for i in range(8)]
+    rows += [(200, sentence(rng, 120, own), None), (201, "и в " * 10, "ru")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.kept for r in quality_rules.rules(docs).collect()}
+    assert all(kept[i] for i in (*range(60), *range(100, 108))) and not kept[200] and not kept[201]
+    many = [(i, sentence(rng, 130, [f"{chr(0x100 + i // 10)}{k}ž" for k in range(9)]), f"l{i // 10}") for i in range(700)]
+    judged = quality_rules.rules(spark.createDataFrame(many, "doc_id long, text string, lang string"))
+    assert judged.filter("kept").count() + judged.filter("base_failed").count() == 700
+
+
 def test_distance():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     assert np.allclose(quality_rules.distance(p, np.array([[0.0, 1.0]])), [1.0, 0.5579230452841438])
@@ -395,6 +404,20 @@ def test_language_id(docs, rows):
     assert {130, 131, 132, 133}.isdisjoint({r.doc_id for r in kept.collect()})
 
 
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzäöüßéèñåøæ"
+    rows = []
+    for k in range(70):
+        alphabet = rng.sample(letters, 6)
+        rows += [(100 * k + i, " ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(60)), f"l{k}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 70 and model.languages == sorted(model.languages)
+    right = language_id.predict(docs, model).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
+    assert right > 0.95
+
+
 def test_pairwise_quality(spark):
     rng = random.Random(1)
     words = [f"th{i}er" for i in range(50)]
@@ -408,6 +431,26 @@ def test_pairwise_quality(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
 
 
+def test_quality_cut_does_not_move_with_the_number_of_labels(spark):
+    rng = random.Random(2)
+    words = [f"th{i}er" for i in range(50)]
+
+    def noisy(share):
+        return " ".join(x + "###" if rng.random() < share else x for x in sentence(rng, 80, words).split())
+
+    texts = [noisy(rng.uniform(0, 0.6) if i % 10 else rng.uniform(0.4, 1)) for i in range(400)]  # a tenth is bad; kinds overlap
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts * 3)], "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1200)], "doc_id long, quality int").cache()
+
+    def below(model):
+        return sum(r.predicted == 0 for r in pairwise_quality.score(docs.filter("doc_id < 400"), model).collect()) / 400
+
+    once, thrice = labels.filter("doc_id < 400"), labels
+    assert abs(below(pairwise_quality.fit(docs, once)) - 0.1) < 0.03
+    capped = [below(pairwise_quality.fit(docs, x, fit_labels=40)) for x in (once, thrice)]
+    assert all(abs(x - 0.1) < 0.05 for x in capped), capped
+
+
 def test_url_filter(spark):
     urls = [
         "http://a.Example.ORG/en/2?x#y", "https://example.org/en/12", "https://example.org/es/", "http://b.com/fr/1", "http://b.com/de/1", "http://b.net/en/1",
