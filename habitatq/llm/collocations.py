@@ -2,19 +2,19 @@
 
 Per language: phrases of 2 to 5 words that occur ``min_count`` times or more inside pieces of text, scored by the
 lowest of 1000 * f(phrase) * n / (f(first part) * f(rest)) over its cuts, without those that a longer candidate
-holds whenever they occur. Words are 64-bit labels; a label that two frequent words shared would be an error.
-
-1. ``may_be_frequent``: one pass counts words and pairs of words in 2**20 and 2**23 slots (an upper bound of each
-   count) and keeps a bit per slot. This only spares work: whatever is frequent passes, at any size of the corpus.
-2. ``windows``: each word with up to four more that follow in its piece, cut where a pair cannot be frequent, is a
-   path of labels, counted within the task.
-3. ``ngrams``: paths are sorted over all partitions by a range shuffle; each range is a shard whose transducers
-   are built block by block from its sorted stream, so the arc of a prefix carries its count. Of each block the
-   arcs with ``min_count`` are kept, and those on its borders, whose sums over neighbouring blocks come after.
+holds whenever they occur. A word of a language is a 64-bit label.
+
+1. ``words``: each word of each language with its count.
+2. ``shards``: each word with up to four more that follow in its piece is a path of labels; a path ends before a word
+   that is not frequent enough to be in a candidate (looked up in 2**20 slots, so some others stay). The sorted,
+   counted paths of a shard are cut by prefix range and coded, one row per shard and range.
+3. ``ngrams``: the transducers of all shards are united range by range, weights summed, so the arc of a prefix carries
+   its count; arcs with ``min_count`` are kept.
 4. ``parts``: prefix ranges of the kept paths become transducers once more, and the first parts and rests of all
-   candidates, stored next to them by the same ranges, are composed with these.
+   candidates, brought to the same ranges, are composed with these.
 
-A hot word or pair is one path per task after counting; what follows it is spread over as many ranges as it needs.
+A prefix is two words, so a frequent word is spread over many ranges. Pairs whose slot (of 2**14) has eight times its
+share go by four words, and the counts of their first two and three words are summed over ranges.
 
 Defined cases: a null text is empty, a null lang is ``und``; a language without a candidate has no row; repeated
 rows count each time; extra columns are ignored; an empty table gives no rows.
@@ -23,9 +23,11 @@ rows count each time; extra columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -35,16 +37,17 @@ from habitatq.llm.transducer import Transducer, levels, summed
 from habitatq.sources.tables import stored
 
 MIN_COUNT, LONGEST, TOP, SHARE = 100, 5, 2000, 100
-WORD_SLOTS, PAIR_SLOTS = 1 << 20, 1 << 23
-_CHUNK = 1 << 17
-_HELD, _BLOCK = 1 << 19, 1 << 18
+WORD_SLOTS, PAIR_SLOTS, HOT = 1 << 20, 1 << 14, 8
+#: Words of a shard; paths of a range, on average; rows of a block in which parts are looked up.
+SHARD_WORDS, RANGE_PATHS, _BLOCK = 1 << 21, 400_000, 1 << 18
 _U = np.uint64
 #: A piece ends at any of . , ; : ! ? and \n \v \f \r; words are divided by blanks and tabs too.
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _WORD = ~_ENDS
 _WORD[[0x20, 0x09]] = False
-_PATH = [f"w{i}" for i in range(LONGEST + 1)]  # the label of the language, then those of the words
+_PATH = [f"w{i}" for i in range(1, LONGEST + 1)]
+_PATHS = ", ".join(f"{w} long" for w in _PATH)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -52,130 +55,168 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 class _Slice:
-    """Labels of the words of a slice: ``word``, its language's ``lang``, and whether it begins a piece."""
+    """Labels of the words of a slice, the language of each, and whether it goes on with the word before."""
 
     def __init__(self, batch: pa.RecordBatch):
         self.words = w = W.words_of(batch.column("text"), _WORD, lower=True)
-        self.word = np.minimum(np.maximum(w.hashes(), _U(1)), _U(2**64 - 2))  # 0 and -1 are no labels
         coded = batch.column("lang").dictionary_encode()
         self.names = coded.dictionary.to_pylist()
-        labels = np.array([max(1, xxh64_intdigest(n.encode())) for n in self.names], _U)
+        langs = np.array([xxh64_intdigest(n.encode()) for n in self.names], _U)
         self.code = coded.indices.to_numpy()[w.owner()]
-        self.lang = labels[self.code]
-        self.labels = labels
-        self.fresh = np.ones(len(self.word), bool)
-        if len(self.word) > 1:
+        label = W.mix(w.hashes() ^ langs[self.code])
+        self.label = np.minimum(np.maximum(label, _U(1)), _U(2**64 - 2))  # 0 and -1 are no labels
+        self.goes_on = np.zeros(len(label), bool)
+        if len(label) > 1:
             ends = np.concatenate([[0], np.cumsum(_ENDS[w.data], dtype=np.int32)])
-            self.fresh[1:] = ends[w.start[1:]] > ends[w.end[:-1]]
+            self.goes_on[1:] = ends[w.start[1:]] == ends[w.end[:-1]]
             first = w.ptr[:-1]
-            self.fresh[first[first < len(self.word)]] = True
-        self.one = W.mix(self.word ^ self.lang)
+            self.goes_on[first[first < len(label)]] = False
 
-    def word_slots(self) -> np.ndarray:
-        return (self.one & _U(WORD_SLOTS - 1)).astype(np.int64)
 
-    def pair_slots(self, at: np.ndarray) -> np.ndarray:
-        """Slots of the pairs that begin at the words ``at``."""
-        return (W.mix(self.one[at] * _U(0x9E3779B97F4A7C15) + self.word[at + 1]) & _U(PAIR_SLOTS - 1)).astype(np.int64)
+def _pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """A hash of each pair; its last bits are the slot, its first bits the range."""
+    return W.mix(first * _U(0x9E3779B97F4A7C15) + second)
 
 
-def may_be_frequent(docs: DataFrame, min_count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the words, and the pairs, of each slot could occur ``min_count`` times; 1.1 MB whatever the corpus."""
-    kind = np.uint8 if min_count < 256 else np.uint32
+def words(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(``label, lang, name, n``: every word of every language with its count, slots of hot pairs, number of pairs)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(WORD_SLOTS + PAIR_SLOTS, np.uint32)
-        for b in W.slices(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(PAIR_SLOTS, np.int64)
+        for b in W.slices(batches, limit=4 * W.SLICE_BYTES, rows=1 << 16):
             s = _Slice(b)
-            np.add.at(n, s.word_slots(), np.uint32(1))
-            np.add.at(n, WORD_SLOTS + s.pair_slots(np.flatnonzero(~s.fresh[1:])), np.uint32(1))
-            np.minimum(n, min_count, out=n)
-        for k in range(0, len(n), _CHUNK):
-            if n[k : k + _CHUNK].any():
-                yield pa.record_batch([pa.array([k // _CHUNK]), pa.array([n[k : k + _CHUNK].astype(kind).tobytes()], pa.binary())], names=["chunk", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist()):
-                new = np.frombuffer(counts, kind).astype(np.uint32)
-                sums[chunk] = np.minimum(sums[chunk] + new, np.uint32(min_count)) if chunk in sums else new
-        for chunk, n in sums.items():
-            yield pa.record_batch([pa.array([chunk]), pa.array([np.packbits(n >= min_count).tobytes()], pa.binary())], names=["chunk", "bits"])
-
-    counted = _rows(docs).mapInArrow(count, "chunk long, counts binary").repartition("chunk")
-    bits = np.zeros(WORD_SLOTS + PAIR_SLOTS, bool)
-    for row in counted.mapInArrow(add, "chunk long, bits binary").collect():  # 72 rows of 16 KB
-        bits[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = np.unpackbits(np.frombuffer(row.bits, np.uint8)).astype(bool)
-    return np.packbits(bits[:WORD_SLOTS]), np.packbits(bits[WORD_SLOTS:])
-
-
-def _path_batch(paths: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    n = len(paths)
-    columns = [pa.array(np.ascontiguousarray(paths[:, k]).view(np.int64)) for k in range(len(_PATH))]
-    return pa.record_batch([*columns, pa.array(counts.astype(np.int64)), pa.nulls(n, pa.string())], names=[*_PATH, "n", "name"])
-
-
-def _name_batch(labels: np.ndarray, counts: np.ndarray | None, names: list[str]) -> pa.RecordBatch:
-    """Names of languages (with their number of words, in w0) or of words (in w1)."""
-    zero, own = np.zeros(len(names), np.int64), labels.view(np.int64)
-    first = [zero, own] if counts is None else [own, zero]
-    columns = [*first, *[zero] * (len(_PATH) - 2), zero if counts is None else counts]
-    return pa.record_batch([*(pa.array(c) for c in columns), pa.array(names, pa.string())], names=[*_PATH, "n", "name"])
-
-
-def windows(docs: DataFrame, min_count: int) -> DataFrame:
-    """``w0..w5, n, name``: counted paths (no name), languages with their number of words, and words by label."""
-    bits = docs.sparkSession.sparkContext.broadcast(may_be_frequent(docs, min_count))
+            found, first, n = np.unique(s.label, return_index=True, return_counts=True)
+            spelt = [s.words.data[a:e].tobytes().decode() for a, e in zip(s.words.start[first], s.words.end[first])]
+            langs = pa.DictionaryArray.from_arrays(s.code[first].astype(np.int32), pa.array(s.names, pa.string())).cast(pa.string())
+            yield pa.record_batch([pa.array(found.view(np.int64)), langs, pa.array(spelt, pa.string()), pa.array(n.astype(np.int64))], names=["label", "lang", "name", "n"])
+            at = np.flatnonzero(s.goes_on)
+            slot = (_pair_slots(s.label[at - 1], s.label[at]) & _U(PAIR_SLOTS - 1)).astype(np.int64)
+            pairs += np.bincount(slot, minlength=PAIR_SLOTS)
+        slot = np.flatnonzero(pairs)
+        nothing = pa.nulls(len(slot), pa.string())
+        yield pa.record_batch([pa.array(slot), nothing, nothing, pa.array(pairs[slot])], names=["label", "lang", "name", "n"])
+
+    counted = stored(_rows(docs).mapInArrow(run, "label long, lang string, name string, n long"), "word-counts")
+    slots = counted.filter("name IS NULL").groupBy("label").agg(F.sum("n").alias("n")).collect()  # 16,384 rows at most
+    pairs = sum(r.n for r in slots)
+    hot = np.array([r.label for r in slots if r.n * PAIR_SLOTS > HOT * pairs], np.int64)
+    return counted.filter("name IS NOT NULL").groupBy("label", "lang").agg(F.min("name").alias("name"), F.sum("n").alias("n")), hot, pairs
+
+
+def _frequent_slots(frequent: DataFrame) -> np.ndarray:
+    """A bit for each of 2**20 slots that a frequent word falls into, packed in 64-bit words."""
+    slot = F.col("label").bitwiseAND(WORD_SLOTS - 1)
+    bits = frequent.select(F.shiftright(slot, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
+    out = np.zeros(WORD_SLOTS // 64, np.int64)
+    for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # 16,384 rows at most
+        out[r["at"]] = r["bits"]
+    return out
+
+
+def _coded(paths: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> bytes:
+    """Sorted paths of numbers (0 after the end) as a table of the labels they use and one column per word."""
+    used, local = np.unique(paths, return_inverse=True)
+    local = local.reshape(paths.shape)
+    if not len(used) or used[0]:
+        used, local = np.concatenate([[0], used]), local + 1
+    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+    wide = np.uint8 if counts.max() < 256 else np.uint32
+    head = np.array([len(paths), len(used), np.dtype(kind).itemsize, np.dtype(wide).itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, labels[used], np.ascontiguousarray(local.T.astype(kind)), counts.astype(wide)))
+
+
+def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, used, kind, wide = np.frombuffer(blob, np.int64, 4)
+    labels = np.frombuffer(blob, _U, used, 32)
+    at = 32 + 8 * used
+    local = np.frombuffer(blob, np.uint16 if kind == 2 else np.uint32, n * LONGEST, at).reshape(LONGEST, n)
+    counts = np.frombuffer(blob, np.uint8 if wide == 1 else np.uint32, n, at + kind * n * LONGEST)
+    return labels[local.T], counts.astype(np.int64)
+
+
+def _shard(label: np.ndarray, joined: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, coded paths) of a run of words; ``joined`` tells where a word and the next are frequent and of one piece."""
+    known, number = np.unique(label, return_inverse=True)
+    labels = np.concatenate([np.zeros(1, _U), known])
+    number = number.astype(np.int64) + 1
+    at = np.flatnonzero(joined)
+    paths = np.zeros((len(at), LONGEST), np.int64)
+    paths[:, 0], live = number[at], np.arange(len(at))
+    for d in range(1, LONGEST):
+        live = live[joined[at[live] + d - 1]]
+        paths[live, d] = number[at[live] + d]
+    bits = len(labels).bit_length()
+    if 3 * bits < 64:
+        keys = [(paths[:, 0] << bits | paths[:, 1]) << bits | paths[:, 2], paths[:, 3] << bits | paths[:, 4]]
+    else:
+        keys = list(paths.T)
+    order = np.lexsort(keys[::-1])
+    paths = paths[order]
+    fresh = np.ones(len(paths), bool)
+    fresh[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.flatnonzero(fresh)
+    counts = np.diff(np.concatenate([first, [len(paths)]]))
+    paths = paths[first]
+    key = _pair_slots(labels[paths[:, 0]], labels[paths[:, 1]])
+    split = np.isin((key & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)
+    key[split] = W.mix(key[split] + labels[paths[split, 2]] * _U(0xD6E8FEB86659FD93) + labels[paths[split, 3]] * _U(0xA0761D6478BD642F))
+    place = ((key >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(cuts)):
+        own = order[cuts[r] : cuts[r + 1]]
+        yield int(r), _coded(paths[own], counts[own], labels)
+
+
+def shards(docs: DataFrame, slots: Broadcast, ranges: int) -> DataFrame:
+    """``range, paths``: the counted paths of each shard, coded by prefix range; ``slots`` are those of frequent words and hot pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs = (np.unpackbits(b).astype(bool) for b in bits.value)
+        frequent, hot = np.unpackbits(slots.value[0].view(np.uint8), bitorder="little").astype(bool), slots.value[1]
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen, totals, size = np.zeros(0, _U), {}, 0
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            label, joined = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            for r, blob in _shard(label, joined, hot, ranges):
+                yield pa.record_batch([pa.array([r], pa.int64()), pa.array([blob], pa.binary())], names=["range", "paths"])
+
         for b in W.slices(batches):
             s = _Slice(b)
-            for code, n in enumerate(np.bincount(s.code, minlength=len(s.names)).tolist()):
-                totals[s.names[code]] = totals.get(s.names[code], 0) + n
-            frequent = words[s.word_slots()]
-            joined = np.zeros(len(s.word), bool)
-            at = np.flatnonzero(frequent[:-1] & frequent[1:] & ~s.fresh[1:])
-            joined[at[pairs[s.pair_slots(at)]]] = True
-            new, where = np.unique(s.word[frequent], return_index=True)
-            fresh = ~np.isin(new, seen)
-            if fresh.any():
-                seen = np.concatenate([seen, new[fresh]])
-                at = np.flatnonzero(frequent)[where[fresh]]
-                yield _name_batch(new[fresh], None, [s.words.data[a:e].tobytes().decode() for a, e in zip(s.words.start[at], s.words.end[at])])
-            held += _counted(s, frequent, joined)
-            size += sum(len(p) for p, _ in held[-2:])
-            if size >= _HELD:
-                paths, counts = summed(np.concatenate([p for p, _ in held]), np.concatenate([c for _, c in held]))
-                yield _path_batch(paths, counts)
+            common = frequent[(s.label & _U(WORD_SLOTS - 1)).astype(np.int64)]
+            joined = np.zeros(len(common), bool)
+            joined[:-1] = common[:-1] & common[1:] & s.goes_on[1:]
+            held.append((s.label, joined))
+            size += len(common)
+            if size >= SHARD_WORDS:
+                yield from flush()
                 held, size = [], 0
         if held:
-            paths, counts = summed(np.concatenate([p for p, _ in held]), np.concatenate([c for _, c in held]))
-            yield _path_batch(paths, counts)
-        if totals:
-            labels = np.array([max(1, xxh64_intdigest(n.encode())) for n in totals], _U)
-            yield _name_batch(labels, np.array(list(totals.values()), np.int64), list(totals))
-
-    return stored(_rows(docs).mapInArrow(run, ", ".join(f"{w} long" for w in _PATH) + ", n long, name string"), "windows")
-
-
-def _counted(s: _Slice, frequent: np.ndarray, joined: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Paths of a slice and their counts: single words, and words joined to what follows."""
-    out = []
-    for at in (np.flatnonzero(frequent & ~joined), np.flatnonzero(joined)):
-        paths = np.zeros((len(at), LONGEST + 1), _U)
-        paths[:, 0], paths[:, 1] = s.lang[at], s.word[at]
-        key, live = s.one[at].copy(), np.arange(len(at))
-        for d in range(1, LONGEST):
-            live = live[joined[at[live] + d - 1]]
-            paths[live, d + 1] = s.word[at[live] + d]
-            key[live] = W.mix(key[live] * _U(0xD6E8FEB86659FD93) + paths[live, d + 1])
-        _, first, counts = np.unique(key, return_index=True, return_counts=True)
-        out.append((paths[first], counts))
-    return out
+            yield from flush()
+
+    return _rows(docs).mapInArrow(run, "range long, paths binary")
+
+
+def ngrams(coded: DataFrame, hot: np.ndarray, min_count: int) -> DataFrame:
+    """``w1..w5, f``: every n-gram of 2 to 5 words that occurs ``min_count`` times or more, with its count."""
+
+    def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((r, p) for b in batches for r, p in zip(b.column("range").to_pylist(), b.column("paths").to_pylist()))
+        for _, group in groupby(rows, lambda x: x[0]):
+            parts = [_decoded(p) for _, p in group]
+            paths, counts = summed(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
+            split = np.isin((_pair_slots(paths[:, 0], paths[:, 1]) & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)
+            for d, (row, _, _, weight) in enumerate(levels(paths, counts)):
+                kept = np.flatnonzero((weight >= min_count) | split[row]) if d < 3 else np.flatnonzero(weight >= min_count)
+                if not d or not len(kept):
+                    continue  # single words are counted apart
+                path = paths[row[kept]].view(np.int64)
+                path[:, d + 1 :] = 0
+                yield pa.record_batch([*(pa.array(np.ascontiguousarray(path[:, k])) for k in range(LONGEST)), pa.array(weight[kept])], names=[*_PATH, "f"])
+
+    ranged = coded.repartition("range").sortWithinPartitions("range")
+    partial = ranged.mapInArrow(united, f"{_PATHS}, f long")
+    return partial.groupBy(*_PATH).agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -194,29 +235,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
         yield pa.concat_batches(held)
 
 
-def ngrams(paths: DataFrame, min_count: int) -> DataFrame:
-    """``w0..w5, f``: every n-gram of 1 to 5 words that occurs ``min_count`` times or more, with its count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches, _BLOCK):
-            block = _matrix(b)
-            for d, (row, _, node, weight) in enumerate(levels(block, b.column("n").to_numpy())):
-                if not d:
-                    continue  # languages
-                border = (block[row, : d + 1] == block[0, : d + 1]).all(axis=1) | (block[row, : d + 1] == block[-1, : d + 1]).all(axis=1)
-                kept = np.flatnonzero(border | (weight >= min_count))
-                path = block[row[kept]]
-                path[:, d + 1 :] = 0
-                yield pa.record_batch([*(pa.array(np.ascontiguousarray(path[:, k])) for k in range(len(_PATH))), pa.array(weight[kept])], names=[*_PATH, "f"])
-
-    ranged = paths.select(*_PATH, "n").repartitionByRange(*_PATH).sortWithinPartitions(*_PATH)
-    partial = ranged.mapInArrow(run, ", ".join(f"{w} long" for w in _PATH) + ", f long")
-    return stored(partial.groupBy(*_PATH).agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count), "ngrams")
-
-
-def _words(k: str = "w") -> Column:
+def _words() -> Column:
     """The words of a path as an array."""
-    return F.filter(F.array(*(f"{k}{i}" for i in range(1, LONGEST + 1))), lambda w: w != 0)
+    return F.filter(F.array(*_PATH), lambda w: w != 0)
 
 
 def _slots(words: Column) -> list[Column]:
@@ -224,13 +245,13 @@ def _slots(words: Column) -> list[Column]:
 
 
 def parts(counted: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``w0, words, f``: counts of the distinct sequences ``wanted`` (``w0, words``), composed with transducers of ``counted``."""
+    """``words, f``: counts of the distinct sequences ``wanted`` (``words``), composed with transducers of ``counted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
         for b in _blocks(batches, _BLOCK):
             held = b if held is None else pa.concat_batches([held, b])
-            begin = _matrix(held)[:, :3]
+            begin = _matrix(held)[:, :2]
             change = np.flatnonzero((begin[1:] != begin[:-1]).any(axis=1)) + 1
             if len(change):  # whole prefix ranges; the last one may go on
                 yield from answer(held.slice(0, int(change[-1])))
@@ -245,13 +266,13 @@ def parts(counted: DataFrame, wanted: DataFrame) -> DataFrame:
             return
         asked_paths = paths[asked]
         found = _lookup(paths[~asked], f[~asked], asked_paths)
-        yield pa.record_batch([*(pa.array(np.ascontiguousarray(asked_paths[:, k])) for k in range(len(_PATH))), pa.array(found)], names=[*_PATH, "f"])
+        yield pa.record_batch([*(pa.array(np.ascontiguousarray(asked_paths[:, k])) for k in range(LONGEST)), pa.array(found)], names=[*_PATH, "f"])
 
     zero = F.lit(0).cast("long")
-    asked = wanted.select("w0", *_slots(F.col("words")), zero.alias("f")).distinct()
-    both = counted.select(*_PATH, "f").unionByName(asked).repartition("w0", "w1", "w2").sortWithinPartitions(*_PATH)
-    found = both.mapInArrow(run, ", ".join(f"{w} long" for w in _PATH) + ", f long")
-    return found.select("w0", _words().alias("words"), "f")
+    asked = wanted.select(*_slots(F.col("words")), zero.alias("f")).distinct()
+    both = counted.select(*_PATH, "f").unionByName(asked).repartition("w1", "w2").sortWithinPartitions(*_PATH)
+    found = both.mapInArrow(run, f"{_PATHS}, f long")
+    return found.select(_words().alias("words"), "f")
 
 
 def _lookup(paths: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -280,22 +301,26 @@ def _inside(words: Column) -> Column:
 
 
 def scored(counted: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``w0, words, a, l, r, n, score`` of the candidates that no longer one holds (``sizes``: ``w0, n``)."""
-    phrases = counted.filter("w2 <> 0").select("w0", _words().alias("words"), F.col("f").alias("a"))
-    cuts = stored(phrases.select("w0", "words", "a", F.inline(_splits(F.col("words")))), "cuts")
-    either = cuts.select("w0", F.explode(F.array("head", "tail")).alias("words"))
-    known = stored(parts(counted, either), "parts")
-    head = known.select("w0", F.col("words").alias("head"), F.col("f").alias("l"))
-    tail = known.select("w0", F.col("words").alias("tail"), F.col("f").alias("r"))
+    """``lang, words, a, l, r, n, score`` of the candidates that no longer one holds.
+
+    ``counted`` has all frequent n-grams, single words included; ``sizes`` the language of each frequent word and
+    the number of words of that language (``w1, lang, n``).
+    """
+    phrases = counted.filter("w2 <> 0").select("w1", _words().alias("words"), F.col("f").alias("a"))
+    cuts = stored(phrases.select("w1", "words", "a", F.inline(_splits(F.col("words")))), "cuts")
+    known = stored(parts(counted, cuts.select(F.explode(F.array("head", "tail")).alias("words"))), "parts")
+    head = known.select(F.col("words").alias("head"), F.col("f").alias("l"))
+    tail = known.select(F.col("words").alias("tail"), F.col("f").alias("r"))
     whole = lambda c: F.col(c).cast("decimal(38,0)")
-    cut = cuts.join(head, ["w0", "head"]).join(tail, ["w0", "tail"]).join(sizes, "w0")
+    cut = cuts.join(head, "head").join(tail, "tail").join(sizes, "w1")
     cut = cut.withColumns({"up": whole("a") * whole("n") * F.lit(1000).cast("decimal(38,0)"), "down": whole("l") * whole("r")})
-    best = cut.groupBy("w0", "words").agg(
-        F.min("a").alias("a"), F.min("n").alias("n"), F.min(F.struct(F.expr("up div down").alias("score"), "cut", "l", "r")).alias("best"))
-    held = phrases.filter(F.size("words") > 2).select("w0", F.col("a").alias("longer"), F.explode(_inside(F.col("words"))).alias("words"))
-    held = held.groupBy("w0", "words").agg(F.max("longer").alias("longer"))
-    out = best.join(held, ["w0", "words"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < SHARE * F.col("a")))
-    return out.select("w0", "words", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
+    best = cut.groupBy("words").agg(
+        F.min("lang").alias("lang"), F.min("a").alias("a"), F.min("n").alias("n"),
+        F.min(F.struct(F.expr("up div down").alias("score"), "cut", "l", "r")).alias("best"))
+    held = phrases.filter(F.size("words") > 2).select(F.col("a").alias("longer"), F.explode(_inside(F.col("words"))).alias("words"))
+    held = held.groupBy("words").agg(F.max("longer").alias("longer"))
+    out = best.join(held, "words", "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < SHARE * F.col("a")))
+    return out.select("lang", "words", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), "n", F.col("best.score").alias("score"))
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFrame:
@@ -303,16 +328,20 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFra
 
     The highest score comes first, then the most frequent, then the phrase in byte order.
     """
-    found = windows(docs, min_count)
-    sizes = stored(found.filter("w0 <> 0 AND name IS NOT NULL").groupBy("w0", "name").agg(F.sum("n").alias("n")), "sizes")
-    names = found.filter("w0 = 0").groupBy(F.col("w1").alias("word")).agg(F.min("name").alias("name"))
-    counted = ngrams(found.filter("name IS NULL"), min_count)
-    best = Window.partitionBy("w0").orderBy(F.desc("score"), F.desc("a"))
-    rated = scored(counted, sizes.select("w0", "n"))
+    every, hot, pairs = words(docs)
+    every = stored(every, "words")
+    sizes = every.groupBy("lang").agg(F.sum("n").alias("size"))
+    frequent = stored(every.filter(F.col("n") >= min_count).join(sizes, "lang"), "frequent")
+    slots = docs.sparkSession.sparkContext.broadcast((_frequent_slots(frequent), hot))  # 128 KB, and 2,048 slots at most
+    several = ngrams(shards(docs, slots, max(32, pairs // RANGE_PATHS)), hot, min_count)
+    zero = F.lit(0).cast("long")
+    single = frequent.select(F.col("label").alias("w1"), *(zero.alias(w) for w in _PATH[1:]), F.col("n").alias("f"))
+    counted = stored(several.unionByName(single), "ngrams")
+    rated = scored(counted, frequent.select(F.col("label").alias("w1"), "lang", F.col("size").alias("n")))
+    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     kept = stored(rated.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place"), "best")  # with all ties of the last
-    spelt = kept.select("w0", "words", F.posexplode("words").alias("at", "word")).join(names, "word")
-    spelt = spelt.groupBy("w0", "words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " ").alias("phrase"))
-    in_order = Window.partitionBy("w0").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.join(spelt, ["w0", "words"]).withColumn("rank", F.row_number().over(in_order).cast("long")).filter(F.col("rank") <= top)
-    langs = sizes.select("w0", F.col("name").alias("lang"))
-    return ranked.join(langs, "w0").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    spelt = kept.select("words", F.posexplode("words").alias("at", "label")).join(frequent.select("label", "name"), "label")
+    spelt = spelt.groupBy("words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), " ").alias("phrase"))
+    in_order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    ranked = kept.join(spelt, "words").withColumn("rank", F.row_number().over(in_order).cast("long")).filter(F.col("rank") <= top)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
