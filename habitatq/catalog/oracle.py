@@ -4,14 +4,87 @@ from __future__ import annotations
 
 import re
 
+from habitatq.functions import binomial, permute
 from habitatq.plans.resampling import poisson_cutoffs
 
-RUNS, POISSON_RUNS = 20, 100
+RUNS, POISSON_RUNS, PERMUTATIONS = 100, 100, 1000
 SEED = 19
 TAXA = ["economy_10m2", "promo_10m2", "standard_10m2", "small_10m2", "medium_10m2", "large_10m2"]
 SPECIES = "('ECONOMY','PROMO','STANDARD','SMALL','MEDIUM')"
 NEWTON_STEPS = 12
 
+
+def _let(value: str, name: str, body: str) -> str:
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _double(x: float) -> str:
+    return f"({x!r}e0)"
+
+
+def _unit(text: str, first: int = 1) -> str:
+    return f"((('0x' || substr({text}, {first}, {binomial.UNIT_DIGITS}))::bigint + 5e-1) / {16**binomial.UNIT_DIGITS}e0)"
+
+
+def _tail(k: str) -> str:
+    x = f"({k} + 1e0)"
+    near = ", ".join(_double(c) for c in binomial.STIRLING_TAIL)
+    return f"(case when {k} < 10 then [{near}][{k} + 1] else (1e0/12 - (1e0/360 - 1e0/1260/({x}*{x}))/({x}*{x}))/{x} end)"
+
+
+def _binomial(n: str, part: str, whole: str, text) -> str:
+    """Number of ``n`` draws that fall into ``part`` of ``whole``; ``text(j)`` is the hash of attempt j."""
+    h = {k: _double(v) for k, v in binomial.HAT.items()}
+    waits = f"""list_reduce(range(0, least({n}, ceil({n}*p + 12*sqrt({n}*p) + 20)::bigint)), lambda s, i: case when s.u < s.f then s
+        else {{'u': s.u - s.f, 'f': s.f*(p/(1 - p)*({n} - s.k)/(s.k + 1)), 'k': s.k + 1}} end,
+        {{'u': {_unit(text("1"))}, 'f': exp({n}*ln(1 - p)), 'k': 0::bigint}}).k"""
+    at = f"""({n} + 1)*ln(({n} - c.m + 1)/({n} - x.k + 1e0)) + (x.k + 5e-1)*ln(c.r*({n} - x.k + 1)/(x.k + 1)) - {_tail("x.k")} - {_tail(f"({n} - x.k)")}"""
+    verdict = f"""case when x.us >= {h["squeeze"]} and x.v <= c.v then x.k when x.k >= 0 and x.k <= {n}
+        then case when ln(x.v*c.alpha/(c.a/(x.us*x.us) + c.b)) <= c.top + {at} then x.k end end"""
+    spot = _let("t.u", "u", f"{{'us': 5e-1 - abs(u), 'k': floor((2*c.a/(5e-1 - abs(u)) + c.b)*u + ({n}*p + 5e-1))::bigint, 'v': t.v}}")
+    tried = _let(_let(_let(text("j"), "w", f"{{'u': {_unit('w')} - 5e-1, 'v': {_unit('w', 17)}}}"), "t", spot), "x", verdict)
+    search = f"""coalesce(list_reduce(range(1, {binomial.ATTEMPTS + 1}), lambda got, j: coalesce(got, {tried}), null::bigint), c.m)"""
+    hat = f"""{{'a': {h["a0"]} + {h["a1"]}*g.b + {h["a2"]}*p, 'b': g.b, 'm': g.m, 'r': g.r, 'v': {h["v0"]} - {h["v1"]}/g.b,
+        'alpha': ({h["alpha0"]} + {h["alpha1"]}/g.b)*g.sd, 'top': (g.m + 5e-1)*ln((g.m + 1)/(g.r*({n} - g.m + 1))) + {_tail("g.m")} + {_tail(f"({n} - g.m)")}}}"""
+    first = f"""{{'b': {h["b0"]} + {h["b1"]}*sd, 'sd': sd, 'm': floor(({n} + 1)*p)::bigint, 'r': p/(1 - p)}}"""
+    rejects = _let(_let(_let(f"sqrt({n}*p*(1 - p))", "sd", first), "g", hat), "c", search)
+    few = f"least({part}, {whole} - {part})"
+    drawn = _let(f"{few}::double/{whole}", "p", f"case when {n}*p < {binomial.FEW}e0 then {waits} else {rejects} end")
+    return f"case when {n} = 0 then 0::bigint when {part} >= {whole} then {n} else {_let(drawn, 'k', f'case when 2*{part} > {whole} then {n} - k else k end')} end"
+
+
+def _multinomial(n: str, places: str, whole: str, text) -> str:
+    got = _binomial("m.remains", "place.w", "m.among", lambda j: text("place", j))
+    step = _let(got, "taken", "{'remains': m.remains - taken, 'among': m.among - place.w, 'drawn': list_append(m.drawn, taken)}")
+    return f"list_reduce({places}, lambda m, place: {step}, {{'remains': {n}, 'among': {whole}, 'drawn': []::bigint[]}}).drawn"
+
+
+_KEY = "'{seed}|' || data || '|' || spp || '|' || run".format(seed=SEED)
+
+
+def _scrambled(x: str) -> str:
+    (p, q), (f, g) = permute.PRIMES, permute.FACTORS
+    y = f"(({x} + 1) * {f} % {p})"
+    return f"(({y} * {y} % {q} + {y}) * {g} % {p})"
+
+
+def _rounds() -> str:
+    """The first pass of a permutation, one nested selection a round."""
+    sql = "select *, number // b as high, number % b as low from v_stations_in_runs"
+    for k in range(permute.ROUNDS):
+        change = f"(low + {_scrambled(f'k{k} + high')}) % b as low" if k % 2 else f"(high + {_scrambled(f'k{k} + low')}) % a as high"
+        sql = f"select * replace ({change}) from ({sql})"
+    return sql
+
+
+def _walk() -> str:
+    """A number put through the permutation again until it is below n."""
+    keys = ", ".join(f"{{'k': {k}, 'key': k{k}}}" for k in range(permute.ROUNDS))
+    once = f"""list_reduce([{keys}], lambda d, r: case when r.k % 2 = 0 then {{'high': (d.high + {_scrambled("r.key + d.low")}) % a, 'low': d.low}}
+        else {{'high': d.high, 'low': (d.low + {_scrambled("r.key + d.high")}) % b}} end, {{'high': s // b, 'low': s % b}})"""
+    return f"list_reduce(range(0, a*b - n + 1), lambda s, i: case when s < n then s else {_let(once, 'd', 'd.high*b + d.low')} end, x)"
+
+
 VIEWS = {
     "v_station": """
         select o_orderkey, o_custkey::varchar || '_' || o_orderkey::varchar as cruise_station, o_orderstatus as data,
@@ -190,20 +263,36 @@ VIEWS = {
         from v_station s cross join (select unnest([{SPECIES[1:-1]}]) as spp) x
         left join v_occurrence o on o.data = s.data and o.cruise_station = s.cruise_station and o.spp = x.spp
         where s.sst is not null""",
-    "v_numbered_panel": """
-        select *, row_number() over (partition by data, spp order by md5(cruise_station), cruise_station) - 1 as i,
-               count(*) over (partition by data, spp) as size, round_even(sst*2, 0)::bigint as bin_idx
-        from v_panel""",
-    "v_draws": f"""
-        select d.data, d.spp, d.run, d.i, d.idx, p.bin_idx, p.abd
-        from (select data, spp, run, i,
-                     ('0x' || substr(md5('{SEED}|' || data || '|' || spp || '|' || run || '|' || i // 2), 1 + 16 * (i % 2), 15))::bigint
-                       % size as idx
-              from v_numbered_panel cross join (select range as run from range(1, {RUNS + 1}))) d
-        join v_numbered_panel p on p.data = d.data and p.spp = d.spp and p.i = d.idx""",
+    "v_value": """
+        select data, spp, round_even(sst*2, 0)::bigint as bin_idx, abd, count(*) as w from v_panel group by all""",
+    "v_block": """
+        select data, spp, bin_idx, case when abd = 0 then -1 else 0 end as block, sum(w)::bigint as w from v_value group by all""",
+    "v_bin": """
+        select data, spp, bin_idx, list({'block': block, 'w': w} order by block) as blocks, sum(w)::bigint as w from v_block group by all""",
+    "v_group": """
+        select data, spp, list({'bin_idx': bin_idx, 'w': w} order by bin_idx) as bins, sum(w)::bigint as size from v_bin group by all""",
+    "v_in_bins": f"""
+        select data, spp, run, unnest(list_transform(bins, lambda x: x.bin_idx)) as bin_idx,
+               unnest({_multinomial("size", "bins", "size", lambda p, j: f"md5({_KEY} || '|' || {p}.bin_idx || '|' || {j})")}) as n
+        from v_group cross join (select range as run from range(1, {RUNS + 1}))""",
+    "v_in_blocks": f"""
+        select data, spp, run, bin_idx, unnest(list_transform(blocks, lambda x: x.block)) as block,
+               unnest({_multinomial("n", "blocks", "w", lambda p, j: f"md5({_KEY} || '|' || bin_idx || '|' || {p}.block || '|' || {j})")}) as n
+        from v_in_bins join v_bin using (data, spp, bin_idx)""",
+    "v_rung": """
+        select data, spp, bin_idx, abd, sum(w) over (partition by data, spp, bin_idx order by abd) - w as first
+        from v_value where abd <> 0""",
+    "v_picked": f"""
+        select data, spp, run, bin_idx, ('0x' || substr(md5({_KEY} || '|' || bin_idx || '|0|draw|' || i // 2), 1 + 16 * (i % 2), 15))::bigint % w as at
+        from (select b.*, v_block.w, unnest(range(0, n)) as i from v_in_blocks b join v_block using (data, spp, bin_idx, block) where block = 0)""",
+    "v_draws": """
+        select data, spp, run, bin_idx, 0e0 as abd, n from v_in_blocks where block = -1 and n > 0
+        union all
+        select p.data, p.spp, p.run, p.bin_idx, r.abd, count(*) as n from v_picked p asof join v_rung r
+            on r.data = p.data and r.spp = p.spp and r.bin_idx = p.bin_idx and p.at >= r.first group by all""",
     "v_replicates": """
         select data, spp, run, bin_idx/2e0 as temp_bin,
-               (sum(abd) / nullif(sum(sum(abd)) over w, 0)) / (count(*) / sum(count(*)) over w) as q
+               (sum(n*abd) / nullif(sum(sum(n*abd)) over w, 0)) / (sum(n) / sum(sum(n)) over w) as q
         from v_draws group by data, spp, run, bin_idx window w as (partition by data, spp, run)""",
     "v_edges": """
         select data, bin_idx, lead(bin_idx) over (partition by data order by bin_idx) as next_idx from v_effort""",
@@ -216,20 +305,28 @@ VIEWS = {
         select data, edge, row_number() over (partition by data order by edge nulls first) - 1 as seat,
                count(*) over (partition by data) as n_all
         from v_placed""",
+    "v_stations_in_runs": f"""
+        select t.*, k.* exclude (data) from (
+            select data, cruise_station, row_number() over (partition by data order by md5(cruise_station), cruise_station) - 1 as number
+            from v_station where sst is not null) t
+        join (select *, ceil(n/a)::bigint as b from (
+            select data, run, n, ceil(sqrt(n))::bigint as a, {", ".join(f"{_scrambled(_scrambled(f'base + run * 64 + {k}') + ' + run')} as k{k}" for k in range(permute.ROUNDS))}
+            from (select data, count(*) as n, ('0x' || substr(md5('{SEED}|' || data), 1, 15))::bigint % {permute.PRIMES[0]} as base
+                  from v_station where sst is not null group by data) cross join (select range as run from range(1, {PERMUTATIONS + 1})))) k
+          on k.data = t.data""",
     "v_permuted": f"""
-        select data, spp, run, abd,
-               row_number() over (partition by data, spp, run order by
-                 md5('{SEED}|' || data || '|' || run || '|' || cruise_station), cruise_station) - 1 as seat
-        from v_panel cross join (select range as run from range(1, {RUNS + 1}))""",
-    "v_null_q": """
+        select data, run, cruise_station, case when x < n then x else {_walk()} end as seat
+        from (select *, high*b + low as x from ({_rounds()}))""",
+    "v_null_q": f"""
         select g.data, g.spp, g.run, g.bin_idx,
                coalesce(f.abd, 0) / nullif(t.abd, 0) / nullif(coalesce(n.n, 0) / a.n_all, 0) as q
-        from (select * from v_effort cross join (select distinct spp, run from v_permuted)) g
+        from (select * from v_effort cross join (select distinct spp from v_panel) cross join (select range as run from range(1, {PERMUTATIONS + 1}))) g
         join (select data, any_value(n_all) as n_all from v_seats group by 1) a on a.data = g.data
         left join (select data, edge, count(*) as n from v_seats group by 1, 2) n on n.data = g.data and n.edge = g.bin_idx
         left join (select data, spp, sum(abd) as abd from v_panel group by 1, 2) t on t.data = g.data and t.spp = g.spp
-        left join (select p.data, p.spp, p.run, s.edge, sum(p.abd) as abd
-                   from v_permuted p join v_seats s on s.data = p.data and s.seat = p.seat group by 1, 2, 3, 4) f
+        left join (select p.data, o.spp, p.run, s.edge, sum(o.abd) as abd
+                   from v_permuted p join v_panel o on o.data = p.data and o.cruise_station = p.cruise_station and o.abd <> 0
+                   join v_seats s on s.data = p.data and s.seat = p.seat group by 1, 2, 3, 4) f
           on f.data = g.data and f.spp = g.spp and f.run = g.run and f.edge = g.bin_idx""",
     "v_fit_rows": """
         select spp, case when data = 'F' then 'Larvae' else 'Eggs' end as stage, temp_bin as x,
@@ -486,7 +583,7 @@ QUERIES = {
     "spq_curve": "select data, spp, temp_bin, round(prop_samples, 6) as prop_samples, round(prop_fish, 6) as prop_fish, "
                  "round(q, 6) as q, round(q_norm, 6) as q_norm, round(cdf_q_norm, 6) as cdf_q_norm from v_curve "
                  "union all select data, 'ABSENT', bin_idx/2e0, round(prop_samples, 6), 0e0, 0e0, null, null from v_effort",
-    "bootstrap_draws": "select data, spp, run, bin_idx, abd, count(*) as n from v_draws group by all",
+    "bootstrap_draws": "select * from v_draws",
     "bootstrap_poisson": POISSON_SUMS,
     "poisson_quotient_ci": f"""
         with p as ({POISSON_SUMS}),

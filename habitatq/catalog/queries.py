@@ -13,7 +13,7 @@ from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, logistic, quotient, resampling, surveys
 from habitatq.sources import schemas, tables
 
-RUNS, POISSON_RUNS = 20, 100  # row-level draws and shuffles; Poisson weights, which need neither
+RUNS, POISSON_RUNS, PERMUTATIONS = 100, 100, 1000
 SEED = 19
 REGISTRY: dict[str, Callable[[Views], DataFrame]] = {}
 
@@ -222,10 +222,6 @@ def zero_filled_panel(v):
     return _panel(v)
 
 
-def _stored_panel(v: Views) -> DataFrame:
-    return tables.stored(_panel(v), "panel")
-
-
 def _panel(v: Views) -> DataFrame:
     stations = v.stations().filter(F.col("sst").isNotNull()).select("data", "cruise_station", "sst")
     return joins.zero_filled_panel(stations, v.occurrence(), SPECIES)
@@ -626,7 +622,7 @@ def spq_curve(v):
 
 
 def _draws(v: Views) -> DataFrame:
-    return resampling.bootstrap_draws(_stored_panel(v), RUNS, SEED)
+    return resampling.bootstrap_draws(_panel(v), RUNS, SEED)
 
 
 def _replicates(v: Views) -> DataFrame:
@@ -636,18 +632,18 @@ def _replicates(v: Views) -> DataFrame:
 @query
 def bootstrap_draws(v):
     """Draws counted by run, bin and abundance."""
-    return _draws(v).groupBy("data", "spp", "run", "bin_idx", "abd").agg(F.count("*").alias("n"))
+    return _draws(v)
 
 
 @query
 def bootstrap_poisson(v):
-    return resampling.bootstrap_poisson(_panel(v), POISSON_RUNS, SEED)
+    return resampling.bootstrap_poisson(_panel(v), POISSON_RUNS, SEED, unique=True)
 
 
 @query
 def poisson_quotient_ci(v):
     """The interval in the mode meant for large panels."""
-    sums = resampling.bootstrap_poisson(_panel(v), POISSON_RUNS, SEED)
+    sums = resampling.bootstrap_poisson(_panel(v), POISSON_RUNS, SEED, unique=True)
     return rounded(resampling.bootstrap_ci(resampling.bootstrap_quotient(sums)), "lower_ci", "upper_ci")
 
 
@@ -669,7 +665,7 @@ def thermal_range_by_run(v):
 @query
 def permutation_quotient_ci(v):
     by_station = resampling.abundance_by_station(v.stations(), v.occurrence(), SPECIES)
-    runs = resampling.permutation_replicates(tables.stored(by_station, "by_station"), SPECIES, RUNS, SEED)
+    runs = resampling.permutation_replicates(tables.stored(by_station, "by_station"), SPECIES, PERMUTATIONS, SEED)
     return rounded(resampling.permutation_ci(runs), "lower_ci", "upper_ci")
 
 

@@ -2,11 +2,12 @@
 
 import datetime as dt
 import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
-from habitatq.functions import binning, fields, keys
+from habitatq.functions import binning, binomial, fields, keys, permute
 from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, quotient, resampling, surveys
 
@@ -325,8 +326,7 @@ def panel(spark):
 
 def test_each_run_draws_as_many_rows_as_the_panel_has(spark, panel):
     draws = resampling.bootstrap_draws(panel, 4)
-    assert rows(draws.groupBy("run").count()) == [(r, 300) for r in (1, 2, 3, 4)]
-    assert draws.agg(F.min("idx"), F.max("idx")).first()[0] >= 0
+    assert rows(draws.groupBy("run").agg(F.sum("n"))) == [(r, 300) for r in (1, 2, 3, 4)]
     sums = resampling.bin_sums(draws)
     assert sums.agg(F.sum("n_samples")).first()[0] == 1200
     q = resampling.bootstrap_quotient(sums)
@@ -335,9 +335,80 @@ def test_each_run_draws_as_many_rows_as_the_panel_has(spark, panel):
     assert all(r.range == r.upper - r.lower for r in resampling.thermal_range_by_run(q).collect())
 
 
-def test_draws_do_not_depend_on_partitions(spark, panel):
-    a, b = (rows(resampling.bootstrap_draws(panel.repartition(n), 2), "run", "i", "idx", "bin_idx", "abd") for n in (1, 9))
+@pytest.mark.parametrize("block_values", [1024, 2])
+def test_draws_do_not_depend_on_partitions(spark, panel, block_values):
+    a, b = (rows(resampling.bootstrap_draws(panel.repartition(n), 2, block_values=block_values)) for n in (1, 9))
     assert a == b
+    whole = {(r.bin_idx, r.abd) for r in panel.select((F.col("sst") * 2).cast("long").alias("bin_idx"), "abd").distinct().collect()}
+    assert {(x[3], x[4]) for x in a} <= whole
+
+
+@pytest.mark.parametrize("block_values", [1024, 2])
+def test_draws_have_the_moments_of_drawing_rows(spark, panel, block_values):
+    """Counts of one row kind among n draws of n rows are binomial: mean w and variance w (1 - w / n)."""
+    runs = 600
+    draws = resampling.bootstrap_draws(panel, runs, block_values=block_values).groupBy("bin_idx", "abd").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("nn")).collect()
+    kinds = {(r.bin_idx, r.abd): r.w for r in panel.groupBy((F.col("sst") * 2).cast("long").alias("bin_idx"), "abd").agg(F.count("*").alias("w")).collect()}
+    assert sum(r.n for r in draws) == 300 * runs
+    for r in draws:
+        w = kinds[r.bin_idx, r.abd]
+        spread = w * (1 - w / 300)
+        mean = r.n / runs
+        assert abs(mean - w) < 4.5 * (spread / runs) ** 0.5
+        assert r.nn / runs - mean * mean == pytest.approx(spread, rel=0.35)
+
+
+@pytest.mark.parametrize(("n", "part", "whole"), [(0, 1, 2), (5, 3, 3), (9, 1, 3), (40, 39, 100), (1000, 5, 1000), (60_000, 300, 1000), (90_000, 999, 1000)])
+def test_binomial(spark, n, part, whole):
+    size = 6000
+    of = [F.lit(x).cast("long") for x in (n, part, whole)]
+    drawn = binomial.binomial(*of, lambda j: F.md5(F.concat_ws("|", F.col("id"), j.cast("string")).cast("binary")))
+    got = [r[0] for r in spark.range(size).select(drawn).collect()]
+    p = part / whole
+    spread = n * p * (1 - p)
+    mean = sum(got) / size
+    assert all(0 <= k <= n for k in got) and abs(mean - n * p) <= 4.5 * (spread / size) ** 0.5
+    assert sum((k - mean) ** 2 for k in got) / size == pytest.approx(spread, rel=0.12)
+
+
+def permuted_by_hand(i: int, n: int, base: int, run: int) -> int:
+    (p, q), (f, g) = permute.PRIMES, permute.FACTORS
+
+    def scrambled(x):
+        y = (x + 1) * f % p
+        return (y * y % q + y) * g % p
+
+    a = math.ceil(math.sqrt(n))
+    b = -(-n // a)
+    keys = [scrambled(scrambled(base + run * 64 + k) + run) for k in range(permute.ROUNDS)]
+    while True:
+        high, low = divmod(i, b)
+        for k, key in enumerate(keys):
+            if k % 2:
+                low = (low + scrambled(key + high)) % b
+            else:
+                high = (high + scrambled(key + low)) % a
+        i = high * b + low
+        if i < n:
+            return i
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50, 1001])
+def test_permutations_are_bijections(spark, n):
+    numbers = spark.range(n).select("id", F.lit(n).cast("long").alias("n"), permute.run_keys(F.lit(77).cast("long"), 20).alias("keys"))
+    got = permute.with_permuted(numbers, "id", "n", "keys", "to").select("run", "id", "to").collect()
+    by_run: dict = {}
+    for r in got:
+        by_run.setdefault(r.run, {})[r.id] = r.to
+        assert r.to == permuted_by_hand(r.id, n, 77, r.run)
+    assert len(by_run) == 20 and all(sorted(x.values()) == list(range(n)) for x in by_run.values())
+    if n == 1001:  # each place is as likely: tenths of ids against tenths of places
+        cells = [[0] * 10 for _ in range(10)]
+        for r in got:
+            cells[r.id * 10 // n][r.to * 10 // n] += 1
+        expected = len(got) / 100
+        assert sum((c - expected) ** 2 / expected for row in cells for c in row) < 160
 
 
 def test_poisson_weights_have_unit_mean(spark, panel):
@@ -350,7 +421,7 @@ def test_permutation_keeps_totals_and_matches_brute_force(spark):
     caught = spark.range(60).filter("id % 3 = 0").select(
         F.lit("F").alias("data"), F.col("id").cast("string").alias("cruise_station"), F.lit("X").alias("spp"), (F.col("id") + 1.0).alias("abd"))
     by_station = resampling.abundance_by_station(st, caught, ["X", "Y"])
-    got = resampling.permutation_replicates(by_station, ["X", "Y"], 3, seed=5, digits=1).collect()
+    got = resampling.permutation_replicates(by_station, ["X", "Y"], 3, seed=5).collect()
 
     temps = {r.cruise_station: r.sst for r in st.collect()}
     amount = {r.cruise_station: r.abd for r in caught.collect()}
@@ -362,9 +433,11 @@ def test_permutation_keeps_totals_and_matches_brute_force(spark):
 
     seats = sorted((edge(t) for t in temps.values()), key=lambda e: (e is not None, e or 0))
     for run in (1, 2, 3):
-        order = sorted(temps, key=lambda s: hashlib.md5(f"5|F|{run}|{s}".encode()).hexdigest())
+        base = int(hashlib.md5(b"5|F").hexdigest()[:15], 16) % permute.PRIMES[0]
+        numbered = sorted(temps, key=lambda s: hashlib.md5(s.encode()).hexdigest())
         fish = dict.fromkeys(bins, 0.0)
-        for seat, s in zip(seats, order):
+        for number, s in enumerate(numbered):
+            seat = seats[permuted_by_hand(number, 60, base, run)]
             if seat is not None:
                 fish[seat] += amount.get(s, 0.0)
         for b in bins:
@@ -406,7 +479,7 @@ def test_missing_groups_keep_their_rows(spark):
     assert windows.seeded_shuffle(df, ["data"], ["k"], "x", 1, "y").count() == 3
     assert windows.argmin_all_ties(df, ["data"], F.col("x")).count() == 3
     panel = spark.createDataFrame([(None, "s", f"c{i}", 10.0, float(i)) for i in range(5)], "data string, spp string, cruise_station string, sst double, abd double")
-    assert resampling.bootstrap_draws(panel, runs=3).count() == 15
+    assert resampling.bootstrap_draws(panel, runs=3).agg(F.sum("n")).first()[0] == 15
 
 
 def test_repeated_keys_get_weights_of_their_own(spark):
