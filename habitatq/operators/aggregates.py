@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,56 +67,72 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return rows.groupBy(*keys, "_v").agg(F.count("*").alias("_m"))
 
 
+def _in_slice(cuts: str, value: str, slices: int) -> Callable[[DataFrame], DataFrame]:
+    """Adds ``_s``, how many of ``slices - 1`` cut points lie below the value: one codegen projection per halving."""
+
+    def add(df: DataFrame) -> DataFrame:
+        df, step = df.withColumn("_s", F.lit(0)), slices // 2
+        while step:
+            passed = F.get(cuts, F.col("_s") + (step - 1)) < F.col(value)
+            df = df.withColumn("_s", F.col("_s") + F.when(passed, step).otherwise(0))
+            step //= 2
+        return df
+
+    return add
+
+
+def rank_ranges(counted: DataFrame, keys: Sequence[str], ranks: DataFrame, most: int = 4096, slices: int = 256) -> DataFrame:
+    """For each wanted rank (``keys, _rank``, from 0) a range of values that holds it.
+
+    Returns ``keys, _rank, _low, _high, _before``: the first and last value of the range and the rows before it. No
+    range has more than ``most`` distinct values. A round sketches the values of each range that is still larger
+    (mergeable KLL sketches, a few KB a range), cuts it at the sketch's quantiles, counts the slices exactly and
+    keeps the one with the rank, so a range shrinks by a factor near ``slices`` whatever the group's size and the
+    result does not depend on how good the cuts are. Ranges are stored, at most one row per rank.
+    """
+    whole = counted.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.count("*").alias("_values"))
+    found = stored(null_safe_join(ranks, whole.withColumn("_before", F.lit(0).cast("bigint")), keys), "ranges")
+    span, marks = [*keys, "_low", "_high"], F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    while found.filter(F.col("_values") > most).limit(1).count():
+        large = found.filter(F.col("_values") > most)
+        ranges = large.select(*span, "_before").distinct()
+        inside = null_safe_join(counted, ranges, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+        sketched = inside.groupBy(*span, "_before").agg(F.kll_sketch_agg_double("_v", F.lit(400)).alias("_sketch"))
+        cuts = stored(sketched.select(*span, "_before", F.kll_sketch_get_quantile_double("_sketch", marks).alias("_cuts")), "cuts")
+        placed = null_safe_join(counted, cuts, keys).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+        counts = placed.transform(_in_slice("_cuts", "_v", slices)).groupBy(*span, "_before", "_s").agg(
+            F.min("_v").alias("_from"), F.max("_v").alias("_to"), F.sum("_m").alias("_in"), F.count("*").alias("_values"))
+        so_far = Window.partitionBy(*span).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_in").over(so_far), F.lit(0)))
+        narrower = null_safe_join(large.drop("_values", "_before"), counts.drop("_before", "_s"), span)
+        narrower = narrower.filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_in"))).select(
+            *keys, "_rank", F.col("_from").alias("_low"), F.col("_to").alias("_high"), "_values", F.col("_first").alias("_before"))
+        found = stored(found.filter(F.col("_values") <= most).unionByName(narrower), "ranges")
+    return found.drop("_values")
+
+
 def exact_quantiles(
-    counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float], slices: int = 256
+    counted: DataFrame, keys: Sequence[str], probs: Mapping[str, float], most: int = 4096, slices: int = 256
 ) -> DataFrame:
     """Exact interpolated quantiles of groups of any size, from their ``value_counts``.
 
-    Approximate quantiles cut each group into value slices, and slice counts
-    tell which one or two slices hold the ranks looked for. Only values of
-    those slices are then ranked, so no task ever sees a whole hot group, and
-    the answer does not depend on how good the cut points were. Cut points and
-    wanted slices are stored, at most a few rows per group, so their joins are
-    broadcast by known size and ``counted`` itself is not shuffled. ``slices``
-    is a power of two. ``counted`` is read three times, so pass a stored table.
+    ``rank_ranges`` finds for each rank that is needed a range of at most ``most`` distinct values, and only
+    these are ranked by a window: no task ever sorts more of a group than that. Ranges are a few rows per
+    group, so joins with them are broadcast by known size and ``counted`` itself is not shuffled. ``slices``
+    is a power of two. ``counted`` is read in every round, so pass a stored table.
     """
-    marks = [i / slices for i in range(1, slices)]
-    cuts = stored(counted.groupBy(*keys).agg(F.percentile_approx("_v", marks, slices * 10).alias("_cuts")), "cuts")
-    sliced = null_safe_join(counted, cuts, keys).withColumn("_s", F.lit(0))
-    step = slices // 2
-    while step:  # binary search for the slice, one codegen projection per halving
-        passed = F.get("_cuts", F.col("_s") + (step - 1)) < F.col("_v")
-        sliced = sliced.withColumn("_s", F.col("_s") + F.when(passed, step).otherwise(0))
-        step //= 2
-    sliced = sliced.drop("_cuts")
-    per_key = Window.partitionBy(*keys)
-    offsets = (
-        sliced.groupBy(*keys, "_s").agg(F.sum("_m").alias("_in"))
-        .withColumn("_n", F.sum("_in").over(per_key))
-        .withColumn(
-            "_before",
-            F.coalesce(F.sum("_in").over(per_key.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-        )
-    )
     wanted = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("p")) for n, p in probs.items()])
-    targets = (
-        offsets.withColumn("_q", F.explode(wanted))
-        .withColumn("_pos", (F.col("_n") - 1) * F.col("_q.p"))
-        .filter((F.ceil("_pos") >= F.col("_before")) & (F.floor("_pos") < F.col("_before") + F.col("_in")))
-        .groupBy(*keys, "_s", "_before").agg(F.collect_list(F.struct("_q.name", "_pos")).alias("_t"))
-    )
-    in_slice = Window.partitionBy(*keys, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        null_safe_join(sliced, stored(targets, "slices"), [*keys, "_s"])
-        .withColumn("_first", F.col("_before") + F.coalesce(F.sum("_m").over(in_slice), F.lit(0)))
-        .withColumn("_last", F.col("_first") + F.col("_m") - 1)
-        .withColumn("_t", F.explode("_t"))
-    )
-    pos = F.col("_t._pos")
-    low = F.max(F.when(F.floor(pos).between(F.col("_first"), F.col("_last")), F.col("_v")))
-    high = F.max(F.when(F.ceil(pos).between(F.col("_first"), F.col("_last")), F.col("_v")))
-    frac = F.max(pos - F.floor(pos))
-    picked = ranked.groupBy(*keys, F.col("_t.name").alias("_name")).agg((low + (high - low) * frac).alias("_out"))
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == n, F.col("_out"))).alias(n) for n in probs]
-    )
+    sizes = counted.groupBy(*keys).agg(F.sum("_m").alias("_n")).withColumn("_q", F.explode(wanted))
+    targets = stored(sizes.select(*keys, F.col("_q.name").alias("_name"), ((F.col("_n") - 1) * F.col("_q.p")).alias("_pos")), "targets")
+    both = targets.select(*keys, F.explode(F.array(F.floor("_pos"), F.ceil("_pos"))).alias("_rank")).distinct()
+    ranges = stored(rank_ranges(counted, keys, both, most, slices), "rank-ranges")
+    span = [*keys, "_low", "_high"]
+    few = null_safe_join(counted, ranges.select(*span, "_before").distinct(), keys).filter(F.col("_v").between(F.col("_low"), F.col("_high")))
+    so_far = Window.partitionBy(*span).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = few.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_m").over(so_far), F.lit(0))).select(*span, "_v", "_m", "_first")
+    hit = null_safe_join(ranked, ranges.select(*span, "_rank"), span).filter(
+        (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_m")))
+    values = hit.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two ranks per quantile
+    low, high = F.element_at("_at", F.floor("_pos")), F.element_at("_at", F.ceil("_pos"))
+    answers = null_safe_join(targets, values, keys).withColumn("_out", low + (high - low) * (F.col("_pos") - F.floor("_pos")))
+    return answers.groupBy(*keys).agg(*[F.max(F.when(F.col("_name") == n, F.col("_out"))).alias(n) for n in probs])

@@ -123,15 +123,15 @@ def test_replicate_quantiles_skip_nan(spark):
     assert rows(aggregates.replicate_quantiles(df, ["k"], "q", {"lo": 0.05}))[0][1] == pytest.approx(1.15)
 
 
-@pytest.mark.parametrize("slices", [2, 16, 256])
-def test_exact_quantiles_match_percentile_on_skewed_groups(spark, slices):
+@pytest.mark.parametrize(("most", "slices"), [(4096, 256), (20, 4), (3, 16)])
+def test_exact_quantiles_match_percentile_on_skewed_groups(spark, most, slices):
     base = spark.range(3000).select(
         F.when(F.col("id") % 3 != 0, "hot").when(F.col("id") == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("k"),
         F.when(F.col("id") % 5 == 0, F.lit(1.0)).when(F.col("id") % 11 == 0, F.lit(None))
         .otherwise(F.pow(F.col("id") % 97, 3.0)).alias("v"),
     )
     probs = {"a": 0.0, "b": 0.05, "c": 0.5, "d": 0.951, "e": 1.0}
-    got = aggregates.exact_quantiles(aggregates.value_counts(base, ["k"], "v"), ["k"], probs, slices)
+    got = aggregates.exact_quantiles(aggregates.value_counts(base, ["k"], "v").cache(), ["k"], probs, most, slices)
     want = base.groupBy("k").agg(*[F.percentile("v", p).alias(n) for n, p in probs.items()])
     got, want = rows(got), rows(want)
     assert len(got) == len(want) > 3
@@ -139,6 +139,19 @@ def test_exact_quantiles_match_percentile_on_skewed_groups(spark, slices):
         assert g[0] == w[0] and g[1:] == pytest.approx(w[1:])
 
 
+def test_rank_ranges_are_small_in_a_hot_group(spark):
+    """Every range has few values, and the ranks they hold are those of the sorted group."""
+    counted = spark.range(60_000).select(F.lit("hot").alias("k"), (F.pow(F.col("id"), 1.5)).alias("_v"), (F.col("id") % 3 + 1).alias("_m")).cache()
+    ranks = spark.createDataFrame([("hot", r) for r in (0, 1, 59_999, 60_000, 119_999)], "k string, _rank long")
+    got = aggregates.rank_ranges(counted, ["k"], ranks, most=50, slices=16).collect()
+    values = sorted((r["_v"], r["_m"]) for r in counted.collect())
+    assert sorted(r["_rank"] for r in got) == [0, 1, 59_999, 60_000, 119_999]
+    for r in got:
+        inside = [m for v, m in values if r["_low"] <= v <= r["_high"]]
+        before = sum(m for v, m in values if v < r["_low"])
+        assert len(inside) <= 50 and r["_before"] == before <= r["_rank"] < before + sum(inside)
+
+
 def test_unlisted_seasons_are_reported(spark):
     df = spark.createDataFrame([("s", "5", 2), ("s", "3", 1), ("s", None, 1)], "k string, c string, n int")
     got = reshape.counts_to_wide(df, ["k"], "c", "n", {"5": "spring", "2": "winter"})
