@@ -473,6 +473,8 @@ QUERIES = {
     "mean_by_station": "select cruise_station, avg(sst) as sst from v_casts group by 1",
     "mean_of_distinct": "select cruise_station, avg(distinct sst) as sst from v_casts group by 1",
     "distinct_species_count": "select cruise_id, stage, count(distinct common_name) as count_sp from v_barcodes group by all",
+    "distinct_species_sketched": "select cruise_id, stage, count(distinct common_name) as count_sp from v_barcodes group by all",
+    "distinct_sites_sketched": "select stage, count(distinct station_id) as n_sites, true as within_error from v_barcodes group by all",
     "distinct_rows": "select distinct * from v_barcodes",
     "quantile_by_group": "select l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 5e-2), 6) as p05, "
                          "round(quantile_cont(l_extendedprice, 5e-1), 6) as p50, "

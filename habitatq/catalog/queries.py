@@ -174,7 +174,7 @@ def floor_nonzero(v):
 @query
 def left_join_station(v):
     temps = v.counts().dropna(subset=["ihf"]).select("cruise_station", "sst", "ihf")
-    return joins.salted_left_join(tables.stored(v.eggs(), "eggs"), temps, ["cruise_station"])
+    return joins.salted_left_join(v.eggs(), temps, ["cruise_station"])
 
 
 @query
@@ -277,6 +277,27 @@ def distinct_species_count(v):
     return v.barcodes().groupBy("cruise_id", "stage").agg(F.count_distinct("common_name").alias("count_sp"))
 
 
+def _site_sketches(v: Views, value: str) -> DataFrame:
+    """One sketch per cruise, stage and site, stored once and merged upwards."""
+    return tables.stored(aggregates.distinct_sketches(v.barcodes(), ["cruise_id", "stage", "station_id"], value), "sketches")
+
+
+@query
+def distinct_species_sketched(v):
+    """Richness by cruise and stage from stored site sketches; exact while a sketch holds few values."""
+    return aggregates.merged_richness(_site_sketches(v, "common_name"), ["cruise_id", "stage"], "count_sp")
+
+
+@query
+def distinct_sites_sketched(v):
+    """Sites per stage from sketches beside the exact count, and whether they agree within three standard errors."""
+    per_cruise = aggregates.distinct_sketches(v.barcodes(), ["cruise_id", "stage"], "station_id")
+    estimate = aggregates.merged_richness(tables.stored(per_cruise, "sketches"), ["stage"], "estimate")
+    exact = v.barcodes().groupBy("stage").agg(F.count_distinct("station_id").alias("n_sites"))
+    near = F.abs(F.col("estimate") - F.col("n_sites")) <= 3 * aggregates.sketch_error() * F.col("n_sites")
+    return exact.join(estimate, "stage").select("stage", "n_sites", near.alias("within_error"))
+
+
 @query
 def distinct_rows(v):
     return v.barcodes().distinct()

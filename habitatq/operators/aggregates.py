@@ -30,6 +30,26 @@ def mean_of_distinct(df: DataFrame, keys: Sequence[str], value: str, out: str) -
     return df.select(*keys, value).distinct().groupBy(*keys).agg(F.avg(value).alias(out))
 
 
+def distinct_sketches(df: DataFrame, keys: Sequence[str], value: str, out: str = "sketch", lg_k: int = 12) -> DataFrame:
+    """A mergeable sketch of the distinct values of each key: at most ``2 ** lg_k`` bytes, missing values left out.
+
+    Store the result; ``merged_richness`` rolls it up to any coarser keys without the rows. Values enter by
+    their hash, as a sketch of texts would leave out the empty one.
+    """
+    hashed = F.when(F.col(value).isNotNull(), F.xxhash64(value))
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(hashed, lg_k).alias(out))
+
+
+def sketch_error(lg_k: int = 12) -> float:
+    """Relative standard error of an estimate from sketches of ``2 ** lg_k`` registers."""
+    return 1.04 / 2 ** (lg_k / 2)
+
+
+def merged_richness(sketches: DataFrame, keys: Sequence[str], out: str, sketch: str = "sketch") -> DataFrame:
+    """Estimated number of distinct values per key from stored sketches of finer keys."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg(sketch)).alias(out))
+
+
 def share_of_total(df: DataFrame, part: str, other: str, out: str = "share") -> DataFrame:
     """Overall share A / (A + B) as a one-row table."""
     sums = df.agg(F.sum(part).alias("a"), F.sum(other).alias("b"))

@@ -1,6 +1,6 @@
 """Station joins, nearest-bin matches and literal grids.
 
-No join here carries a broadcast hint: Catalyst and adaptive execution
+No join here carries a broadcast hint, but for lists of bounded length: Catalyst and adaptive execution
 broadcast a side when its measured size is under the session's threshold and
 fall back to a shuffle join beyond it. Small literal lists are exploded inside
 a row, so no cross join is planned anywhere.
@@ -8,12 +8,12 @@ a row, so no cross join is planned anywhere.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from habitatq.sources.tables import stored
+from pyspark.sql import types as T
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -23,28 +23,48 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = 0.01, min_rows: int = 100_000) -> DataFrame:
+    """Keys with more than ``share`` of the rows and more than ``min_rows``, with their exact count ``_n``.
+
+    One pass merges frequent-items summaries of the key hashes over all partitions: a summary keeps some
+    14 / share counters whatever the number of keys, its counts are off by less than a quarter of the share,
+    and so no key above the share is missed. Only the candidates, fewer than 4 / share, are then counted
+    exactly. A missing key is a key like any other. ``df`` is read twice, its key columns alone, and nothing
+    is stored; the result is a local table of fewer than 1 / share rows.
+    """
+    keys, most = list(keys), 4 * math.ceil(1 / share)
+    counters = 1 << math.ceil(math.log2(14 / share))
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("_h"))
+    summary = hashed.agg(F.call_function("approx_top_k", F.col("_h"), F.lit(most), F.lit(counters)).alias("top"), F.count("*").alias("n")).first()
+    least = max(summary["n"] * share, min_rows)
+    candidates = [x["item"] for x in summary["top"] if x["count"] > 0.75 * least]
+    schema = T.StructType([*(df.schema[k] for k in keys), T.StructField("_n", T.LongType())])
+    if not candidates:
+        return df.sparkSession.createDataFrame([], schema)
+    counted = hashed.filter(F.col("_h").isin(candidates)).groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > least)
+    return df.sparkSession.createDataFrame(counted.collect(), schema)
+
+
 def salted_left_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], hot_share: float = 0.01, salts: int = 64, min_rows: int = 100_000
 ) -> DataFrame:
     """Left equi-join for a left side in which few keys hold many rows.
 
-    Keys with more than ``hot_share`` of the left rows, and more than ``min_rows``,
-    are counted first; there are fewer than ``1 / hot_share`` of them, so broadcasting that key list is
+    Keys with more than ``hot_share`` of the left rows, and more than ``min_rows``, come from
+    ``hot_keys``; there are fewer than ``1 / hot_share`` of them, so broadcasting that key list is
     safe for any input. Exact copies among the left rows of a hot key are
     counted first and expanded after the join; the distinct ones are spread over
     ``salts`` tasks by a hash of all their columns, which is the same after a
     retry and however the rows lie. Right rows of hot keys are repeated once per
     salt. Rows fan out over duplicate right keys as in a plain left join.
-    ``left`` is read twice and must have no map columns.
+    ``left`` is read for its keys and again for its rows, and must have no map columns.
     """
     keys = list(keys)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all")).scalar()
-    hot = stored(counts.filter(F.col("_n") > F.greatest(total * F.lit(hot_share), F.lit(min_rows))).select(*keys, F.lit(True).alias("_hot")), "hot")
+    hot = hot_keys(left, keys, hot_share, min_rows).select(*keys, F.lit(True).alias("_hot"))
     if hot.isEmpty():
         return left.join(right, keys, "left")
     hot = F.broadcast(hot)
-    tagged = left.join(hot, keys, "left")
+    tagged = null_safe_join(left, hot, keys, "left")
     crowded = tagged.filter("_hot").groupBy(*left.columns).agg(F.count("*").alias("_copies"))
     spread = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     salted = crowded.withColumn("_salt", spread)

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from habitatq.functions import binning, binomial, fields, keys, permute
 from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, quotient, resampling, surveys
+from habitatq.sources import tables
 
 
 def rows(df, *order):
@@ -501,6 +503,38 @@ def test_repeated_keys_get_weights_of_their_own(spark):
     assert any(c % 2 for c in counts)
 
 
+@pytest.mark.parametrize("parts", [1, 13])
+def test_no_hot_key_is_missed(spark, parts):
+    """Keys of 1.1 to 5 percent among 30,000 others, a missing key among them; a key just below the share stays out."""
+    hot = {"a": 2500, "b": 1100, None: 900, "c": 560, "d": 480}
+    rows_in = [(k, 1) for k, n in hot.items() for _ in range(n)] + [(f"x{i % 30_000}", 1) for i in range(44_460)]
+    random.Random(4).shuffle(rows_in)
+    df = spark.createDataFrame(rows_in, "k string, y int").repartition(parts)
+    got = {(r.k, r.y): r["_n"] for r in joins.hot_keys(df, ["k", "y"], share=0.01, min_rows=0).collect()}
+    assert got == {(k, 1): n for k, n in hot.items() if n > 500}
+    assert joins.hot_keys(df, ["k"], share=0.01, min_rows=1000).count() == 2
+    assert joins.hot_keys(df.limit(0), ["k"]).count() == 0
+
+
+def test_hot_left_side_is_never_stored(spark, monkeypatch):
+    monkeypatch.setattr(tables, "write_table", lambda *a, **k: pytest.fail("written"))
+    left = spark.range(4000).selectExpr("IF(id % 10 = 0, id, IF(id % 10 < 3, NULL, -1)) AS k", "id AS x")
+    right = spark.createDataFrame([(-1, "a"), (10, "c"), (None, "never")], "k long, y string")
+    got = joins.salted_left_join(left, right, ["k"], hot_share=0.05, salts=4, min_rows=0)
+    assert rows(got) == rows(left.join(right, "k", "left"))
+
+
+def test_richness_of_merged_sketches(spark):
+    df = spark.range(60_000).selectExpr("id % 3 AS cruise", "id % 40 AS site", "id % 7001 AS sp", "IF(id % 2 = 0, 'E', NULL) AS stage")
+    sketches = aggregates.distinct_sketches(df, ["cruise", "site", "stage"], "sp")
+    for keys_up in (["cruise"], ["stage"], ["cruise", "site"]):
+        got = aggregates.merged_richness(sketches, keys_up, "n")
+        exact = {r[:-1]: r[-1] for r in rows(df.groupBy(*keys_up).agg(F.count_distinct("sp")))}
+        assert len(exact) == got.count()
+        for r in rows(got):
+            assert abs(r[-1] - exact[r[:-1]]) <= 3 * aggregates.sketch_error() * exact[r[:-1]]
+
+
 def test_hot_key_keeps_its_salts_after_a_shuffle(spark):
     left = spark.range(4000).selectExpr("IF(id % 10 = 0, id, -1) AS k", "id % 500 AS x").repartition(8, "k")
     right = spark.createDataFrame([(-1, "a"), (-1, "b"), (10, "c")], "k long, y string")
