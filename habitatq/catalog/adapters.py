@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from habitatq.sources.tables import stored
+
 SPECIES = ["ECONOMY", "PROMO", "STANDARD", "SMALL", "MEDIUM"]
 SURVEYS = ["F", "O", "P"]
 LARVAL = ["F"]
@@ -34,6 +36,7 @@ class Views:
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._tables: dict[str, DataFrame] = {}
+        self._counted: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
@@ -58,14 +61,43 @@ class Views:
         part = self.table("part").select("p_partkey", "p_type")
         return self.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
 
-    def occurrence(self) -> DataFrame:
+    def item_counts(self) -> DataFrame:
+        """Line items counted per order, part, flag and quantity, and their species, stored.
+
+        Catches, egg tallies and barcode tallies all derive from it, so line items and
+        parts are read and joined once; species come after the counts.
+        """
+        if self._counted is None:
+            items = self.table("lineitem").groupBy("l_orderkey", "l_partkey", "l_returnflag", "l_quantity").agg(F.count("*").alias("n"))
+            part = self.table("part").select("p_partkey", "p_type")
+            named = items.join(part, F.col("l_partkey") == F.col("p_partkey")).drop("p_partkey")
+            self._counted = stored(named, "items")
+        return self._counted
+
+    def fish_counted(self) -> DataFrame:
+        """``fish`` from the stored counts."""
+        sums = self.item_counts().groupBy("l_orderkey", F.col("p_type").alias("spp"))
+        return sums.agg(F.sum(F.col("n") * F.col("l_quantity")).alias("abd"))
+
+    def eggs_counted(self) -> DataFrame:
+        """``eggs`` with equal ones of a station counted in ``n``."""
+        counts = self.item_counts().groupBy("l_orderkey", _egg_name().alias("common_name"), (F.col("l_quantity") / 50.0).alias("diameter"))
+        return self._at_station(counts.agg(F.sum("n").alias("n"))).select("cruise_station", "common_name", "diameter", "n")
+
+    def barcodes_counted(self) -> DataFrame:
+        """``barcodes`` with equal ones counted in ``n``."""
+        counts = self.item_counts().groupBy("l_orderkey", _stage().alias("stage"), _barcode_name().alias("common_name"))
+        both = counts.agg(F.sum("n").alias("n")).join(self._visits_of_orders(), F.col("l_orderkey") == F.col("o_orderkey"))
+        return both.select("cruise_id", "station_id", "stage", "common_name", "n")
+
+    def occurrence(self, fish: DataFrame | None = None) -> DataFrame:
         st = self.stations()
-        both = self.fish().join(st, F.col("l_orderkey") == F.col("o_orderkey"))
+        both = (fish or self.fish()).join(st, F.col("l_orderkey") == F.col("o_orderkey"))
         return both.select("spp", "cruise_station", "sst", "data", "abd")
 
-    def wide(self) -> DataFrame:
+    def wide(self, occurrence: DataFrame | None = None) -> DataFrame:
         taxa = [F.sum(F.when(F.col("spp") == t.split("_")[0].upper(), F.col("abd"))).alias(t) for t in TAXA]
-        per_station = self.occurrence().groupBy("cruise_station", "data", "sst").agg(*taxa)
+        per_station = (occurrence or self.occurrence()).groupBy("cruise_station", "data", "sst").agg(*taxa)
         return per_station.select("cruise_station", "data", F.coalesce("sst", F.lit(9999.0)).alias("sst"), *TAXA)
 
     def coded(self) -> DataFrame:
@@ -84,7 +116,7 @@ class Views:
     def eggs(self) -> DataFrame:
         items = self._named_items().select(
             "l_orderkey",
-            F.when(F.col("l_partkey") % 101 != 0, F.col("p_type")).alias("common_name"),
+            _egg_name().alias("common_name"),
             (F.col("l_quantity") / 50.0).alias("diameter"),
         )
         return self._at_station(items).select("cruise_station", "common_name", "diameter")
@@ -151,15 +183,16 @@ class Views:
     def barcodes(self) -> DataFrame:
         items = self._named_items().select(
             "l_orderkey",
-            F.when(F.col("l_returnflag") == "A", "Egg").when(F.col("l_returnflag") == "N", "Larva").otherwise("Juvenile")
-            .alias("stage"),
-            F.when(F.col("l_partkey") % 17 == 0, "").otherwise(F.col("p_type")).alias("common_name"),
+            _stage().alias("stage"),
+            _barcode_name().alias("common_name"),
         )
-        visits = self.table("orders").select(
+        both = items.join(self._visits_of_orders(), F.col("l_orderkey") == F.col("o_orderkey"))
+        return both.select("cruise_id", "station_id", "stage", "common_name")
+
+    def _visits_of_orders(self) -> DataFrame:
+        return self.table("orders").select(
             "o_orderkey", cruise_of_order().alias("cruise_id"), F.col("o_custkey").cast("string").alias("station_id")
         )
-        both = items.join(visits, F.col("l_orderkey") == F.col("o_orderkey"))
-        return both.select("cruise_id", "station_id", "stage", "common_name")
 
     def tows(self) -> DataFrame:
         """Tow depth per cruise and site; the shallowest sites have depth 0."""
@@ -190,6 +223,18 @@ class Views:
         )
 
 
+def _egg_name() -> Column:
+    return F.when(F.col("l_partkey") % 101 != 0, F.col("p_type"))
+
+
+def _stage() -> Column:
+    return F.when(F.col("l_returnflag") == "A", "Egg").when(F.col("l_returnflag") == "N", "Larva").otherwise("Juvenile")
+
+
+def _barcode_name() -> Column:
+    return F.when(F.col("l_partkey") % 17 == 0, "").otherwise(F.col("p_type"))
+
+
 def station_of_order() -> Column:
     return F.concat_ws("_", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string"))
 

@@ -592,12 +592,13 @@ def egg_stage_occurrence(v):
 
 
 def _surveys(v: Views) -> dict[str, DataFrame]:
-    counted = expansion.combined_expansion(_tally(v), _counts(v), v.sizes())
-    barcoded = expansion.egg_stage_occurrence(v.barcodes(), v.site_temperatures(), SPECIES, ["2103"])
+    tally = tables.stored(expansion.egg_tally(v.eggs_counted()), "tally")
+    counted = expansion.combined_expansion(tally, _counts(v), v.sizes())
+    barcoded = expansion.egg_stage_occurrence(v.barcodes_counted(), v.site_temperatures(), SPECIES, ["2103"])
     return {
         "egg_counts": counted.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("est").alias("abd")),
         "egg_barcodes": barcoded.select(F.col("common_name").alias("spp"), "cruise_station", "sst", F.col("n").alias("abd")),
-        "larvae": expansion.wide_to_occurrence(v.wide(), TAXA),
+        "larvae": expansion.wide_to_occurrence(v.wide(v.occurrence(v.fish_counted())), TAXA),
     }
 
 

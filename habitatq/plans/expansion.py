@@ -62,9 +62,10 @@ def station_temperature(casts: DataFrame, *stations: DataFrame, temp: str = "sst
 
 
 def egg_tally(eggs: DataFrame, per_unit: int = 20) -> DataFrame:
-    """Eggs counted per station, name and size bin."""
-    binned = eggs.select(STATION, "common_name", ceil_bin_index(F.col("diameter"), per_unit).alias("bin_idx"))
-    return binned.groupBy(STATION, "common_name", "bin_idx").agg(F.count("*").alias("n"))
+    """Eggs counted per station, name and size bin; a column ``n`` says how many eggs a row stands for."""
+    each = F.col("n") if "n" in eggs.columns else F.lit(1)
+    binned = eggs.select(STATION, "common_name", ceil_bin_index(F.col("diameter"), per_unit).alias("bin_idx"), each.alias("n"))
+    return binned.groupBy(STATION, "common_name", "bin_idx").agg(F.sum("n").alias("n"))
 
 
 def subsample_detection(tally: DataFrame, counts: DataFrame) -> DataFrame:
@@ -193,11 +194,12 @@ def egg_stage_occurrence(
     """Named eggs of the listed species counted per station, with temperature.
 
     ``barcodes`` holds ``cruise_id, station_id, stage, common_name`` with an
-    empty name for unidentified fish.
+    empty name for unidentified fish, and ``n`` if a row stands for several.
     """
     kept = barcodes.filter(
         ~F.col("cruise_id").isin(*drop_cruises) & (F.col("stage") == stage) & F.col("common_name").isin(*species)
     )
     key = F.concat_ws("_", "cruise_id", "station_id").alias(STATION)
-    tally = kept.groupBy("cruise_id", "station_id", "common_name").agg(F.count("*").alias("n"))
+    counted = F.sum("n") if "n" in barcodes.columns else F.count("*")
+    tally = kept.groupBy("cruise_id", "station_id", "common_name").agg(counted.alias("n"))
     return tally.select(key, "common_name", "n").join(temperatures, STATION, "left")
