@@ -1,25 +1,24 @@
 """Grouped quasi-binomial logistic fits of cumulative curves, and their bands.
 
 Spark reduces the curve to a few sums per group and distinct bin, which is
-all a fit needs. The grouped-map step therefore sees at most one row per
-temperature bin, however many curve rows a group has.
+all a fit needs. The fit itself is a fold over the array of a group's bins,
+at most one entry per temperature bin however many curve rows a group has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from habitatq.functions.binning import bin_index, bin_value, grid_indices
+from habitatq.functions.binomial import let
 from habitatq.functions.fields import normal_band
 
 MAX_STEPS = 25
 TOLERANCE = 1e-8
+SOLUTION = "struct<b0: double, b1: double, v00: double, v01: double, v11: double>"
 
 
 def with_stage(curve: DataFrame, larval: Sequence[str]) -> DataFrame:
@@ -45,42 +44,66 @@ def fit_sums(curve: DataFrame, keys: Sequence[str], digits: int | None = 4) -> D
     )
 
 
-def _solve(x: np.ndarray, w: np.ndarray, wz: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    a, b, c = w.sum(), (w * x).sum(), (w * x * x).sum()
-    det = a * c - b * b
-    if not np.isfinite(det) or det <= 1e-12 * max(a * c, 1e-300):
-        return None
-    cov = np.array([[c, -b], [-b, a]]) / det
-    return cov @ np.array([wz.sum(), (wz * x).sum()]), cov
-
-
-def _fit(g: pd.DataFrame) -> tuple:
-    """Iteratively reweighted least squares from the sums of one group."""
-    x, n, sy = g["x"].to_numpy(float), g["n"].to_numpy(float), g["sy"].to_numpy(float)
-    syy, sat = g["syy"].to_numpy(float), g["sat"].sum()
-    rows = int(n.sum())
-    nothing = (None,) * 7
-    step = _solve(x, g["w0"].to_numpy(float), g["wz0"].to_numpy(float))
-    deviance, converged, steps = np.inf, False, 1
-    while step is not None:
-        beta = step[0]
-        eta = np.clip(beta[0] + beta[1] * x, -700, 700)
-        mu = np.clip(1 / (1 + np.exp(-eta)), 1e-15, 1 - 1e-15)
-        now = 2 * (sat - (sy * np.log(mu) + (n - sy) * np.log1p(-mu)).sum())
+def _solved(s: Column) -> Column:
+    """Coefficients and covariance of weighted least squares from the sums ``a, b, c, d, e``; null if they are degenerate."""
+    det = s["a"] * s["c"] - s["b"] * s["b"]
+    sound = (det > 1e-12 * F.greatest(s["a"] * s["c"], F.lit(1e-300))) & (F.abs(det) < 1e300)
+
+    def over(d: Column) -> Column:
+        return F.struct(
+            ((s["c"] * s["d"] - s["b"] * s["e"]) / d).alias("b0"), ((s["a"] * s["e"] - s["b"] * s["d"]) / d).alias("b1"),
+            (s["c"] / d).alias("v00"), (-s["b"] / d).alias("v01"), (s["a"] / d).alias("v11"))
+
+    return F.when(sound, let(det, over))
+
+
+def _sums(rows: Column, terms: Callable[[Column], dict[str, Column]]) -> Column:
+    """Sums of several terms over an array of rows."""
+    names = list(terms(F.element_at(rows, 1)))
+    return F.aggregate(rows, F.struct(*[F.lit(0.0).alias(n) for n in names]),
+                       lambda s, r: let(F.struct(*[t.alias(n) for n, t in terms(r).items()]), lambda t: F.struct(*[(s[n] + t[n]).alias(n) for n in names])))
+
+
+def _at_start(r: Column) -> dict[str, Column]:
+    w, x, wz = r["w0"], r["x"], r["wz0"]
+    return {"a": w, "b": w * x, "c": w * x * x, "d": wz, "e": wz * x}
+
+
+def _at(solution: Column) -> Callable[[Column], dict[str, Column]]:
+    def terms(r: Column) -> dict[str, Column]:
+        x, n, sy = r["x"], r["n"], r["sy"]
+        eta = F.greatest(F.lit(-700.0), F.least(F.lit(700.0), solution["b0"] + solution["b1"] * x))
+        mu = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), 1 / (1 + F.exp(-eta))))
         v = mu * (1 - mu)
-        if not np.isfinite(now):
-            return (*nothing, rows, steps, False)
-        converged = abs(now - deviance) / (abs(now) + 0.1) < TOLERANCE
-        deviance = now
-        step = _solve(x, n * v, n * v * eta + (sy - n * mu))
-        if converged or steps >= MAX_STEPS:
-            break
-        steps += 1
-    if step is None or rows < 3:
-        return (*nothing, rows, steps, False)
-    pearson = ((syy - 2 * mu * sy + n * mu * mu) / v).sum()
-    cov = step[1]
-    return (beta[0], beta[1], cov[0, 0], cov[0, 1], cov[1, 1], pearson / (rows - 2), deviance, rows, steps, converged)
+        z = n * v * eta + (sy - n * mu)
+        return {
+            "a": n * v, "b": n * v * x, "c": n * v * x * x, "d": z, "e": z * x,
+            "likely": sy * F.ln(mu) + (n - sy) * F.log1p(-mu), "pearson": (r["syy"] - 2 * mu * sy + n * mu * mu) / v,
+        }
+
+    return terms
+
+
+def _newton(rows: Column, saturated: Column) -> Column:
+    """Iteratively reweighted least squares as a fold: ``used`` has the last coefficients, ``next`` the step after them."""
+    none = F.lit(None)
+    start = F.struct(
+        none.cast(SOLUTION).alias("used"), _solved(_sums(rows, _at_start)).alias("next"), none.cast("double").alias("deviance"),
+        none.cast("double").alias("pearson"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("converged"), F.lit(False).alias("lost"))
+
+    def step(s: Column, _: Column) -> Column:
+        def after(at: Column) -> Column:
+            now = 2 * (saturated - at["likely"])
+            near = F.coalesce(F.abs(now - s["deviance"]) / (F.abs(now) + 0.1) < TOLERANCE, F.lit(False))
+            more = F.when(near | (s["steps"] >= MAX_STEPS), s["steps"]).otherwise(s["steps"] + 1)
+            return F.struct(
+                s["next"].alias("used"), _solved(at).alias("next"), now.alias("deviance"), at["pearson"].alias("pearson"),
+                more.alias("steps"), near.alias("converged"), (~F.coalesce(F.abs(now) < 1e300, F.lit(False))).alias("lost"))
+
+        over = s["converged"] | s["lost"] | s["next"].isNull()
+        return F.when(over, s).otherwise(let(_sums(rows, _at(s["next"])), after))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_STEPS)), start, step)
 
 
 COEFFICIENTS = ["b0", "b1", "v00", "v01", "v11", "dispersion", "deviance"]
@@ -95,19 +118,19 @@ def logistic_cdf_fit(curve: DataFrame, keys: Sequence[str] = ("spp", "stage"), d
     """
     keys = list(keys)
     sums = fit_sums(curve, keys, digits)
-    key_fields = [f for f in sums.schema.fields if f.name in keys]
-    schema = T.StructType(
-        key_fields
-        + [T.StructField(c, T.DoubleType()) for c in [*COEFFICIENTS, "low", "high"]]
-        + [T.StructField("n", T.LongType()), T.StructField("steps", T.LongType()), T.StructField("converged", T.BooleanType())]
-    )
-
-    def fit_group(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        *values, rows, steps, converged = _fit(g)
-        row = [*key, *values, g["x"].min(), g["x"].max(), rows, steps, bool(converged)]
-        return pd.DataFrame([row], columns=schema.names)
-
-    return sums.groupBy(*keys).applyInPandas(fit_group, schema)
+    bins = F.array_sort(F.collect_list(F.struct("x", "n", "sy", "syy", "w0", "wz0")))
+    groups = sums.groupBy(*keys).agg(
+        bins.alias("_bins"), F.sum("sat").alias("_sat"), F.min("x").alias("low"), F.max("x").alias("high"), F.sum("n").cast("long").alias("n"))
+    fitted = groups.withColumn("_fit", _newton(F.col("_bins"), F.col("_sat")))
+    fit = F.col("_fit")
+    sound = ~fit["lost"] & fit["next"].isNotNull() & fit["used"].isNotNull() & (F.col("n") >= 3)
+    values = {
+        "b0": fit["used"]["b0"], "b1": fit["used"]["b1"], "v00": fit["next"]["v00"], "v01": fit["next"]["v01"], "v11": fit["next"]["v11"],
+        "dispersion": fit["pearson"] / (F.col("n") - 2), "deviance": fit["deviance"],
+    }
+    return fitted.select(
+        *keys, *[F.when(sound, values[c]).alias(c) for c in COEFFICIENTS], "low", "high", "n", fit["steps"].alias("steps"),
+        (sound & fit["converged"]).alias("converged"))
 
 
 def predictor_grid(coefficients: DataFrame, width: float = 0.5, low: float | None = None, high: float | None = None) -> DataFrame:
