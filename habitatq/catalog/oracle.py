@@ -400,6 +400,13 @@ POINT = "data, cruise_station, date, month(date)::int as month, year(date)::int
 
 QUERIES = {
     "scan_survey_csv": "select cruise_station, data, sst from v_station",
+    "scan_cast_report": """
+        select 'haul' as "column", count(*) as rows, count(*) filter (where haul_id is null) as nulls,
+               count(*) filter (where haul_id like '%B') as lost from v_visits
+        union all select 'cruise_id', count(*), 0, 0 from v_visits union all select 'latitude', count(*), 0, 0 from v_visits""",
+    "sink_bucketed_join": "select e.cruise_station, s.sst, count(*) as n from v_eggs e left join v_station s using (cruise_station) group by all",
+    "exact_sum_by_group": """
+        select l_returnflag, printf('%.6f', fsum(l_extendedprice / 3)) as x, printf('%.6f', fsum(l_discount - 5e-2)) as y from lineitem group by all""",
     "scan_sheet_set": "select c_mktsegment as sheet, (c_custkey % 20)/2e1 as bin, c_nationkey::double as unid_frequency, "
                       "c_acctbal as id_frequency from customer",
     "sink_roundtrip": "select data, bin_idx, n, round(prop_samples, 6) as prop_samples from v_effort",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from habitatq.catalog.adapters import LARVAL, NAMES, SPECIES, SURVEYS, TAXA, Views
-from habitatq.functions import binning, fields, keys
+from habitatq.functions import binning, exact, fields, keys
 from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, logistic, quotient, resampling, surveys
 from habitatq.sources import schemas, tables
@@ -72,9 +72,28 @@ def drop_rowname_column(v):
     return tables.drop_rowname_column(named)
 
 
+@query
+def scan_cast_report(v):
+    """What a scan loses: haul numbers with a letter behind them, hauls without a number."""
+    visits = v.visits().select(F.substring("haul_id", 2, 9).alias("haul"), "cruise_id", "latitude")
+    path = tables.write_table(visits, tables.scratch_path(v.spark, "visits"), "csv")
+    schema, report = "haul int, cruise_id int, latitude double", Observation("visits")
+    tables.stored(tables.read_survey_csv(v.spark, path, schema, report=report), "scan")
+    return tables.cast_report(v.spark, report, schema)
+
+
+@query
+def sink_bucketed_join(v):
+    """Egg tallies and temperatures stored by station bucket, then joined where they lie."""
+    buckets = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    tally = tables.write_bucketed(expansion.egg_tally(v.eggs()), "tally", ["cruise_station"], buckets)
+    temps = tables.write_bucketed(v.stations().select("cruise_station", "sst"), "temperatures", ["cruise_station"], buckets)
+    return tally.join(temps.hint("merge"), "cruise_station", "left").groupBy("cruise_station", "sst").agg(F.sum("n").alias("n"))
+
+
 @query
 def scan_depth_grid(v):
-    path = tables.write_table(v.grid(), tables.scratch_path(v.spark, "grid"))
+    path = tables.write_depth_grid(v.grid(), tables.scratch_path(v.spark, "grid"), (-74.5, -71.0, 38.25, 41.5))
     return tables.read_depth_grid(v.spark, path, -74.5, -71.0, 38.25, 41.5)
 
 
@@ -252,6 +271,14 @@ def sum_by_group(v):
     return v.occurrence().groupBy("data", "spp").agg(F.sum("abd").alias("total"))
 
 
+@query
+def exact_sum_by_group(v):
+    """Sums that are equal to the last bit however the rows lie."""
+    items = v.table("lineitem").select("l_returnflag", (F.col("l_extendedprice") / 3.0).alias("x"), (F.col("l_discount") - 0.05).alias("y"))
+    sums = exact.exact_sums(items, ["l_returnflag"], {"x": F.col("x"), "y": F.col("y")})
+    return sums.select("l_returnflag", F.format_string("%.6f", "x").alias("x"), F.format_string("%.6f", "y").alias("y"))
+
+
 @query
 def conditional_sums(v):
     return expansion.taxon_sums(v.coded())

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from habitatq.functions import binning, binomial, fields, keys, permute
+from habitatq.functions import binning, binomial, exact, fields, keys, permute
 from habitatq.operators import aggregates, clean, joins, reshape, windows
 from habitatq.plans import expansion, quotient, resampling, surveys
 from habitatq.sources import tables
@@ -154,6 +154,25 @@ def test_rank_ranges_are_small_in_a_hot_group(spark):
         assert len(inside) <= 50 and r["_before"] == before <= r["_rank"] < before + sum(inside)
 
 
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_exact_sums_are_those_of_whole_numbers(spark, parts):
+    rng = random.Random(5)
+    values = [rng.uniform(-1, 1) * 10.0 ** rng.randrange(-300, 300) for _ in range(300)]
+    rows_in = [("wide", v) for v in values] + [("cents", rng.randrange(10**7) / 100) for _ in range(3000)]
+    rows_in += [("tiny", v) for v in (5e-324, 5e-324, -1e-310)] + [("cancel", v) for v in (1e300, 1.0, -1e300)] + [("zero", 0.0), ("zero", -0.0)]
+    rows_in += [("none", None), ("one", None), ("one", 3.25), ("nan", float("nan")), ("nan", 1.0), ("inf", float("inf")), ("top", 1.7976931348623157e308)]
+    got = {r.k: r.x for r in exact.exact_sums(spark.createDataFrame(rows_in, "k string, x double").repartition(parts), ["k"], {"x": F.col("x")}).collect()}
+    for k in ("wide", "cents", "tiny", "cancel", "zero", "one", "top"):
+        whole = math.fsum(v for key, v in rows_in if key == k and v is not None)
+        assert got[k] == pytest.approx(whole, rel=4e-16, abs=0), k
+    assert math.isnan(got["nan"]) and got["inf"] == math.inf and got.get("none") is None
+    EXACT_SUMS.setdefault("first", {k: v for k, v in got.items() if k != "nan"})
+    assert {k: v for k, v in got.items() if k != "nan"} == EXACT_SUMS["first"]
+
+
+EXACT_SUMS: dict = {}
+
+
 def test_unlisted_seasons_are_reported(spark):
     df = spark.createDataFrame([("s", "5", 2), ("s", "3", 1), ("s", None, 1)], "k string, c string, n int")
     got = reshape.counts_to_wide(df, ["k"], "c", "n", {"5": "spring", "2": "winter"})

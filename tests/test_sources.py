@@ -1,8 +1,12 @@
 """Readers and writers on small files."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from habitatq.operators.clean import normalise_names
 from habitatq.plans import prepare
@@ -93,3 +97,50 @@ def test_preparation_of_raw_columns(spark):
     assert tuple(prepare.larval_survey(larval, ["scoaqu_10m2"]).first()) == ("C_1", 9999.0, 2.0)
     codes = spark.createDataFrame([("G s", None, "C", "1", "Egg")], schemas.BARCODES)
     assert tuple(prepare.barcodes(codes).first()) == ("C", "1", "Egg", "")
+
+
+def test_cast_report_counts_in_the_scan(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Station,Temp,Name\n1,10.5,x\nNA,warm,y\n3,,\n4x,12,z\n")
+    (tmp_path / "b.csv").write_text("Station,Temp,Name\n,9999999999x,NA\n")
+    schema = "station int, temp double, name string"
+    report = Observation("scan")
+    scan = tables.read_survey_csv(spark, str(tmp_path), schema, report=report)
+    assert scan.columns == ["station", "temp", "name"] and len(scan.collect()) == 5
+    got = [tuple(r) for r in tables.cast_report(spark, report, schema).collect()]
+    assert got == [("station", 5, 2, 1), ("temp", 5, 1, 2), ("name", 5, 2, 0)]
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark):
+    left = spark.range(3000).selectExpr("concat('s', id % 700) AS cruise_station", "id AS x")
+    right = spark.range(600).selectExpr("concat('s', id) AS cruise_station", "id * 2 AS y")
+    a, b = (tables.write_bucketed(df, n, ["cruise_station"], 8) for df, n in ((left, "l"), (right, "r")))
+    joined = a.join(b.hint("merge"), "cruise_station", "left").groupBy("cruise_station").agg(F.sum("x").alias("x"), F.max("y").alias("y"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    plain = left.join(right, "cruise_station", "left").groupBy("cruise_station").agg(F.sum("x").alias("x"), F.max("y").alias("y"))
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
+def test_a_small_box_reads_few_row_groups(spark, tmp_path):
+    frame = (-75.0, -70.0, 38.0, 42.0)
+    grid = spark.range(400_000).selectExpr("-75 + (id * 7919 % 500) / 100.0D AS lon", "38 + (id * 104729 % 400) / 100.0D AS lat", "double(id) AS depth")
+    path = tables.write_depth_grid(grid, str(tmp_path / "grid"), frame, files=4, group_bytes=256 << 10)
+    box = (-73.0, -72.8, 40.0, 40.2)
+    groups, hit, inside = 0, 0, 0
+    for file in Path(path).glob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            stats = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c).statistics for c in range(3)}
+            groups += 1
+            hit += all(stats[n].max >= lo and stats[n].min <= hi for n, lo, hi in (("lon", *box[:2]), ("lat", *box[2:])))
+    got = tables.read_depth_grid(spark, path, *box)
+    want = grid.filter(f"lon BETWEEN {box[0]}D AND {box[1]}D AND lat BETWEEN {box[2]}D AND {box[3]}D")
+    assert got.count() == want.count() > 0 and got.exceptAll(want).isEmpty()
+    assert groups >= 20 and hit <= groups / 5, (groups, hit)
+
+
+def test_intermediate_tables_are_released(spark):
+    df = tables.stored(spark.range(5), "five")
+    folder = Path(df.inputFiles()[0].removeprefix("file:")).parent
+    assert folder.exists() and tables.release_stored(spark) >= 1
+    assert not folder.exists() and tables.release_stored(spark) == 0
