@@ -366,6 +366,56 @@ def _newton_views() -> dict[str, str]:
 
 VIEWS |= _newton_views()
 
+COMMON_NAME = "case spp when 'economy_10m2' then 'Economy Fish' when 'ECONOMY' then 'Economy Fish' " \
+    "when 'promo_10m2' then 'Promo Fish' when 'PROMO' then 'Promo Fish' " \
+    "when 'standard_10m2' then 'Standard Fish' when 'STANDARD' then 'Standard Fish' else spp end"
+OF_INTEREST = "select unnest(['Economy Fish', 'Promo Fish', 'Standard Fish']) as spp"
+
+
+def _merged_views() -> dict[str, str]:
+    """The merged surveys, their curve and panel, and the draws and fits above with these as input."""
+    out = {
+        "v_m_catch": f"""
+            select {COMMON_NAME} as spp, cruise_station, sst, abd, data
+            from (select common_name as spp, cruise_station, sst, est as abd, 'egg_counts' as data from v_combined
+                  union all select common_name, cruise_station, sst, n, 'egg_barcodes' from v_egg_stage
+                  union all select spp, cruise_station, sst, abd, 'larvae' from v_long)""",
+        "v_m_eggs": """
+            select cruise_station, sst, 'egg_counts' as data from v_counts where egg_count is not null and ihf is not null and sst is not null
+            union all select cruise_station, sst, 'egg_barcodes' from v_sites""",
+        "v_m_share": """
+            select data, bin_idx, n / sum(n) over (partition by data) as prop_samples
+            from (select data, round_even(sst*2, 0)::bigint as bin_idx, count(*) as n
+                  from (select * from v_m_eggs union all select cruise_station, sst, 'larvae' from v_station) where sst is not null group by 1, 2)""",
+        "v_m_curve": f"""
+            select data, spp, bin_idx/2e0 as temp_bin, prop_samples, prop_fish, q, q / nullif(sum(q) over w, 0) as q_norm,
+                   sum(q) over (w order by bin_idx) / nullif(sum(q) over w, 0) as cdf_q_norm
+            from (select e.data, s.spp, e.bin_idx, e.prop_samples, coalesce(f.abd / t.abd, 0) as prop_fish,
+                         coalesce(f.abd / t.abd, 0) / e.prop_samples as q
+                  from v_m_share e cross join ({OF_INTEREST}) s
+                  left join (select data, spp, round_even(sst*2, 0)::bigint as bin_idx, sum(abd) as abd from v_m_catch group by 1, 2, 3) f
+                    on f.data = e.data and f.spp = s.spp and f.bin_idx = e.bin_idx
+                  left join (select data, spp, sum(abd) as abd from v_m_catch group by 1, 2) t on t.data = e.data and t.spp = s.spp)
+            window w as (partition by data, spp)""",
+        "v_m_panel": f"""
+            select s.data, s.cruise_station, s.sst, x.spp, coalesce(c.abd, 0)::double as abd
+            from (select * from v_m_eggs union all select cruise_station, avg(distinct sst), 'larvae' from v_casts group by 1) s
+            cross join ({OF_INTEREST}) x
+            left join v_m_catch c on c.data = s.data and c.cruise_station = s.cruise_station and c.spp = x.spp
+            where s.sst is not null""",
+        "v_m_fit_rows": """
+            select spp, case when data = 'larvae' then 'Larvae' else 'Eggs' end as stage, temp_bin as x, round(cdf_q_norm, 4) as y
+            from v_m_curve where cdf_q_norm is not null""",
+    }
+    chain = ["value", "block", "bin", "group", "in_bins", "in_blocks", "rung", "picked", "draws", "replicates", "fit", "band"]
+    chain += [f"step{k}" for k in range(NEWTON_STEPS + 1)]
+    for name in chain:
+        out[f"v_m_{name}"] = re.sub(rf"\bv_({'|'.join(chain)}|panel|fit_rows)\b", r"v_m_\1", VIEWS[f"v_{name}"])
+    return out
+
+
+VIEWS |= _merged_views()
+
 BAND = "spp, stage, temp, round(prop, 4) as prop, round(se, 4) as se, round(lower, 4) as lower, round(upper, 4) as upper, " \
     "true as converged"
 
@@ -383,9 +433,6 @@ POISSON_SUMS = f"""
                         / 1152921504606846976e0 as u
                     from v_panel cross join (select range as run from range(1, {POISSON_RUNS + 1}))))
         where w > 0 group by data, spp, run, bin_idx"""
-COMMON_NAME = "case spp when 'economy_10m2' then 'Economy Fish' when 'ECONOMY' then 'Economy Fish' " \
-    "when 'promo_10m2' then 'Promo Fish' when 'PROMO' then 'Promo Fish' " \
-    "when 'standard_10m2' then 'Standard Fish' when 'STANDARD' then 'Standard Fish' else spp end"
 SEASON_COLUMNS = "count(*) as total, " + ", ".join(
     f"count(*) filter (where cruise_id[4:] = '{c}') as {n}"
     for c, n in (("5", "spring"), ("2", "winter"), ("7", "summer"), ("9", "fall"))
@@ -564,25 +611,14 @@ QUERIES = {
         from (select common_name as spp, cruise_station, sst, est as abd, 'egg_counts' as data from v_combined
               union all select common_name, cruise_station, sst, n, 'egg_barcodes' from v_egg_stage
               union all select spp, cruise_station, sst, abd, 'larvae' from v_long)""",
-    "merged_curve": f"""
-        with m as (select {COMMON_NAME} as spp, sst, abd, data
-                   from (select common_name as spp, sst, est as abd, 'egg_counts' as data from v_combined
-                         union all select common_name, sst, n, 'egg_barcodes' from v_egg_stage
-                         union all select spp, sst, abd, 'larvae' from v_long)),
-        st as (select sst, 'egg_counts' as data from v_counts where egg_count is not null and ihf is not null and sst is not null
-               union all select sst, 'egg_barcodes' from v_sites union all select sst, 'larvae' from v_station),
-        eff as (select data, round_even(sst*2, 0)::bigint as bin_idx, count(*) as n from st where sst is not null group by 1, 2),
-        share as (select *, n / sum(n) over (partition by data) as prop_samples from eff),
-        q as (select e.data, s.spp, e.bin_idx, e.prop_samples, coalesce(f.abd / t.abd, 0) as prop_fish,
-                     coalesce(f.abd / t.abd, 0) / e.prop_samples as q
-              from share e cross join (select unnest(['Economy Fish', 'Promo Fish', 'Standard Fish']) as spp) s
-              left join (select data, spp, round_even(sst*2, 0)::bigint as bin_idx, sum(abd) as abd from m group by 1, 2, 3) f
-                on f.data = e.data and f.spp = s.spp and f.bin_idx = e.bin_idx
-              left join (select data, spp, sum(abd) as abd from m group by 1, 2) t on t.data = e.data and t.spp = s.spp)
-        select data, spp, bin_idx/2e0 as temp_bin, round(prop_samples, 5) as prop_samples, round(prop_fish, 5) as prop_fish,
-               round(q, 5) as q, round(q / nullif(sum(q) over w, 0), 5) as q_norm,
-               round(sum(q) over (w order by bin_idx) / nullif(sum(q) over w, 0), 5) as cdf_q_norm
-        from q window w as (partition by data, spp)""",
+    "merged_curve": """
+        select data, spp, temp_bin, round(prop_samples, 5) as prop_samples, round(prop_fish, 5) as prop_fish, round(q, 5) as q,
+               round(q_norm, 5) as q_norm, round(cdf_q_norm, 5) as cdf_q_norm from v_m_curve""",
+    "merged_panel": "select data, cruise_station, sst, spp, round(abd, 6) as abd from v_m_panel",
+    "merged_quotient_ci": "select data, spp, temp_bin, round(quantile_cont(q, 5e-2), 5) as lower_ci, "
+                          "round(quantile_cont(q, 95e-2), 5) as upper_ci from v_m_replicates group by 1, 2, 3",
+    "merged_stage_comparison": f"select {BAND} from v_m_band join (select spp, stage, low, high from v_m_fit) using (spp, stage) "
+                               "where temp between low and high",
     "merge_surveys_effort": """
         select idx/2e0 as temp_bin, round(count(*)/sum(count(*)) over (partition by data), 6) as prop_samples, data
         from (select round_even(sst*2, 0)::bigint as idx, data

@@ -634,11 +634,11 @@ def merge_surveys(v):
     return rounded(quotient.merge_occurrences(_surveys(v), NAMES), "abd")
 
 
-def _merged_stations(v: Views) -> DataFrame:
+def _merged_stations(v: Views, larval: DataFrame | None = None) -> DataFrame:
     effort = {
         "egg_counts": v.counts().dropna(subset=["egg_count", "ihf", "sst"]).select("cruise_station", "sst"),
         "egg_barcodes": v.site_temperatures(),
-        "larvae": v.stations().select("cruise_station", "sst"),
+        "larvae": larval or v.stations().select("cruise_station", "sst"),
     }
     tagged = [df.select("cruise_station", "sst", F.lit(tag).alias("data")) for tag, df in effort.items()]
     return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
@@ -650,13 +650,48 @@ def merge_surveys_effort(v):
     return rounded(by_bin.select(binning.bin_value(F.col("bin_idx")).alias("temp_bin"), "prop_samples", "data"), "prop_samples")
 
 
+OF_INTEREST = sorted(set(NAMES.values()))
+
+
+def _merged_catches(v: Views) -> DataFrame:
+    return quotient.merge_occurrences(_surveys(v), NAMES, species=OF_INTEREST)
+
+
+def _merged_curve(v: Views) -> DataFrame:
+    return quotient.spq_curve(_merged_catches(v), _merged_stations(v), OF_INTEREST)
+
+
 @query
 def merged_curve(v):
     """The main chain: surveys merged, restricted to the species of interest, curve per survey and species."""
-    species = sorted(set(NAMES.values()))
-    catches = quotient.merge_occurrences(_surveys(v), NAMES, species=species)
-    curve = quotient.spq_curve(catches, _merged_stations(v), species)
-    return rounded(curve, "prop_samples", "prop_fish", "q", "q_norm", "cdf_q_norm", digits=5)
+    return rounded(_merged_curve(v), "prop_samples", "prop_fish", "q", "q_norm", "cdf_q_norm", digits=5)
+
+
+def _merged_panel(v: Views) -> DataFrame:
+    """All stations of the three surveys for each species of interest; larval ones at the mean of their distinct temperatures."""
+    larval = aggregates.mean_of_distinct(v.casts(), ["cruise_station"], "sst", "sst")
+    stations = _merged_stations(v, larval).filter(F.col("sst").isNotNull())
+    return joins.zero_filled_panel(stations, _merged_catches(v), OF_INTEREST)
+
+
+@query
+def merged_panel(v):
+    return rounded(_merged_panel(v), "abd")
+
+
+@query
+def merged_quotient_ci(v):
+    """The interval of the merged surveys."""
+    draws = resampling.bootstrap_draws(_merged_panel(v), RUNS, SEED)
+    ci = resampling.bootstrap_ci(resampling.bootstrap_quotient(resampling.bin_sums(draws)))
+    return rounded(ci, "lower_ci", "upper_ci", digits=5)
+
+
+@query
+def merged_stage_comparison(v):
+    """Egg and larva bands of the merged surveys; both egg surveys are pooled in one fit."""
+    bands = logistic.stage_comparison(tables.stored(_merged_curve(v), "curve"), ["larvae"])
+    return rounded(bands, "prop", "se", "lower", "upper", digits=4)
 
 
 def _curve(v: Views) -> DataFrame:
