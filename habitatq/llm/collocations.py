@@ -4,16 +4,17 @@ Per language: phrases of 2 to 5 words that occur ``min_count`` times or more ins
 lowest of 1000 * f(phrase) * n / (f(first part) * f(rest)) over its cuts, without those that a longer candidate
 holds whenever they occur. A word of a language is a 64-bit label.
 
-1. ``words``: each word of each language with its count.
-2. ``shards``: each word with up to four more that follow in its piece is a path of labels; a path ends before a word
-   that is not frequent enough to be in a candidate (looked up in 2**20 slots, so some others stay). The sorted,
-   counted paths of a shard are cut by prefix range and coded, one row per shard and range.
+1. ``pair_shares``: one pass counts pairs of words in 2**14 slots, which tells how many prefix ranges there should
+   be and which pairs are hot.
+2. ``shards``: each word with up to four more that follow in its piece is a path of labels. The sorted, counted paths
+   of a shard are cut by prefix range and front-coded, and so are its words with their names: no rare word or pair is
+   left out, so the work is in proportion to the text at any size.
 3. ``ngrams``: the transducers of all shards are united range by range, weights summed, so the arc of a prefix carries
-   its count; arcs with ``min_count`` are kept.
+   its count; arcs with ``min_count`` are kept, and so are words.
 4. ``parts``: prefix ranges of the kept paths become transducers once more, and the first parts and rests of all
    candidates, brought to the same ranges, are composed with these.
 
-A prefix is two words, so a frequent word is spread over many ranges. Pairs whose slot (of 2**14) has eight times its
+A prefix is two words, so a frequent word is spread over many ranges. Pairs whose slot has eight times its
 share go by four words, and the counts of their first two and three words are summed over ranges.
 
 Defined cases: a null text is empty, a null lang is ``und``; a language without a candidate has no row; repeated
@@ -27,7 +28,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -37,9 +37,9 @@ from habitatq.llm.transducer import Transducer, levels, summed
 from habitatq.sources.tables import stored
 
 MIN_COUNT, LONGEST, TOP, SHARE = 100, 5, 2000, 100
-WORD_SLOTS, PAIR_SLOTS, HOT = 1 << 20, 1 << 14, 8
+PAIR_SLOTS, HOT = 1 << 14, 8
 #: Words of a shard; paths of a range, on average; rows of a block in which parts are looked up.
-SHARD_WORDS, RANGE_PATHS, _BLOCK = 1 << 21, 400_000, 1 << 18
+SHARD_WORDS, RANGE_PATHS, _BLOCK = 1 << 21, 1_000_000, 1 << 18
 _U = np.uint64
 #: A piece ends at any of . , ; : ! ? and \n \v \f \r; words are divided by blanks and tabs too.
 _ENDS = np.zeros(256, bool)
@@ -78,67 +78,58 @@ def _pair_slots(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return W.mix(first * _U(0x9E3779B97F4A7C15) + second)
 
 
-def words(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
-    """(``label, lang, name, n``: every word of every language with its count, slots of hot pairs, number of pairs)."""
+def pair_shares(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Slots of hot pairs, and the number of all pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.zeros(PAIR_SLOTS, np.int64)
-        for b in W.slices(batches, limit=4 * W.SLICE_BYTES, rows=1 << 16):
+        for b in W.slices(batches):
             s = _Slice(b)
-            found, first, n = np.unique(s.label, return_index=True, return_counts=True)
-            spelt = [s.words.data[a:e].tobytes().decode() for a, e in zip(s.words.start[first], s.words.end[first])]
-            langs = pa.DictionaryArray.from_arrays(s.code[first].astype(np.int32), pa.array(s.names, pa.string())).cast(pa.string())
-            yield pa.record_batch([pa.array(found.view(np.int64)), langs, pa.array(spelt, pa.string()), pa.array(n.astype(np.int64))], names=["label", "lang", "name", "n"])
             at = np.flatnonzero(s.goes_on)
             slot = (_pair_slots(s.label[at - 1], s.label[at]) & _U(PAIR_SLOTS - 1)).astype(np.int64)
             pairs += np.bincount(slot, minlength=PAIR_SLOTS)
         slot = np.flatnonzero(pairs)
-        nothing = pa.nulls(len(slot), pa.string())
-        yield pa.record_batch([pa.array(slot), nothing, nothing, pa.array(pairs[slot])], names=["label", "lang", "name", "n"])
+        yield pa.record_batch([pa.array(slot), pa.array(pairs[slot])], names=["slot", "n"])
 
-    counted = stored(_rows(docs).mapInArrow(run, "label long, lang string, name string, n long"), "word-counts")
-    slots = counted.filter("name IS NULL").groupBy("label").agg(F.sum("n").alias("n")).collect()  # 16,384 rows at most
+    slots = _rows(docs).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # 16,384 rows at most
     pairs = sum(r.n for r in slots)
-    hot = np.array([r.label for r in slots if r.n * PAIR_SLOTS > HOT * pairs], np.int64)
-    return counted.filter("name IS NOT NULL").groupBy("label", "lang").agg(F.min("name").alias("name"), F.sum("n").alias("n")), hot, pairs
-
-
-def _frequent_slots(frequent: DataFrame) -> np.ndarray:
-    """A bit for each of 2**20 slots that a frequent word falls into, packed in 64-bit words."""
-    slot = F.col("label").bitwiseAND(WORD_SLOTS - 1)
-    bits = frequent.select(F.shiftright(slot, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int")).alias("bit"))
-    out = np.zeros(WORD_SLOTS // 64, np.int64)
-    for r in bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # 16,384 rows at most
-        out[r["at"]] = r["bits"]
-    return out
-
-
-def _coded(paths: np.ndarray, counts: np.ndarray, labels: np.ndarray) -> bytes:
-    """Sorted paths of numbers (0 after the end) as a table of the labels they use and one column per word."""
-    used, local = np.unique(paths, return_inverse=True)
-    local = local.reshape(paths.shape)
-    if not len(used) or used[0]:
-        used, local = np.concatenate([[0], used]), local + 1
-    kind = np.uint16 if len(used) <= 1 << 16 else np.uint32
+    return np.array([r.slot for r in slots if r.n * PAIR_SLOTS > HOT * pairs], np.int64), pairs
+
+
+def _coded(paths: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted paths, each as what it does not share with the one before."""
+    length = (paths != 0).sum(axis=1)
+    shared = np.zeros(len(paths), np.int64)
+    shared[1:] = np.minimum(np.logical_and.accumulate(paths[1:] == paths[:-1], axis=1).sum(axis=1), length[1:])
+    column = np.arange(LONGEST)
+    new = (column >= shared[:, None]) & (column < length[:, None])
     wide = np.uint8 if counts.max() < 256 else np.uint32
-    head = np.array([len(paths), len(used), np.dtype(kind).itemsize, np.dtype(wide).itemsize], np.int64)
-    return b"".join(x.tobytes() for x in (head, labels[used], np.ascontiguousarray(local.T.astype(kind)), counts.astype(wide)))
+    head = np.array([len(paths), np.dtype(wide).itemsize], np.int64)
+    return b"".join(x.tobytes() for x in (head, (shared * 8 + length).astype(np.uint8), counts.astype(wide), paths[new]))
 
 
 def _decoded(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, used, kind, wide = np.frombuffer(blob, np.int64, 4)
-    labels = np.frombuffer(blob, _U, used, 32)
-    at = 32 + 8 * used
-    local = np.frombuffer(blob, np.uint16 if kind == 2 else np.uint32, n * LONGEST, at).reshape(LONGEST, n)
-    counts = np.frombuffer(blob, np.uint8 if wide == 1 else np.uint32, n, at + kind * n * LONGEST)
-    return labels[local.T], counts.astype(np.int64)
+    n, wide = np.frombuffer(blob, np.int64, 2).tolist()
+    form = np.frombuffer(blob, np.uint8, n, 16)
+    counts = np.frombuffer(blob, np.uint8 if wide == 1 else np.uint32, n, 16 + n).astype(np.int64)
+    column, length = np.arange(LONGEST), form[:, None] & 7
+    new = (column >= form[:, None] >> 3) & (column < length)
+    paths = np.zeros((n, LONGEST), _U)
+    paths[new] = np.frombuffer(blob[16 + n + wide * n :], _U)
+    source = np.maximum.accumulate(np.where(new, np.arange(n)[:, None], 0), axis=0)
+    return np.where(column < length, paths[source, column], _U(0)), counts
+
+
+def _ranged(key: np.ndarray, ranges: int) -> np.ndarray:
+    return ((key >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
-def _shard(label: np.ndarray, joined: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
-    """(range, coded paths) of a run of words; ``joined`` tells where a word and the next are frequent and of one piece."""
+def _shard_paths(label: np.ndarray, goes_on: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, coded paths of two words or more) of a run of words."""
     known, number = np.unique(label, return_inverse=True)
     labels = np.concatenate([np.zeros(1, _U), known])
     number = number.astype(np.int64) + 1
+    joined = np.append(goes_on[1:], False)  # whether a word and the next are of one piece
     at = np.flatnonzero(joined)
     paths = np.zeros((len(at), LONGEST), np.int64)
     paths[:, 0], live = number[at], np.arange(len(at))
@@ -155,68 +146,123 @@ def _shard(label: np.ndarray, joined: np.ndarray, hot: np.ndarray, ranges: int)
     fresh = np.ones(len(paths), bool)
     fresh[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
     first = np.flatnonzero(fresh)
-    counts = np.diff(np.concatenate([first, [len(paths)]]))
-    paths = paths[first]
-    key = _pair_slots(labels[paths[:, 0]], labels[paths[:, 1]])
+    counts = np.diff(np.append(first, len(paths)))
+    paths = labels[paths[first]]
+    key = _pair_slots(paths[:, 0], paths[:, 1])
     split = np.isin((key & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)
-    key[split] = W.mix(key[split] + labels[paths[split, 2]] * _U(0xD6E8FEB86659FD93) + labels[paths[split, 3]] * _U(0xA0761D6478BD642F))
-    place = ((key >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    key[split] = W.mix(key[split] + paths[split, 2] * _U(0xD6E8FEB86659FD93) + paths[split, 3] * _U(0xA0761D6478BD642F))
+    place = _ranged(key, ranges)
     order = np.argsort(place, kind="stable")
     cuts = np.searchsorted(place[order], np.arange(ranges + 1))
     for r in np.flatnonzero(np.diff(cuts)):
         own = order[cuts[r] : cuts[r + 1]]
-        yield int(r), _coded(paths[own], counts[own], labels)
+        yield int(r), _coded(paths[own], counts[own])
 
 
-def shards(docs: DataFrame, slots: Broadcast, ranges: int) -> DataFrame:
-    """``range, paths``: the counted paths of each shard, coded by prefix range; ``slots`` are those of frequent words and hot pairs."""
+_WORDS = pa.schema([("label", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("name", pa.string())])
+
+
+def _shard_words(slices: list[pa.RecordBatch], ranges: int) -> Iterator[tuple[int, bytes]]:
+    """(range, words with their counts) of a shard, as an Arrow stream."""
+    table = pa.Table.from_batches(slices, _WORDS).combine_chunks()
+    label = table.column("label").to_numpy().view(_U)
+    known, first, which = np.unique(label, return_index=True, return_inverse=True)
+    n = np.bincount(which, weights=table.column("n").to_numpy(), minlength=len(known)).astype(np.int64)
+    table = table.take(pa.array(first)).set_column(1, "n", pa.array(n))
+    place = _ranged(known, ranges)  # known is in order, so ranges are runs
+    cuts = np.searchsorted(place, np.arange(ranges + 1))
+    for r in np.flatnonzero(np.diff(cuts)):
+        yield int(r), _arrow_bytes(table.slice(int(cuts[r]), int(cuts[r + 1] - cuts[r])))
+
+
+def _arrow_bytes(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _slice_words(s: _Slice) -> pa.RecordBatch:
+    found, first, n = np.unique(s.label, return_index=True, return_counts=True)
+    spelt = [s.words.data[a:e].tobytes().decode() for a, e in zip(s.words.start[first], s.words.end[first])]
+    langs = pa.DictionaryArray.from_arrays(s.code[first].astype(np.int32), pa.array(s.names, pa.string())).cast(pa.string())
+    return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), langs, pa.array(spelt, pa.string())], schema=_WORDS)
+
+
+def shards(docs: DataFrame, hot: np.ndarray, ranges: int) -> DataFrame:
+    """``range, paths, words``: the counted paths, or the words, of each shard and prefix range, coded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent, hot = np.unpackbits(slots.value[0].view(np.uint8), bitorder="little").astype(bool), slots.value[1]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[_Slice] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            label, joined = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-            for r, blob in _shard(label, joined, hot, ranges):
-                yield pa.record_batch([pa.array([r], pa.int64()), pa.array([blob], pa.binary())], names=["range", "paths"])
+            label, goes_on = (np.concatenate([getattr(s, k) for s in held]) for k in ("label", "goes_on"))
+            for r, blob in _shard_paths(label, goes_on, hot, ranges):
+                yield pa.record_batch([pa.array([r], pa.int64()), pa.array([blob], pa.binary()), pa.nulls(1, pa.binary())], names=["range", "paths", "words"])
+            for r, blob in _shard_words([s.spelt for s in held], ranges):
+                yield pa.record_batch([pa.array([r], pa.int64()), pa.nulls(1, pa.binary()), pa.array([blob], pa.binary())], names=["range", "paths", "words"])
 
         for b in W.slices(batches):
             s = _Slice(b)
-            common = frequent[(s.label & _U(WORD_SLOTS - 1)).astype(np.int64)]
-            joined = np.zeros(len(common), bool)
-            joined[:-1] = common[:-1] & common[1:] & s.goes_on[1:]
-            held.append((s.label, joined))
-            size += len(common)
-            if size >= SHARD_WORDS:
+            s.spelt = _slice_words(s)
+            s.words = s.code = None  # labels are enough from here on
+            held.append(s)
+            if sum(len(x.label) for x in held) >= SHARD_WORDS:
                 yield from flush()
-                held, size = [], 0
+                held.clear()
         if held:
             yield from flush()
 
-    return _rows(docs).mapInArrow(run, "range long, paths binary")
+    return _rows(docs).mapInArrow(run, "range long, paths binary, words binary")
+
+
+def _found(paths: np.ndarray, f: np.ndarray, lang: list | None = None, name: list | None = None) -> pa.RecordBatch:
+    nothing = pa.nulls(len(f), pa.string())
+    columns = [pa.array(np.ascontiguousarray(paths[:, k]).view(np.int64)) for k in range(LONGEST)]
+    return pa.record_batch([*columns, pa.array(f), nothing if lang is None else pa.array(lang, pa.string()), nothing if name is None else pa.array(name, pa.string())],
+                           names=[*_PATH, "f", "lang", "name"])
 
 
 def ngrams(coded: DataFrame, hot: np.ndarray, min_count: int) -> DataFrame:
-    """``w1..w5, f``: every n-gram of 2 to 5 words that occurs ``min_count`` times or more, with its count."""
+    """``w1..w5, f, lang, name``: n-grams of 2 to 5 words that occur ``min_count`` times or more (parts of those of hot
+    pairs), frequent words with their names, and words of each language in each range (all labels 0)."""
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((r, p) for b in batches for r, p in zip(b.column("range").to_pylist(), b.column("paths").to_pylist()))
+        rows = ((r, p, w) for b in batches for r, p, w in zip(*(b.column(c).to_pylist() for c in ("range", "paths", "words"))))
         for _, group in groupby(rows, lambda x: x[0]):
-            parts = [_decoded(p) for _, p in group]
-            paths, counts = summed(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]))
-            split = np.isin((_pair_slots(paths[:, 0], paths[:, 1]) & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)
-            for d, (row, _, _, weight) in enumerate(levels(paths, counts)):
-                kept = np.flatnonzero((weight >= min_count) | split[row]) if d < 3 else np.flatnonzero(weight >= min_count)
-                if not d or not len(kept):
-                    continue  # single words are counted apart
-                path = paths[row[kept]].view(np.int64)
+            parts, tables = [], []
+            for _, p, w in group:
+                if p is not None:
+                    parts.append(_decoded(p))
+                else:
+                    tables.append(pa.ipc.open_stream(w).read_all())
+            if parts:
+                yield from prefixes(*summed(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])))
+            if tables:
+                yield from words(pa.concat_tables(tables))
+
+    def prefixes(paths: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        split = np.isin((_pair_slots(paths[:, 0], paths[:, 1]) & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)
+        for d, (row, _, _, weight) in enumerate(levels(paths, counts)):
+            kept = np.flatnonzero((weight >= min_count) | split[row]) if d < 3 else np.flatnonzero(weight >= min_count)
+            if d and len(kept):
+                path = paths[row[kept]]
                 path[:, d + 1 :] = 0
-                yield pa.record_batch([*(pa.array(np.ascontiguousarray(path[:, k])) for k in range(LONGEST)), pa.array(weight[kept])], names=[*_PATH, "f"])
+                yield _found(path, weight[kept])
+
+    def words(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        label, first, which = np.unique(table.column("label").to_numpy(), return_index=True, return_inverse=True)
+        n = np.bincount(which, weights=table.column("n").to_numpy(), minlength=len(label)).astype(np.int64)
+        often = np.flatnonzero(n >= min_count)
+        path = np.zeros((len(often), LONGEST), np.int64)
+        path[:, 0] = label[often]
+        spelt = table.take(pa.array(first[often]))
+        yield _found(path, n[often], spelt.column("lang").to_pylist(), spelt.column("name").to_pylist())
+        by_lang = table.group_by("lang").aggregate([("n", "sum")])
+        yield _found(np.zeros((by_lang.num_rows, LONGEST), np.int64), by_lang.column("n_sum").to_numpy(), by_lang.column("lang").to_pylist())
 
     ranged = coded.repartition("range").sortWithinPartitions("range")
-    partial = ranged.mapInArrow(united, f"{_PATHS}, f long")
-    return partial.groupBy(*_PATH).agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+    return stored(ranged.mapInArrow(united, f"{_PATHS}, f long, lang string, name string"), "found")
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -328,14 +374,12 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP) -> DataFra
 
     The highest score comes first, then the most frequent, then the phrase in byte order.
     """
-    every, hot, pairs = words(docs)
-    every = stored(every, "words")
-    sizes = every.groupBy("lang").agg(F.sum("n").alias("size"))
-    frequent = stored(every.filter(F.col("n") >= min_count).join(sizes, "lang"), "frequent")
-    slots = docs.sparkSession.sparkContext.broadcast((_frequent_slots(frequent), hot))  # 128 KB, and 2,048 slots at most
-    several = ngrams(shards(docs, slots, max(32, pairs // RANGE_PATHS)), hot, min_count)
-    zero = F.lit(0).cast("long")
-    single = frequent.select(F.col("label").alias("w1"), *(zero.alias(w) for w in _PATH[1:]), F.col("n").alias("f"))
+    hot, pairs = pair_shares(docs)
+    found = ngrams(shards(docs, hot, max(32, pairs // RANGE_PATHS)), hot, min_count)
+    sizes = found.filter("w1 = 0").groupBy("lang").agg(F.sum("f").alias("size"))
+    frequent = stored(found.filter("name IS NOT NULL").select(F.col("w1").alias("label"), "lang", "name", F.col("f").alias("n")).join(sizes, "lang"), "frequent")
+    several = found.filter("w2 <> 0").groupBy(*_PATH).agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+    single = found.filter("name IS NOT NULL").select(*_PATH, "f")
     counted = stored(several.unionByName(single), "ngrams")
     rated = scored(counted, frequent.select(F.col("label").alias("w1"), "lang", F.col("size").alias("n")))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
