@@ -206,6 +206,12 @@ class Run:
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """The rounded configuration program, or the same best fit from empty sequences where that takes fewer."""
+    plans = [_plan(histogram, capacity, configured) for configured in (True, False)]
+    return min(plans, key=lambda rows: max((r[3] + r[2] for r in rows), default=0))
+
+
+def _plan(histogram: dict[int, int], capacity: int, configured: bool) -> list[tuple[int, int, int, int, int]]:
     """(length, number of the first piece, pieces, sequence of the first piece, offset): one piece a sequence."""
     left = {n: k for n, k in histogram.items() if k}
     used = dict.fromkeys(left, 0)
@@ -226,7 +232,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     for c, lengths in classes.items():
         if c <= slots:
             demand[c] = sum(left[n] for n in lengths)
-    for c, share in sorted(configurations(demand, slots), key=lambda x: -x[1]):
+    for c, share in sorted(configurations(demand, slots) if configured else [], key=lambda x: -x[1]):
         count = int(share + 1e-6)
         if not count or c @ np.arange(slots + 1) < FULL * slots:
             continue  # best fit does better with what loosely filled sequences would take

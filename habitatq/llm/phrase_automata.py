@@ -4,16 +4,16 @@
    document that has it, its home. Documents go to the shards of their phrases' homes: copies
    of a document mostly share its shard, so a document's words are sent about once, and only
    the stretches around shared phrases are.
-2. In a shard, windows of ``WINDOW`` words around its phrases are counted; those that occur in
-   two documents are confirmed as recurring, each with its smallest document.
-3. The phrases inside confirmed windows are compiled into the shard's automaton (words as
-   letters), and all stretches of the shard are streamed through it. It reports every occurrence
-   of a phrase; the windows over an occurrence that are confirmed for a smaller document are
-   removed.
+2. The phrases of a shard are compiled into an automaton (words as letters), and all stretches
+   of the shard are streamed through it, which gives every occurrence of a phrase.
+3. Windows of ``WINDOW`` words are formed over these occurrences alone, and those that occur in
+   two documents are confirmed as recurring, each with its smallest document; in larger
+   documents the words of such windows are removed.
 
 A shard with too many stretches, such as one with a passage of very many documents, is dealt to
-several tasks; its windows are then counted over the cluster, with combination before the
-shuffle, and every task of the shard gets the confirmed ones.
+several tasks, each with the automaton of its own stretches; the windows found are then counted
+over the cluster, with combination before the shuffle, and every task of the shard gets the
+confirmed ones.
 
 A word is removed if a window of ``WINDOW`` words over it also starts in a document with a
 smaller id; windows are judged on the input. Defined cases: a null text has no words; a null
@@ -89,10 +89,25 @@ class _Stretches:
         self.owner = np.repeat(np.arange(len(raw)), self.size + 1)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Where a window lies inside one stretch, and its fingerprint."""
-        size = np.maximum(self.size - A.WINDOW + 1, 0)
-        at = np.repeat(self.base, size) + W.spans(size)
-        return at, W.window_hash(W.mix(self.letters.astype(np.uint64)), A.WINDOW)[at].view(np.int64)
+        """Starts of the windows over the automaton's hits, and their fingerprints."""
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        for p in {self.letters[x : x + A.GRAM].tobytes() for x in self.phrase.tolist()}:
+            automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()))
+        if not len(automaton):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        automaton.make_automaton()
+        over = np.zeros(len(self.letters) + 1, np.int64)
+        for a in range(0, len(self.letters), LETTERS_AT_ONCE):
+            part = tuple(self.letters[max(0, a - A.GRAM + 1) : a + LETTERS_AT_ONCE].tolist())
+            ends = np.fromiter((e for e, _ in automaton.iter(part)), np.int64) + max(0, a - A.GRAM + 1)
+            begin = ends - A.GRAM + 1
+            np.add.at(over, np.maximum(begin + A.GRAM - A.WINDOW, 0), 1)
+            np.add.at(over, begin + 1, -1)
+        at = np.flatnonzero(np.cumsum(over)[:-1] > 0)
+        row = self.owner[at]
+        at = at[at + A.WINDOW <= self.base[row] + self.size[row]]  # inside one stretch
+        prints = W.window_hash(W.mix(self.letters.astype(np.uint64)), A.WINDOW)
+        return at, prints[at].view(np.int64)
 
 
 def _counted(win: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +122,7 @@ def _counted(win: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.nda
 
 
 def _occurrences(streamed: pa.Table, shared: pa.Table) -> pa.Table:
-    """Spans of ``streamed`` that repeat a smaller document, found by one automaton.
+    """Spans of ``streamed`` that repeat a smaller document, at the hits of one automaton.
 
     ``shared`` has the confirmed windows of a shard of several tasks; others confirm their own.
     """
@@ -123,27 +138,7 @@ def _occurrences(streamed: pa.Table, shared: pa.Table) -> pa.Table:
     if not len(known):
         return pa.table(spans)
     place = np.minimum(np.searchsorted(known, win), len(known) - 1)
-    recurs = np.zeros(len(s.letters), bool)
-    recurs[at[known[place] == win]] = True
-    earlier = np.zeros(len(s.letters), bool)
-    earlier[at[(known[place] == win) & (least[place] < s.doc[s.owner[at]])]] = True
-    # a phrase is compiled if some window over it is confirmed
-    sums = np.concatenate([[0], np.cumsum(recurs)])
-    inside = sums[s.phrase + 1] > sums[np.maximum(s.phrase + A.GRAM - A.WINDOW, 0)]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    for p in {s.letters[x : x + A.GRAM].tobytes() for x in s.phrase[inside].tolist()}:
-        automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()))
-    if not len(automaton):
-        return pa.table(spans)
-    automaton.make_automaton()
-    found = np.zeros(len(s.letters) + 1, np.int64)
-    for a in range(0, len(s.letters), LETTERS_AT_ONCE):
-        part = tuple(s.letters[max(0, a - A.GRAM + 1) : a + LETTERS_AT_ONCE].tolist())
-        ends = np.fromiter((e for e, _ in automaton.iter(part)), np.int64) + max(0, a - A.GRAM + 1)
-        begin = ends - A.GRAM + 1
-        np.add.at(found, np.maximum(begin + A.GRAM - A.WINDOW, 0), 1)
-        np.add.at(found, begin + 1, -1)
-    cut = np.flatnonzero(earlier & (np.cumsum(found)[:-1] > 0))
+    cut = at[(known[place] == win) & (least[place] < s.doc[s.owner[at]])]
     if not len(cut):
         return pa.table(spans)
     new = np.concatenate([[True], (np.diff(cut) > A.WINDOW) | (np.diff(s.owner[cut]) > 0)])
