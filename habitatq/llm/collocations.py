@@ -39,7 +39,7 @@ from habitatq.sources.tables import stored
 MIN_COUNT, LONGEST, TOP, SHARE = 100, 5, 2000, 100
 PAIR_SLOTS, HOT = 1 << 14, 8
 #: Words of a shard; paths of a range, on average; rows of a block in which parts are looked up.
-SHARD_WORDS, RANGE_PATHS, _BLOCK = 1 << 21, 1_000_000, 1 << 18
+SHARD_WORDS, RANGE_PATHS, _BLOCK = 1 << 21, 500_000, 1 << 18
 _U = np.uint64
 #: A piece ends at any of . , ; : ! ? and \n \v \f \r; words are divided by blanks and tabs too.
 _ENDS = np.zeros(256, bool)
@@ -127,44 +127,50 @@ def _ranged(key: np.ndarray, ranges: int) -> np.ndarray:
 def _shard_paths(label: np.ndarray, goes_on: np.ndarray, hot: np.ndarray, ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, coded paths of two words or more) of a run of words."""
     known, number = np.unique(label, return_inverse=True)
-    labels = np.concatenate([np.zeros(1, _U), known])
-    number = number.astype(np.int64) + 1
+    labels, number = np.concatenate([np.zeros(1, _U), known]), (number + 1).astype(np.int32)
     joined = np.append(goes_on[1:], False)  # whether a word and the next are of one piece
     at = np.flatnonzero(joined)
-    paths = np.zeros((len(at), LONGEST), np.int64)
+    paths = np.zeros((len(at), LONGEST), np.int32)
     paths[:, 0], live = number[at], np.arange(len(at))
     for d in range(1, LONGEST):
         live = live[joined[at[live] + d - 1]]
         paths[live, d] = number[at[live] + d]
+    del number, joined, at, live
     bits = len(labels).bit_length()
-    if 3 * bits < 64:
-        keys = [(paths[:, 0] << bits | paths[:, 1]) << bits | paths[:, 2], paths[:, 3] << bits | paths[:, 4]]
-    else:
-        keys = list(paths.T)
+    wide = lambda *columns: sum(paths[:, c].astype(np.int64) << bits * (len(columns) - 1 - k) for k, c in enumerate(columns))
+    keys = [wide(0, 1, 2), wide(3, 4)] if 3 * bits < 64 else [wide(0, 1), wide(2, 3), wide(4)]
     order = np.lexsort(keys[::-1])
-    paths = paths[order]
-    fresh = np.ones(len(paths), bool)
-    fresh[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
-    first = np.flatnonzero(fresh)
-    counts = np.diff(np.append(first, len(paths)))
-    paths = labels[paths[first]]
-    key = _pair_slots(paths[:, 0], paths[:, 1])
+    first = np.flatnonzero(_changes(keys, order))
+    counts = np.diff(np.append(first, len(order)))
+    paths = paths[order[first]]
+    del keys, order
+    key = _pair_slots(labels[paths[:, 0]], labels[paths[:, 1]])
     split = np.isin((key & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)
-    key[split] = W.mix(key[split] + paths[split, 2] * _U(0xD6E8FEB86659FD93) + paths[split, 3] * _U(0xA0761D6478BD642F))
+    key[split] = W.mix(key[split] + labels[paths[split, 2]] * _U(0xD6E8FEB86659FD93) + labels[paths[split, 3]] * _U(0xA0761D6478BD642F))
     place = _ranged(key, ranges)
     order = np.argsort(place, kind="stable")
     cuts = np.searchsorted(place[order], np.arange(ranges + 1))
     for r in np.flatnonzero(np.diff(cuts)):
         own = order[cuts[r] : cuts[r + 1]]
-        yield int(r), _coded(paths[own], counts[own])
+        yield int(r), _coded(labels[paths[own]], counts[own])
 
 
-_WORDS = pa.schema([("label", pa.int64()), ("n", pa.int64()), ("lang", pa.string()), ("name", pa.string())])
+def _changes(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
+    """Whether each row, in order, differs from the one before."""
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = False
+    for key in keys:
+        key = key[order]
+        fresh[1:] |= key[1:] != key[:-1]
+    return fresh
+
+
+_WORDS = pa.schema([("label", pa.int64()), ("n", pa.int64()), ("lang", pa.dictionary(pa.int32(), pa.string())), ("name", pa.string())])
 
 
 def _shard_words(slices: list[pa.RecordBatch], ranges: int) -> Iterator[tuple[int, bytes]]:
     """(range, words with their counts) of a shard, as an Arrow stream."""
-    table = pa.Table.from_batches(slices, _WORDS).combine_chunks()
+    table = pa.Table.from_batches(slices, _WORDS).unify_dictionaries().combine_chunks()
     label = table.column("label").to_numpy().view(_U)
     known, first, which = np.unique(label, return_index=True, return_inverse=True)
     n = np.bincount(which, weights=table.column("n").to_numpy(), minlength=len(known)).astype(np.int64)
@@ -177,7 +183,7 @@ def _shard_words(slices: list[pa.RecordBatch], ranges: int) -> Iterator[tuple[in
 
 def _arrow_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -185,7 +191,7 @@ def _arrow_bytes(table: pa.Table) -> bytes:
 def _slice_words(s: _Slice) -> pa.RecordBatch:
     found, first, n = np.unique(s.label, return_index=True, return_counts=True)
     spelt = [s.words.data[a:e].tobytes().decode() for a, e in zip(s.words.start[first], s.words.end[first])]
-    langs = pa.DictionaryArray.from_arrays(s.code[first].astype(np.int32), pa.array(s.names, pa.string())).cast(pa.string())
+    langs = pa.DictionaryArray.from_arrays(s.code[first].astype(np.int32), pa.array(s.names, pa.string()))
     return pa.record_batch([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64)), langs, pa.array(spelt, pa.string())], schema=_WORDS)
 
 
@@ -239,7 +245,8 @@ def ngrams(coded: DataFrame, hot: np.ndarray, min_count: int) -> DataFrame:
             if parts:
                 yield from prefixes(*summed(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])))
             if tables:
-                yield from words(pa.concat_tables(tables))
+                plain = pa.schema([*list(_WORDS)[:2], ("lang", pa.string()), ("name", pa.string())])
+                yield from words(pa.concat_tables([t.cast(plain) for t in tables]))
 
     def prefixes(paths: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         split = np.isin((_pair_slots(paths[:, 0], paths[:, 1]) & _U(PAIR_SLOTS - 1)).astype(np.int64), hot)

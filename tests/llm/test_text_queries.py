@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tools")]
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tools"), os.path.join(ROOT, "tests")]
 import compare  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from plans import check_plan, stored_plans_checked  # noqa: E402
 
 from habitatq.llm import catalog  # noqa: E402
 
@@ -26,7 +27,19 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql_twin(spark, con, name):
-    assert compare.compare(spark, con, name, catalog.REGISTRY[name], catalog.SQL[name], SMALL) is None
+    def run(spark, folder):
+        df = catalog.REGISTRY[name](spark, folder)
+        check_plan(df, python=True)
+        return df
+
+    with stored_plans_checked(python=True):
+        assert compare.compare(spark, con, name, run, catalog.SQL[name], SMALL) is None
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.REGISTRY) - set(catalog.SQL)))
+def test_plan(spark, name):
+    with stored_plans_checked(python=True):
+        check_plan(catalog.REGISTRY[name](spark, SMALL), python=True)
 
 
 def test_every_operator_is_registered():
