@@ -1,8 +1,9 @@
-"""Shape of the physical plans of all registered queries."""
+"""Shape of the physical plans of all registered queries and of the tables they store on the way."""
 
 import re
 
 import pytest
+from plans import check_plan, stored_plans_checked
 
 from habitatq.catalog import queries as catalog
 
@@ -11,15 +12,8 @@ FOLDER = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("name", sorted(catalog.REGISTRY))
 def test_plan(spark, name):
-    df = catalog.as_callables()[name](spark, FOLDER)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    assert "InPandas" not in plan and "InArrow" not in plan
-    for spec in re.findall(r"windowspecdefinition\(([^()]*)", plan):
-        assert not re.match(r"\s*(specifiedwindowframe|[\w#]+L? (ASC|DESC))", spec), "window without partition keys"
-    for window in re.findall(r"Window \[.*", plan):
-        assert not re.search(r"\], \[\], \[", window)
+    with stored_plans_checked(python=False):
+        check_plan(catalog.as_callables()[name](spark, FOLDER), python=False)
 
 
 def test_only_needed_columns_and_filters_reach_the_scan(spark):
