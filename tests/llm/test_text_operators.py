@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -451,6 +452,32 @@ def test_quality_cut_does_not_move_with_the_number_of_labels(spark):
     assert all(abs(x - 0.1) < 0.05 for x in capped), capped
 
 
+def test_quality_learns_from_all_labels_and_all_pairs(spark):
+    rng = random.Random(3)
+    words = [f"th{i}er" for i in range(50)]
+
+    def noisy(share):
+        return " ".join(x + "###" if rng.random() < share else x.upper() if rng.random() < 0.1 else x for x in sentence(rng, 12, words).split())
+
+    labels = [(i, int(i % 12 > 0)) for i in range(5400)] + [(0, 0), (1, 1), (2, None), (None, 1), (9999, 1)]  # 4,952 good, 451 bad; one has no document
+    texts = {i: noisy(rng.uniform(0, 0.6) if i % 12 else rng.uniform(0.2, 1)) for i in range(5400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    model = pairwise_quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int").repartition(3))
+    used = [(i, q) for i, q in labels if i in texts and q is not None]
+    x = pairwise_quality.features(pairwise_quality.shares(pa.array([texts[i] for i, _ in used])))
+    good = np.array([q == 1 for _, q in used])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.maximum(x.std(axis=0), 1e-6))
+    # at the least loss over all pairs no weight has a slope
+    z, s = (x - model.mean) / model.scale, model.raw(x)
+    wrong = 1 / (1 + np.exp(s[good][:, None] - s[~good]))
+    slope = (wrong.sum(axis=0) @ z[~good] - wrong.sum(axis=1) @ z[good]) / wrong.size + pairwise_quality.PENALTY * model.weights
+    assert np.abs(slope).max() < 1e-8
+    # the cut is the score at the share of bad ones, documents of a kind weighing as much as its labels
+    order = np.argsort(s, kind="stable")
+    weight = np.where(good, 4952 / good.sum(), 451 / (~good).sum())[order]
+    assert abs(model.cut - np.interp(451, np.cumsum(weight) - weight / 2, s[order])) < 1e-9
+
+
 def test_url_filter(spark):
     urls = [
         "http://a.Example.ORG/en/2?x#y", "https://example.org/en/12", "https://example.org/es/", "http://b.com/fr/1", "http://b.com/de/1", "http://b.net/en/1",
