@@ -55,24 +55,29 @@ def _round(k: int, high: Column, low: Column, key: Column, a: Column, b: Column)
     return (high + scrambled(key + low)) % a, low
 
 
-def with_permuted(df: DataFrame, number: str, n: str, keys: str, out: str) -> DataFrame:
-    """One row per run of ``keys`` (a column of ``run_keys``), with ``run`` and in ``out`` where it sends ``number``.
+def digits(number: Column, b: Column) -> tuple[Column, Column]:
+    """High and low digit of a number, the low one below ``b``."""
+    return _divided(number, b), number % b
 
-    ``number`` is below ``n``, and ``n`` below 2**53. The first pass is a chain of plain projections behind the
-    explosion of the runs; the few numbers that it sends beyond ``n`` walk on in a fold.
-    """
-    kept = [c for c in df.columns if c != keys]
-    a, b = radix(F.col(n))
-    df = df.withColumns({"_a": a, "_b": b})
-    df = df.withColumns({"_high0": _divided(F.col(number), F.col("_b")), "_low0": F.col(number) % F.col("_b")})
-    df = df.select(*kept, "_a", "_b", F.col("_high0").alias("_high"), F.col("_low0").alias("_low"), F.inline(keys))
+
+def passed(df: DataFrame) -> DataFrame:
+    """``_high`` and ``_low`` after one pass with the keys ``k0``, ``k1`` and so on and the sizes ``_a`` and ``_b``, as a chain of plain projections."""
     for k in range(ROUNDS):
         high, low = _round(k, F.col("_high"), F.col("_low"), F.col(f"k{k}"), F.col("_a"), F.col("_b"))
         df = df.withColumn("_low", low) if k % 2 else df.withColumn("_high", high)
-    df = df.withColumn("_x", F.col("_high") * F.col("_b") + F.col("_low"))
+    return df
+
+
+def joined() -> Column:
+    """The number with the digits ``_high`` and ``_low``."""
+    return F.col("_high") * F.col("_b") + F.col("_low")
+
+
+def walked(x: Column, n: Column) -> Column:
+    """A number below ``_a * _b`` put through again and again until it is below ``n``, as a fold for few rows."""
 
     def again(x: Column, _: Column) -> Column:
-        digits = F.struct(_divided(x, F.col("_b")).alias("high"), (x % F.col("_b")).alias("low"))
+        high, low = digits(x, F.col("_b"))
         every = F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("key")) for k in range(ROUNDS)))
 
         def one(d: Column, r: Column) -> Column:
@@ -80,8 +85,22 @@ def with_permuted(df: DataFrame, number: str, n: str, keys: str, out: str) -> Da
             of = F.when(r["k"] % 2 == 0, F.struct(even[0].alias("high"), even[1].alias("low")))
             return of.otherwise(F.struct(odd[0].alias("high"), odd[1].alias("low")))
 
-        return F.when(x < F.col(n), x).otherwise(F.aggregate(every, digits, one, lambda d: d["high"] * F.col("_b") + d["low"]))
+        start = F.struct(high.alias("high"), low.alias("low"))
+        return F.when(x < n, x).otherwise(F.aggregate(every, start, one, lambda d: d["high"] * F.col("_b") + d["low"]))
+
+    steps = F.sequence(_long(0), F.col("_a") * F.col("_b") - n)
+    return F.when(x < n, x).otherwise(F.aggregate(steps, x, again))
+
+
+def with_permuted(df: DataFrame, number: str, n: str, keys: str, out: str) -> DataFrame:
+    """One row per run of ``keys`` (a column of ``run_keys``), with ``run`` and in ``out`` where it sends ``number``.
 
-    steps = F.sequence(_long(0), F.col("_a") * F.col("_b") - F.col(n))
-    walked = F.when(F.col("_x") < F.col(n), F.col("_x")).otherwise(F.aggregate(steps, F.col("_x"), again))
-    return df.select(*kept, "run", walked.alias(out))
+    ``number`` is below ``n``, and ``n`` below 2**53. The first pass is a chain of plain projections behind the
+    explosion of the runs; the few numbers that it sends beyond ``n`` walk on in a fold.
+    """
+    kept = [c for c in df.columns if c != keys]
+    a, b = radix(F.col(n))
+    df = df.withColumns({"_a": a, "_b": b})
+    high, low = digits(F.col(number), F.col("_b"))
+    df = passed(df.select(*kept, "_a", "_b", high.alias("_high"), low.alias("_low"), F.inline(keys)))
+    return df.withColumn("_x", joined()).select(*kept, "run", walked(F.col("_x"), F.col(n)).alias(out))
